@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pramana.llm import decontaminate, packing, simhash
+from pramana.llm import decontaminate, packing, pii, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
         "op3_simhash": simhash.op3_simhash,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_pack": packing.op5_pack,
         "op7_decontaminate": decontaminate.op7_decontaminate,
     }
