@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pramana.llm import decontaminate, packing, pii, simhash, toxicity
+from pramana.llm import decontaminate, licenses, packing, pii, quality, simhash, syncmers, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.op1_pii,
+        "op2_quality": quality.op2_quality,
         "op3_simhash": simhash.op3_simhash,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_pack": packing.op5_pack,
+        "op6_licenses": licenses.op6_licenses,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op9_syncmers": syncmers.op9_syncmers,
     }
 
 
