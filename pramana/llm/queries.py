@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pramana.llm import decontaminate, licenses, packing, pii, quality, simhash, syncmers, toxicity
+from pramana.llm import decontaminate, licenses, packing, pii, quality, simhash, substrings, syncmers, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_pack": packing.op5_pack,
         "op6_licenses": licenses.op6_licenses,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_substrings": substrings.op8_substrings,
         "op9_syncmers": syncmers.op9_syncmers,
     }
 
