@@ -48,9 +48,13 @@ def shingles(words: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " "))))
 
 
-def bands(hashes: Column, key: Column) -> Column:
-    """Band keys of a set of hashes."""
-    low = F.transform(F.array(*[F.lit(j) for j in range(BANDS * DEPTH)]), lambda j: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, j))))
+def smallest(hashes: Column) -> Column:
+    """MinHash values of a set of hashes."""
+    return F.transform(F.array(*[F.lit(j) for j in range(BANDS * DEPTH)]), lambda j: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, j))))
+
+
+def bands(low: Column, key: Column) -> Column:
+    """Band keys of MinHash values. ``low`` should be a column by itself: within a lambda it would be made anew for each band."""
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(key, b, *[F.element_at(low, b * DEPTH + d + 1) for d in range(DEPTH)]))
 
 
@@ -93,7 +97,8 @@ def _library(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
         rows.append(F.struct(F.lit(name).alias("template"), F.lit(text).alias("notice"), F.lit(n + stride - 1).alias("width"), F.lit(stride).alias("stride")))
     lib = spark.range(1, numPartitions=1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
     lib = lib.withColumn("shingles", F.array_distinct(shingles(tokens(F.col("notice"))))).withColumn("class", F.xxhash64("width", "stride"))
-    return lib.select("template", "width", "stride", "class", "shingles", bands(F.col("shingles"), F.col("class")).alias("bands"))
+    lib = lib.withColumn("low", smallest(F.col("shingles")))
+    return lib.select("template", "width", "stride", "class", "shingles", bands(F.col("low"), F.col("class")).alias("bands"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -121,7 +126,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
 
     windows = hits.select("id", "_h", "n", "hashes", F.explode(F.flatten(F.transform(looked_for, of_class))).alias("w"))
     windows = windows.select("id", "_h", "w.class", F.col("w.at").alias("first_word"), F.least(F.col("w.width"), F.col("n") - F.col("w.at")).alias("n_words"), F.array_distinct(F.slice("hashes", F.col("w.at") + 1, F.col("w.width") - (SHINGLE - 1))).alias("own"))
-    windows = windows.where(F.size("own") > 0).withColumn("own_bands", bands(F.col("own"), F.col("class")))
+    windows = windows.where(F.size("own") > 0).withColumn("low", smallest(F.col("own"))).withColumn("own_bands", bands(F.col("low"), F.col("class"))).drop("low")
     probe = windows.select("*", F.posexplode("own_bands").alias("b", "band"))
     keys = lib.select("template", "shingles", F.col("bands"), F.explode("bands").alias("band"))
     met = probe.join(F.broadcast(keys), "band")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pramana.llm import decontaminate, licenses, packing, pii, quality, simhash, substrings, syncmers, toxicity
+from pramana.llm import decontaminate, licenses, lm, packing, pii, quality, simhash, substrings, syncmers, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_substrings": substrings.op8_substrings,
         "op9_syncmers": syncmers.op9_syncmers,
+        "op10_pitman_yor": lm.op10_pitman_yor,
     }
 
 
