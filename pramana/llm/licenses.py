@@ -112,28 +112,29 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     # the library is bounded, so that its shingles can be a literal of the plan
     classes = lib.groupBy("width", "stride", "class").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("known")).orderBy("class").collect()
     looked_for = F.array(*[F.struct(F.lit(c["width"]).alias("width"), F.lit(c["stride"]).alias("stride"), F.lit(c["class"]).alias("class"), F.array(*[F.lit(h) for h in c["known"]]).alias("known")) for c in classes])
-    every = F.array(*[F.lit(h) for h in sorted({h for c in classes for h in c["known"]})])
     text = F.col(text_col).cast("string")
     near = docs.where(text.rlike("(?i)" + "|".join(anchor_words(templates, 1 - similarity)))).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("_h"), tokens(text).alias("words"))
     hashed = near.select("id", "_h", F.size("words").alias("n"), shingles(F.col("words")).alias("hashes"))
-    hits = hashed.withColumn("hits", F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains(every, h), i)), lambda i: i.isNotNull()))
+    # a lambda binds the shingles that a text shares with a class, so that they are found once and not for each word
+    shared = F.filter(F.transform(looked_for, lambda c: F.struct(c["width"].alias("width"), c["stride"].alias("stride"), c["class"].alias("class"), F.array_intersect("hashes", c["known"]).alias("met"))), lambda c: F.size(c["met"]) > 0)
 
     def of_class(c):
-        met = F.filter(F.col("hits"), lambda p: F.array_contains(c["known"], F.get("hashes", p)))
+        at = F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains(c["met"], h), i)), lambda i: i.isNotNull())
         # numbers of the windows that hold the shingle at word p
-        around = F.transform(met, lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p + SHINGLE - c["width"]) / c["stride"]).cast("int")), F.floor(p / c["stride"]).cast("int")))
+        around = F.transform(at, lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p + SHINGLE - c["width"]) / c["stride"]).cast("int")), F.floor(p / c["stride"]).cast("int")))
         return F.transform(F.array_distinct(F.flatten(around)), lambda k: F.struct(c["class"].alias("class"), (k * c["stride"]).alias("at"), c["width"].alias("width")))
 
-    windows = hits.select("id", "_h", "n", "hashes", F.explode(F.flatten(F.transform(looked_for, of_class))).alias("w"))
+    windows = hashed.select("id", "_h", "n", "hashes", F.explode(F.flatten(F.transform(shared, of_class))).alias("w"))
     windows = windows.select("id", "_h", "w.class", F.col("w.at").alias("first_word"), F.least(F.col("w.width"), F.col("n") - F.col("w.at")).alias("n_words"), F.array_distinct(F.slice("hashes", F.col("w.at") + 1, F.col("w.width") - (SHINGLE - 1))).alias("own"))
-    windows = windows.where(F.size("own") > 0).withColumn("low", smallest(F.col("own"))).withColumn("own_bands", bands(F.col("low"), F.col("class"))).drop("low")
-    probe = windows.select("*", F.posexplode("own_bands").alias("b", "band"))
-    keys = lib.select("template", "shingles", F.col("bands"), F.explode("bands").alias("band"))
+    windows = windows.withColumn("low", smallest(F.col("own"))).withColumn("own_bands", bands(F.col("low"), F.col("class"))).drop("low")
+    # outer, though the arrays are never empty: else a check of their size is pushed below and makes them anew
+    probe = windows.select("*", F.posexplode_outer("own_bands").alias("b", "band"))
+    keys = lib.select("template", "shingles", F.col("bands"), F.explode_outer("bands").alias("band"))
     met = probe.join(F.broadcast(keys), "band")
     # a window that meets a template in several bands is verified in the first
     first = F.array_position(F.zip_with("own_bands", "bands", lambda x, y: x == y), True) - 1
-    shared = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
-    verified = met.where(F.col("b") == first).withColumn("containment", shared).where(F.col("containment") >= similarity)
+    overlap = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
+    verified = met.where(F.col("b") == first).withColumn("containment", overlap).where(F.col("containment") >= similarity)
     best = F.max_by(F.struct("first_word", "n_words", "containment"), F.struct("containment", -F.col("first_word")))
     found = verified.groupBy("id", "_h", "template").agg(best.alias("m"))
     return found.select("id", "template", "m.containment", "m.first_word", "m.n_words")
