@@ -24,8 +24,8 @@ WINDOW, ANCHOR = 13, 5
 #: outgrows it more windows are grouped exactly, and still all that repeat.
 ROWS, LEAST_BITS, MOST_BITS = 2, 16, 28
 SLICE_BITS = 20
-#: Windows that a task combines before it sends them, and windows of a group of the exact pass at most, on average.
-COMBINED, GROUPED = 1_000_000, 2_000_000
+#: Windows that a task combines before it sends them, windows of a group of the exact pass at most, on average, and groups at least.
+COMBINED, GROUPED, LEAST_GROUPS = 1_000_000, 2_000_000, 80
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -228,7 +228,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chars = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if bits is None:
         bits = min(MOST_BITS, max(LEAST_BITS, int(8 * chars // 28).bit_length()))
-    gone = removals(known, bits, max(1, -(-chars // (6 * GROUPED))))
+    gone = removals(known, bits, max(LEAST_GROUPS, -(-chars // (6 * GROUPED))))
     gone = gone.groupBy("id", "th").agg(F.collect_list("runs").alias("runs"))
     kind = docs.schema[id_col].dataType
 
