@@ -30,7 +30,7 @@ def option_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def split_choices(column) -> F.Column:
     """Pipe-delimited numbered choices as an array; empty ones go before their numbers are cut off."""
-    parts = F.filter(F.transform(F.split(column, r"\|"), F.trim), lambda c: c != "")
+    parts = F.filter(F.transform(F.split(column, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
     return F.transform(parts, lambda c: F.regexp_replace(c, r"^\d+\.\s*", ""))
 
 
