@@ -214,11 +214,10 @@ def test_stream_gives_what_the_table_gives(spark, sf_dir, tmp_path):
     assert rows(spark.table("running")) == rows(running_accuracy(e))
 
 
-class Echo:
-    def generate_batch(self, prompts):
-        return ["A" for _ in prompts]
-
-
 def test_backend(spark):
+    class Echo:
+        def generate_batch(self, prompts):
+            return ["A" for _ in prompts]
+
     df = spark.createDataFrame([(1, "p")], "id int, prompt string")
     assert score_with(df, Echo, "id int, prompt string, raw string").first().raw == "A"
