@@ -161,14 +161,14 @@ def pack_group(sizes: np.ndarray, capacity: int = CAPACITY, rounds: int = 20) ->
 def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = 20) -> DataFrame:
     """Adds sequence_id and offset to pieces (at least a ``length``).
 
-    Pieces are dealt at random, by a hash of the whole row, into groups of about ``group``; each
-    group is packed by itself, so a group has as many pieces at any size of the corpus. Best fit with the longest first
+    Pieces are dealt at random, by a hash of the row's place in the checkpoint, into groups of about
+    ``group``, so that repeated rows part; each group is packed by itself, so a group has as many pieces at any size of the corpus. Best fit with the longest first
     starts, the local search empties bins. Losing at most about one bin for each group is the
     price of not packing everything in one task.
     """
     cut = checkpoint(cut)
     groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("_g", F.pmod(F.xxhash64(*cut.columns), F.lit(groups)).cast("int"))
+    dealt = cut.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     width = 1 << 32
 
     def run(t: pa.Table) -> pa.Table:
