@@ -366,6 +366,13 @@ def parse_option_letters(spark, sf):
     return d.select(T.parse_letters("p", 5).alias("letters")).groupBy("letters").agg(F.count("*").alias("n"))
 
 
+@query()
+def parse_option_letters_whole(spark, sf):
+    """Letters of every whole text, those of the none and compact branches too."""
+    d = D.table(spark, sf, "documents")
+    return d.select(T.parse_letters("text", 5).alias("letters")).groupBy("letters").agg(F.count("*").alias("n"))
+
+
 @query(
     """SELECT role, count(*) AS n, round(sum(CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) ELSE 0 END), 6) AS total FROM (
   SELECT x.role, list_distinct(list_filter(regexp_extract_all(lower(x.text), '[a-z0-9]+'), lambda w: NOT w IN ('the', 'a', 'an', 'at', 'of', 'and', 'frame'))) AS a, list_distinct(list_filter(regexp_extract_all(lower(y.text), '[a-z0-9]+'), lambda w: NOT w IN ('the', 'a', 'an', 'at', 'of', 'and', 'frame'))) AS b
