@@ -81,23 +81,38 @@ def condition_intersection_counts(spark, sf):
 _BOOT = 200
 
 
-@query(
-    f"""SELECT round(v[CAST(floor(0.025 * len(v)) AS INTEGER) + 1], 6) AS lo, round(v[least(len(v), CAST(floor(0.975 * len(v)) AS INTEGER) + 1)], 6) AS hi, CAST(len(v) AS INTEGER) AS n_reps FROM (
+#: What ``bootstrap`` takes by default, for the queries of the whole job.
+_BOOT_WHOLE = 2000
+_BOOT_VIEWS = (D.RUNS_SQL, _WIDE, "sums AS (SELECT qset AS cluster, count(*) FILTER (plain = 1) AS n, count(*) FILTER (plain = 1 AND mask_cite = 0) AS fa, count(*) FILTER (plain = 1 AND mask_cite_random = 0) AS fb FROM wide WHERE mask_cite IS NOT NULL AND mask_cite_random IS NOT NULL GROUP BY 1)")
+
+
+def _boot_sql(replicates):
+    return f"""SELECT round(v[CAST(floor(0.025 * len(v)) AS INTEGER) + 1], 6) AS lo, round(v[least(len(v), CAST(floor(0.975 * len(v)) AS INTEGER) + 1)], 6) AS hi, CAST(len(v) AS INTEGER) AS n_reps FROM (
   SELECT list_sort(list(gap)) AS v FROM (SELECT d.rep, sum(fa)::DOUBLE / sum(n) - sum(fb)::DOUBLE / sum(n) AS gap FROM
-    (SELECT rep, CAST('0x' || substr(md5('0:' || rep || ':' || pos), 1, 12) AS BIGINT) % (SELECT count(*) FROM sums) AS place FROM range({_BOOT}) a(rep), range((SELECT count(*) FROM sums)) b(pos)) d
-    JOIN (SELECT row_number() OVER (ORDER BY cluster) - 1 AS place, * FROM sums) s USING (place) GROUP BY d.rep HAVING sum(n) > 0))""",
-    (D.RUNS_SQL, _WIDE, "sums AS (SELECT qset AS cluster, count(*) FILTER (plain = 1) AS n, count(*) FILTER (plain = 1 AND mask_cite = 0) AS fa, count(*) FILTER (plain = 1 AND mask_cite_random = 0) AS fb FROM wide WHERE mask_cite IS NOT NULL AND mask_cite_random IS NOT NULL GROUP BY 1)"),
-)
-def bootstrap_gap_ci(spark, sf):
+    (SELECT rep, CAST('0x' || substr(md5('0:' || rep || ':' || pos), 1, 12) AS BIGINT) % (SELECT count(*) FROM sums) AS place FROM range({replicates}) a(rep), range((SELECT count(*) FROM sums)) b(pos)) d
+    JOIN (SELECT row_number() OVER (ORDER BY cluster) - 1 AS place, * FROM sums) s USING (place) GROUP BY d.rep HAVING sum(n) > 0))"""
+
+
+def _boot(spark, sf, replicates):
     w = A.wide(D.runs(spark, sf), ["plain", *A.PAIRS["cite"]])
-    i = A.interval(A.bootstrap(A.sums_by_cluster(w, *A.PAIRS["cite"]), _BOOT))
+    i = A.interval(A.bootstrap(A.sums_by_cluster(w, *A.PAIRS["cite"]), replicates))
     return i.select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n_reps")
 
 
+@query(_boot_sql(_BOOT), _BOOT_VIEWS)
+def bootstrap_gap_ci(spark, sf):
+    return _boot(spark, sf, _BOOT)
+
+
+@query(_boot_sql(_BOOT_WHOLE), _BOOT_VIEWS)
+def bootstrap_gap_ci_whole(spark, sf):
+    return _boot(spark, sf, _BOOT_WHOLE)
+
+
 @query()
 def bootstrap_gap_poisson(spark, sf):
     w = A.wide(D.runs(spark, sf), ["plain", *A.PAIRS["cite"]])
-    return A.interval(A.bootstrap(A.sums_by_cluster(w, *A.PAIRS["cite"]), _BOOT, method="poisson"))
+    return A.interval(A.bootstrap(A.sums_by_cluster(w, *A.PAIRS["cite"]), _BOOT_WHOLE, method="poisson"))
 
 
 def _gap_sql(stratum):
@@ -143,6 +158,17 @@ def pooled_gap(spark, sf):
     return g.select("stratum", "n_correct", *[r6(F.col(c)).alias(c) for c in ("flip", "flip_control", "gap")])
 
 
+@query(_gap_sql("tag").replace("FROM wide", "FROM (SELECT unnest([CASE WHEN id % 2 = 0 THEN 'a' END, CASE WHEN id % 3 = 0 THEN 'b' END, CASE WHEN id % 2 <> 0 AND id % 3 <> 0 THEN 'c' END]) AS own, * FROM wide), (VALUES (0), (1)) p(pool), LATERAL (SELECT CASE WHEN pool = 1 THEN 'pool' ELSE own END AS tag)").replace(" GROUP BY 1", " AND own IS NOT NULL GROUP BY 1"), (D.RUNS_SQL, _WIDE))
+def pooled_gap_whole(spark, sf):
+    """The tags of ``pooled_gap`` and a third of the ids that are in neither, so that the pool has every id."""
+    w = A.wide(D.runs(spark, sf), ["plain", *A.PAIRS["es"]])
+    in_a, in_b = F.col("id") % 2 == 0, F.col("id") % 3 == 0
+    tags = F.array_compact(F.array(F.when(in_a, "a"), F.when(in_b, "b"), F.when(~in_a & ~in_b, "c")))
+    both = w.withColumn("tag", F.explode(tags)).withColumn("stratum", F.explode(F.array("tag", F.lit("pool"))))
+    g = A.gap(both, *A.PAIRS["es"], ["stratum"])
+    return g.select("stratum", "n_correct", *[r6(F.col(c)).alias(c) for c in ("flip", "flip_control", "gap")])
+
+
 @query("SELECT condition, round(avg(fraction), 6) AS area, list_sort(list(fraction))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS upper_median FROM runs WHERE condition LIKE 'mask%' GROUP BY 1", (D.RUNS_SQL,))
 def mean_masked_area(spark, sf):
     return D.runs(spark, sf).where("condition like 'mask%'").groupBy("condition").agg(r6(F.avg("fraction")).alias("area"), A.upper_median("fraction").alias("upper_median"))
@@ -213,7 +239,7 @@ def random_control(spark, sf):
 
 @query()
 def avoiding_control(spark, sf):
-    b = D.boxes(spark, sf).where("item % 10 = 0").withColumn("avoid", F.array("b"))
+    b = D.boxes(spark, sf).withColumn("avoid", F.array("b"))
     c = R.avoiding_controls(b, ["item", "line", "l_partkey"], "avoid", "a")
     return c.select("item", "line", r6(G.overlap_share("control", "b")).alias("met"), r6(R.control_coverage(F.col("a"), F.array("control"))).alias("coverage"))
 
