@@ -21,7 +21,7 @@ from pramana.llm._spark import table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
-MOST_TOKENS = 14
+MOST_TOKENS = 20
 #: Sentences that the field is fitted on, and sweeps over them.
 SENTENCES, SWEEPS = 300, 30
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,6 +31,7 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CORE = re.compile(r"[0-9@]+")
+_OPENER = re.compile(r"[0-9@]+|[(\[](?:at|dot)[)\]]|AKIA|sk_|ghp_|(?:password|passwd|pwd|token|key|secret|apikey|api_key|credential)(?![a-z_])", re.I)
 _TOKEN = re.compile(r"[^\W_]+|\s|.", re.S)
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -86,7 +87,11 @@ _CUES = {
     "email": "email mail e contact write".split(),
 }
 _CUE = {w: k for k, v in enumerate(_CUES.values()) for w in v}
-_FEATURES = 41
+#: Characters before a segment that are searched for a cue.
+_LOOK = 24
+_WORD = re.compile(r"(?<![a-z_])[a-z_]+")
+_OBFUSCATED = re.compile(r"[(\[]at[)\]]", re.I)
+_FEATURES = 46
 
 
 @lru_cache(maxsize=200_000)
@@ -105,28 +110,35 @@ def _shape(s: str) -> tuple[int, ...]:
     f += [10 + min(n, 20) // 3]
     f += [17] * ("@" in s) + [18] * (letters == 0) + [19] * (len(parts) == 4) + [20] * (not s[0].isalnum() and s[0] not in "+(") + [21] * (not s[-1].isalnum())
     f += [22] * (" " in s) + [23] * ("." in s) + [24] * (s.isdigit()) + [25] * (len(s) < 7) + [26] * bool(re.fullmatch(r"(?i)[a-z0-9._-]+ ?(?:@|\(at\)|\[at\]) ?[a-z0-9-]+ ?(?:\.|\(dot\)|\[dot\]) ?[a-z]{2,}", s))
+    f += [41] * (n == 0 and "@" not in s and not _OBFUSCATED.search(s))
     return tuple(f)
 
 
-def _lattice(text: str):
+def _lattice(text: str, start: int = 0, end: int | None = None):
     """Candidate segments of a region: (token from, token to) and the features of each."""
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    tokens = [m.span() for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
     segments, features = [], []
     for i, (a, _) in enumerate(tokens):
         if text[a].isspace():
             continue
         before = text[a - 1] if a else " "
-        cue = next((_CUE[w] for w in reversed(re.findall(r"[a-z_]+", text[max(0, a - 24) : a].lower())[-2:]) if w in _CUE), None)
+        # one character more, so that no rest of a cut word is taken for a cue
+        near = text[max(0, a - _LOOK - 1) : a].lower()
+        cue = next((_CUE[w] for w in reversed(_WORD.findall(near, a > _LOOK)[-2:]) if w in _CUE), None)
+        given = cue == 4 and near.rstrip(" \"'")[-1:] in ("=", ":")
+        equals = given and near[-1:] in ("=", '"', "'")
         for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
             b = tokens[j - 1][1]
             s = text[a:b]
-            if s[-1].isspace() or not _CORE.search(s):
+            if s[-1].isspace():
                 continue
             after = text[b] if b < len(text) else " "
             f = list(_shape(s))
             f += [27] * (before.isalnum() or before in "@+_") + [28] * (after.isalnum() or after == "_") + [29] * (before in "=\"':")
             f += [30] * (before == "." or before == "-") + [31] * (after == "@" or (after in ".-" and b + 1 < len(text) and text[b + 1].isalnum()))
             f += [32 + (cue or 0)] * (cue is not None) + [37] * (j - i == 1) + [38] * (before == "(") + [39] * (before == "/") + [40] * (after == "%")
+            whole = after.isspace() or after in "\"',;"
+            f += [42] * equals + [43] * (41 in f and not given) + [44] * (41 in f and given and not equals) + [45] * (41 in f and whole)
             segments.append((i, j))
             features.append(f)
     x = np.zeros((len(segments), _FEATURES))
@@ -150,14 +162,15 @@ def _examples(n: int, seed: int = 11):
         return sep.join(d[i : i + 4] for i in range(0, 16, 4)) if sep else d
 
     make = {
-        0: lambda: pick([f"{plain()}{digits(2)}@{plain()}{digits(1)}.example.com", f"{plain()}.{plain()}@{plain()}.org", f"{plain()} (at) {plain()}{digits(1)} (dot) com", f"{plain()}@{plain()}-{plain()}.net"]),
+        0: lambda: pick([f"{plain()}{digits(2)}@{plain()}{digits(1)}.example.com", f"{plain()}.{plain()}@{plain()}.org", f"{plain()} (at) {plain()}{digits(1)} (dot) com", f"{plain()} (at) {plain()} (dot) com", f"{plain()} [at] {plain()} [dot] org", f"{plain()}@{plain()}-{plain()}.net"]),
         1: lambda: ".".join(str(int(x)) for x in r.integers(0, 256, 4)),
         2: lambda: card(pick(["", "", " ", "-"])),
         3: lambda: pick([f"+1 ({digits(3)}) 555-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(6)}"]),
         4: lambda: pick([lambda: "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 15) + "7", lambda: draw("0123456789abcdef", 19) + "a1", lambda: "sk_" + draw("abcdefghijkXYZ0123456789", 22) + "4"])(),
     }
+    bare = [lambda: draw("abcdefghijkmnpqrstuvwxyz", 10), lambda: draw("abcdefghijkXYZQRS", 14), lambda: plain() + plain().title() + plain()]
     lead = {0: ["", "mail ", "email: "], 1: ["", "host ", "ip "], 2: ["", "card ", "visa: "], 3: ["", "call ", "phone: "], 4: ["", "password=", 'token = "', "key: "]}
-    none = [lambda: digits(2), lambda: digits(4), lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"{digits(3)},{digits(3)}", lambda: f"{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{word()}{digits(2)}", lambda: digits(7), lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"@{word()}", lambda: digits(24), lambda: f"{digits(3)}%"]
+    none = [lambda: digits(2), lambda: digits(4), lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"{digits(3)},{digits(3)}", lambda: f"{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{word()}{digits(2)}", lambda: digits(7), lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"@{word()}", lambda: f"{pick(_CUES['secret'])} {word()}", lambda: f"{pick(_CUES['secret'])}: {word()}", lambda: f"({word()}) ", lambda: digits(24), lambda: f"{digits(3)}%"]
     for _ in range(n):
         text, spans = "", []
         for _ in range(int(r.integers(1, 4))):
@@ -168,7 +181,7 @@ def _examples(n: int, seed: int = 11):
                 k = int(r.integers(5))
                 cue = pick(lead[k])
                 text += cue
-                value = make[k]()
+                value = pick(bare)() if cue.endswith(("=", '"')) and r.random() < 0.5 else make[k]()
                 spans.append((len(text), k, len(text) + len(value)))
                 text += value + '"' * cue.endswith('"')
             text += pick([" ", ". ", ", ", " "])
@@ -214,9 +227,9 @@ def fit(sentences: int = SENTENCES, sweeps: int = SWEEPS) -> np.ndarray:
     return w
 
 
-def decode(text: str, w: np.ndarray) -> list[tuple[int, int, int]]:
+def decode(text: str, w: np.ndarray, start: int = 0, end: int | None = None) -> list[tuple[int, int, int]]:
     """Best segmentation of a region: (start, kind, end) of the segments that are a kind."""
-    tokens, segments, x = _lattice(text)
+    tokens, segments, x = _lattice(text, start, end)
     if not segments:
         return []
     score = x @ w.T
@@ -244,17 +257,35 @@ def decode(text: str, w: np.ndarray) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
+def _reach(text: str, a: int, b: int) -> tuple[int, int]:
+    """``a`` moved back and ``b`` moved on by the tokens that a segment can have besides one that is in between."""
+    for k in range(MOST_TOKENS):
+        # first to the edge of the token itself
+        a -= k > 0 and a > 0
+        while 0 < a < len(text) and text[a - 1].isalnum() and text[a].isalnum():
+            a -= 1
+    for k in range(MOST_TOKENS):
+        b += k > 0 and b < len(text)
+        while 0 < b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+            b += 1
+    return a, b
+
+
 def regions(text: str):
-    """Parts of a text that can hold a value: around digits and @, from white space to white space."""
+    """Parts of a text that can hold a value, in whole tokens: all that a segment can reach that holds a digit, @, (at),
+    (dot) or a secret's first letters, or that a secret's cue stands before."""
     start = end = -1
-    for m in _CORE.finditer(text):
-        if m.start() < end:
-            if m.end() + 20 > end:
-                end = min(len(text), m.end() + 20)
+    for m in _OPENER.finditer(text):
+        a, b = m.span()
+        if m.group()[0].isalpha():
+            b = min(len(text), a + _LOOK + 1)
+        a, b = _reach(text, a, b)
+        if a <= end:
+            end = max(end, b)
             continue
         if start >= 0:
             yield start, end
-        start, end = max(0, m.start() - 40, end), min(len(text), m.end() + 20)
+        start, end = a, b
     if start >= 0:
         yield start, end
 
@@ -266,10 +297,10 @@ def spans(text: str | None, w: np.ndarray, memo: dict | None = None) -> tuple[li
     found = list(base)
     taken = [(a, b) for a, _, b in base]
     for a, b in regions(text):
-        part = text[a:b]
+        part = text[max(0, a - _LOOK - 1) : a], text[a:b], text[b : b + 2]
         got = memo.get(part) if memo is not None else None
         if got is None:
-            got = decode(part, w)
+            got = [(x - a, kind, y - a) for x, kind, y in decode(text, w, a, b)]
             if memo is not None:
                 if len(memo) > 50_000:
                     memo.clear()
