@@ -87,7 +87,7 @@ def bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 0, method: st
         reps = sums.sparkSession.range(replicates).select(F.col("id").alias("rep"))
         draws = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("pos")).where(F.lit(n > 0))
         weights = draws.select("rep", hash_draw(max(n, 1), F.lit(seed), "rep", "pos").alias("place")).groupBy("rep", "place").agg(F.count("*").alias("w"))
-        drawn = weights.join(numbered, "place")
+        drawn = weights.join(numbered.hint("merge"), "place")
     total = drawn.groupBy("rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "fa", "fb")]).where("n > 0")
     return total.select("rep", (F.col("fa") / F.col("n") - F.col("fb") / F.col("n")).alias("gap"))
 
