@@ -11,17 +11,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pramana.llm._spark import table
+from pramana.llm._spark import checkpoint, table
 from pramana.llm._text import LOWER, batch_slices, hash_words, split_words, utf8
 
 WINDOW = 10
 #: Characters of benchmark text that are broadcast at a time; more come in further blocks.
 BLOCK_CHARS = 16_000_000
 SAMPLE = 8
+#: Words of a shard: a longer run of texts is indexed in parts that overlap by a window.
+SHARD_WORDS = 1_000_000
 #: Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[:128] = True
@@ -167,86 +168,151 @@ def _find(buf, starts, ends, row, block):
         yield m, which, word[index.locate(ranks)]
 
 
-def _scan(blocks, batch, cut: bool):
-    """Per row: words, hit words, items, and the text without the removal spans if asked."""
-    rows = batch.num_rows
-    buf, off = utf8(batch.column("_text"))
-    raw, buf = buf, LOWER[buf]
-    starts, ends, row = split_words(buf, off, SEPARATOR)
+def _find_all(block: dict, buf, starts, ends, row, rows: int, window: int, shard: int = SHARD_WORDS):
+    """Coverage counts of every word and the items met in each row, from one block."""
     hit = np.zeros(len(starts) + 1, np.int64)
     met: list[set] = [set() for _ in range(rows)]
-    for handle in blocks if len(starts) else ():
-        block = handle.value
-        if not block["phrases"]:
-            continue
-        for m, which, first in _find(buf, starts, ends, row, block):
+    for x in range(0, len(starts) if block["phrases"] else 0, shard):
+        part = slice(x, x + shard + window - 1)
+        for m, which, first in _find(buf, starts[part], ends[part], row[part], block):
+            first = first + x
             np.add.at(hit, first, 1)
             np.add.at(hit, first + m, -1)
             items = block["phrases"][m][1]
             pairs = np.unique(which * (rows + 1) + row[first])
             for w, r in zip((pairs // (rows + 1)).tolist(), (pairs % (rows + 1)).tolist()):
                 met[r].update(block["ids"][i] for i in items[w])
-    covered = np.cumsum(hit)[:-1] > 0
-    n_words = np.bincount(row, minlength=rows)
-    n_hit = np.bincount(row[covered], minlength=rows)
-    names = [sorted(s) for s in met]
-    texts = batch.column("_text").to_pylist() if cut else None
-    for r in np.flatnonzero(n_hit) if cut else ():
-        k = np.flatnonzero(covered & (row == r))
-        edge = np.flatnonzero(np.diff(k) > 1)
-        data, base, at, parts = raw[off[r] : off[r + 1]].tobytes(), off[r], 0, []
-        for x, y in zip(np.concatenate([[k[0]], k[edge + 1]]), np.concatenate([k[edge], [k[-1]]])):
-            parts.append(data[at : starts[x] - base])
-            at = ends[y] - base
-        texts[r] = b"".join([*parts, data[at:]]).decode()
-    return n_words, n_hit, names, texts
+    return np.cumsum(hit)[:-1] > 0, met
+
+
+def _words(array: pa.Array):
+    buf, off = utf8(array)
+    low = LOWER[buf]
+    return (buf, off, low, *split_words(low, off, SEPARATOR))
+
+
+def _runs(at: np.ndarray):
+    """Sorted numbers as runs: first of each, and last."""
+    cut = np.flatnonzero(np.diff(at) > 1)
+    return np.concatenate([at[:1], at[cut + 1]]), np.concatenate([at[cut], at[-1:]])
+
+
+def _without(raw: bytes, starts, ends, base: int, gone: np.ndarray) -> str:
+    """A text without its removal spans: from the first to the last byte of each run of the words ``gone``."""
+    at, parts = 0, []
+    for x, y in zip(*_runs(gone)):
+        parts.append(raw[at : starts[x] - base])
+        at = ends[y] - base
+    return b"".join([*parts, raw[at:]]).decode()
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_chars: int):
-    """Broadcast blocks, each of at most about ``block_chars`` characters."""
+    """One block of the benchmark after another, each of about ``block_chars`` characters: none is held beside the next."""
     b = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
     chars = b.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     n = max(1, -(-chars // block_chars))
-    sc = benchmark.sparkSession.sparkContext
     for k in range(n):
         part = b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else b
-        yield sc.broadcast(_block([tuple(r) for r in part.collect()], window))
+        yield n, _block([tuple(r) for r in part.collect()], window)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(id, n_words, n_hit, items array of item ids as sorted strings) for every row.
+_HITS = "id {kind}, th long, first array<int>, last array<int>, met array<string>"
 
-    Null texts have no words; null items and items without words are skipped; repeated items count
-    once each; repeated rows each get a row.
-    """
-    blocks = list(_blocks(benchmark, item_col, item_text, window, block_chars))
+
+def _hits(source: DataFrame, block: dict, window: int) -> DataFrame:
+    """(id, th, first, last, met) for the texts with a hit of a block. source: (id, th, text)."""
+    handle = source.sparkSession.sparkContext.broadcast(block)
 
     def run(batches):
         for big in batches:
-            for b in batch_slices(big, "_text"):
-                n_words, n_hit, names, _ = _scan(blocks, b, False)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string()))], names=["id", "n_words", "n_hit", "items"])
+            for b in batch_slices(big):
+                _, _, low, starts, ends, row = _words(b.column("text"))
+                covered, met = _find_all(handle.value, low, starts, ends, row, b.num_rows, window)
+                base = np.searchsorted(row, np.arange(b.num_rows + 1))
+                rows = np.unique(row[covered])
+                runs = [_runs(np.flatnonzero(covered[base[r] : base[r + 1]])) for r in rows]
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("th").take(at), *(pa.array([x[k] for x in runs], pa.list_(pa.int32())) for k in (0, 1)), pa.array([sorted(met[r]) for r in rows], pa.list_(pa.string()))], names=["id", "th", "first", "last", "met"])
+
+    # written at once, so that the block can go before the next one comes
+    found = checkpoint(source.mapInArrow(run, _HITS.format(kind=source.schema["id"].dataType.simpleString())))
+    handle.destroy()
+    return found
+
+
+def _marked(docs: DataFrame, id_col: str | None, text_col: str, benchmark: DataFrame, item_col: str, item_text: str, window: int, block_chars: int):
+    """``docs`` as (own struct, text, first, last, met): places of the words hit by any block, or the only block to look for."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    identity = F.lit(0).alias("id") if id_col is None else F.col(id_col).alias("id")
+    text = F.col(text_col).cast("string").alias("text")
+    found = None
+    for n, block in _blocks(benchmark, item_col, item_text, window, block_chars):
+        if n == 1:
+            return docs.select(own, text), block
+        one = _hits(docs.select(identity, F.xxhash64(text_col).alias("th"), text), block, window)
+        found = one if found is None else found.unionByName(one)
+    merged = found.groupBy("id", "th").agg(*[F.flatten(F.collect_set(c)).alias(c) for c in ("met",)], F.collect_set(F.struct("first", "last")).alias("runs"))
+    source = docs.select(own, text, identity, F.xxhash64(text_col).alias("th"))
+    joined = source.join(merged.select(F.col("id").alias("id_"), F.col("th").alias("th_"), "met", "runs"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")), "left")
+    return joined.select("own", "text", F.flatten(F.col("runs.first")).alias("first"), F.flatten(F.col("runs.last")).alias("last"), "met"), None
+
+
+def _apply(marked: DataFrame, block: dict | None, window: int, cut: bool) -> DataFrame:
+    """(own, n_words, n_hit, items[, text]) of every row."""
+    handle = marked.sparkSession.sparkContext.broadcast(block)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"id {kind}, n_words long, n_hit long, items array<string>")
+    def run(batches):
+        for big in batches:
+            for b in batch_slices(big):
+                raw, off, low, starts, ends, row = _words(b.column("text"))
+                rows = b.num_rows
+                base = np.searchsorted(row, np.arange(rows + 1))
+                if handle.value is not None:
+                    covered, met = _find_all(handle.value, low, starts, ends, row, rows, window)
+                else:
+                    steps = np.zeros(len(starts) + 1, np.int64)
+                    lists = [b.column(c).to_pylist() for c in ("first", "last", "met")]
+                    for r, (x, y) in enumerate(zip(lists[0], lists[1])):
+                        if x:
+                            np.add.at(steps, base[r] + np.array(x), 1)
+                            np.add.at(steps, base[r] + np.array(y) + 1, -1)
+                    covered, met = np.cumsum(steps)[:-1] > 0, [set(m or ()) for m in lists[2]]
+                n_hit = np.bincount(row[covered], minlength=rows)
+                out = [b.column("own"), pa.array(np.bincount(row, minlength=rows), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(m) for m in met], pa.list_(pa.string()))]
+                if cut:
+                    texts = b.column("text").to_pylist()
+                    for r in np.flatnonzero(n_hit):
+                        texts[r] = _without(raw[off[r] : off[r + 1]].tobytes(), starts, ends, off[r], base[r] + np.flatnonzero(covered[base[r] : base[r + 1]]))
+                    out.append(pa.array(texts, pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=["own", "n_words", "n_hit", "items", "text"][: len(out)])
+
+    schema = f"own {marked.schema['own'].dataType.simpleString()}, n_words long, n_hit long, items array<string>" + ", text string" * cut
+    return marked.mapInArrow(run, schema)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with the merged removal spans cut out of the text and a column n_hit."""
-    blocks = list(_blocks(benchmark, item_col, item_text, window, block_chars))
-    names = docs.columns
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(id, n_words, n_hit, items array of item ids as sorted strings) for every row; ids may be of any type.
+
+    Null and empty texts have no words; null items and items without words are skipped; repeated items count
+    once each; repeated rows and rows without an id each get a row. A benchmark of more than ``block_chars`` is
+    searched for a block at a time: one block is on the driver and broadcast at once, hits are written and merged by join.
+    """
+    marked, block = _marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text", benchmark, item_col, item_text, window, block_chars)
+    return _apply(marked, block, window, False).select(F.col("own.id").alias("id"), "n_words", "n_hit", "items")
 
-    def run(batches):
-        for big in batches:
-            for b in batch_slices(big, "_text"):
-                _, n_hit, _, texts = _scan(blocks, b, True)
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "_text" else b.column(n) for n in b.schema.names] + [pa.array(n_hit, pa.int64())], names=[*b.schema.names, "n_hit"])
 
-    source = docs.withColumnRenamed(text_col, "_text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", n_hit long"
-    return source.mapInArrow(run, schema).select(*[F.col("_text").alias(n) if n == text_col else n for n in names], "n_hit")
+def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, hits: str = "n_hit") -> DataFrame:
+    """``docs`` with the merged removal spans cut out of the text and a column ``hits`` (one of that name is replaced).
+
+    A text without a hit stays as it is, null ones too; repeated rows and rows without an id each keep their row; an
+    empty table stays empty.
+    """
+    marked, block = _marked(docs, None, text_col, benchmark, item_col, item_text, window, block_chars)
+    found = _apply(marked, block, window, True)
+    return found.select(*[F.col("text").alias(n) if n == text_col else F.col(f"own.`{n}`").alias(n) for n in docs.columns if n.lower() != hits.lower()], F.col("n_hit").alias(hits))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document; see ``scan`` for nulls and repeats."""
     found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -17,17 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pramana.llm._spark import table
+from pramana.llm._spark import table, unused
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 MOST_TOKENS = 20
+#: Tokens whose segments are held at a time.
+BLOCK = 400
 #: Sentences that the field is fitted on, and sweeps over them.
 SENTENCES, SWEEPS = 300, 30
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: From the start of a run of digits only, and without giving digits back: what the plain pattern finds, in linear time.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CORE = re.compile(r"[0-9@]+")
@@ -114,11 +117,11 @@ def _shape(s: str) -> tuple[int, ...]:
     return tuple(f)
 
 
-def _lattice(text: str, start: int = 0, end: int | None = None):
-    """Candidate segments of a region: (token from, token to) and the features of each."""
-    tokens = [m.span() for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
+def _segments(text: str, tokens: list, low: int, high: int):
+    """Candidate segments that start at the tokens low to high: (token from, token to) and the features of each."""
     segments, features = [], []
-    for i, (a, _) in enumerate(tokens):
+    for i in range(low, high):
+        a = tokens[i][0]
         if text[a].isspace():
             continue
         before = text[a - 1] if a else " "
@@ -144,7 +147,13 @@ def _lattice(text: str, start: int = 0, end: int | None = None):
     x = np.zeros((len(segments), _FEATURES))
     for k, f in enumerate(features):
         x[k, f] = 1
-    return tokens, segments, x
+    return segments, x
+
+
+def _lattice(text: str, start: int = 0, end: int | None = None):
+    """All candidate segments of a region with its tokens."""
+    tokens = [m.span() for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
+    return (tokens, *_segments(text, tokens, 0, len(tokens)))
 
 
 def _examples(n: int, seed: int = 11):
@@ -228,31 +237,39 @@ def fit(sentences: int = SENTENCES, sweeps: int = SWEEPS) -> np.ndarray:
 
 
 def decode(text: str, w: np.ndarray, start: int = 0, end: int | None = None) -> list[tuple[int, int, int]]:
-    """Best segmentation of a region: (start, kind, end) of the segments that are a kind."""
-    tokens, segments, x = _lattice(text, start, end)
-    if not segments:
-        return []
-    score = x @ w.T
-    kind = score.argmax(1)
-    value = score[np.arange(len(kind)), kind].tolist()
-    ends: dict[int, list[int]] = {}
-    for s, (_, j) in enumerate(segments):
-        if value[s] > 0:
-            ends.setdefault(j, []).append(s)
-    best, back = [0.0] * (len(tokens) + 1), [-1] * (len(tokens) + 1)
-    for t in range(1, len(tokens) + 1):
-        best[t] = best[t - 1]
-        for s in ends.get(t, ()):
-            v = best[segments[s][0]] + value[s]
-            if v > best[t]:
-                best[t], back[t] = v, s
-    out, t = [], len(tokens)
+    """Best segmentation of a region: (start, kind, end) of the segments that are a kind.
+
+    Candidates are made and scored a block of start tokens at a time, so that a long region needs no more memory
+    than its tokens; the best value up to a token is final before segments from it are looked at.
+    """
+    tokens = [m.span() for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
+    n = len(tokens)
+    best, back = [0.0] * (n + 1), [(-1, -1)] * (n + 1)
+    for low in range(0, n, BLOCK):
+        segments, x = _segments(text, tokens, low, min(n, low + BLOCK))
+        score = x @ w.T
+        kind = score.argmax(1)
+        value = score[np.arange(len(kind)), kind]
+        good = np.flatnonzero(value > 0)
+        by_start: dict[int, list[int]] = {}
+        for s in good.tolist():
+            by_start.setdefault(segments[s][0], []).append(s)
+        for i in range(low, min(n, low + BLOCK)):
+            if i and best[i - 1] >= best[i]:
+                best[i], back[i] = best[i - 1], (-1, -1)
+            for s in by_start.get(i, ()):
+                j, v = segments[s][1], best[i] + value[s]
+                if v > best[j]:
+                    best[j], back[j] = v, (i, int(kind[s]))
+    if n and best[n - 1] >= best[n]:
+        best[n], back[n] = best[n - 1], (-1, -1)
+    out, t = [], n
     while t:
-        if back[t] < 0:
+        i, k = back[t]
+        if i < 0:
             t -= 1
         else:
-            i, j = segments[back[t]]
-            out.append((tokens[i][0], int(kind[back[t]]), tokens[j - 1][1]))
+            out.append((tokens[i][0], k, tokens[t - 1][1]))
             t = i
     return out[::-1]
 
@@ -317,9 +334,10 @@ def _written(found: list) -> str:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base, spans) for every row; null text counts as empty.
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row, repeated rows and those without an id too.
 
-    Counts and ``base`` are of the pattern spans, ``spans`` has the field's as well. Positions are code points.
+    Counts and the digest are of the pattern spans, ``spans`` has the field's as well. Positions are code points.
+    Null and empty texts have none; an empty table gives an empty result. Ids may be of any type.
     """
     w = fit()
 
@@ -340,15 +358,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; null texts stay null."""
+    """``docs`` with every span replaced by its kind in brackets; null and empty texts stay, repeated rows too."""
     w = fit()
-    names = docs.columns
+    names, own = docs.columns, unused(docs, "redacted")
 
     def run(batches):
         memo: dict = {}
         for b in batches:
             out = []
-            for x in b.column("_text"):
+            for x in b.column(own):
                 text = x.as_py()
                 if text is not None:
                     end = len(text)
@@ -364,12 +382,13 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         at = z
                     text = "".join([*parts, text[at:end]])
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "_text" else b.column(n) for n in b.schema.names], names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == own else b.column(n) for n in b.schema.names], names=b.schema.names)
 
-    source = docs.withColumnRenamed(text_col, "_text")
+    source = docs.withColumnRenamed(text_col, own)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, schema).select(*[F.col("_text").alias(n) if n == text_col else n for n in names])
+    return source.mapInArrow(run, schema).select(*[F.col(own).alias(n) if n == text_col else F.col(f"`{n}`") for n in names])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; see ``scan`` for nulls and repeats."""
     return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -14,7 +14,6 @@ TREES, DEPTH, CUTS, SHRINK = 24, 3, 24, 0.3
 #: Lasso strength, and rules that may carry a weight.
 LASSO, MOST_RULES = 0.002, 60
 THRESHOLD = 0.3
-STATISTICS = ("chars", "words", "kinds", "lines", "line_kinds", "upper", "digits", "symbols", "runs", "stops", "repeats")
 FEATURES = ("words", "word_length", "kinds", "line_kinds", "line_words", "upper", "digits", "symbols", "runs", "stops", "repeats")
 
 
@@ -39,7 +38,7 @@ def statistics(text: Column) -> dict[str, Column]:
 
 
 def _ratios() -> dict[str, Column]:
-    c, at_least = F.col, lambda n: F.greatest(F.col(n), F.lit(1.0))
+    c, at_least = lambda n: F.col(f"s_{n}"), lambda n: F.greatest(F.col(f"s_{n}"), F.lit(1.0))
     return {
         "words": c("words"),
         "word_length": c("chars") / at_least("words"),
@@ -58,11 +57,10 @@ def _ratios() -> dict[str, Column]:
 
 
 def with_features(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` and the features, prefixed ``f_``, of every row."""
-    counted = docs.select(*keep, *[v.alias(k) for k, v in {f"s_{k}": v for k, v in statistics(F.col(text_col)).items()}.items()])
-    plain = counted.select(*keep, F.struct(*[F.col(f"s_{k}").alias(k) for k in STATISTICS]).alias("_s"))
-    named = plain.select(*[F.col(k).alias(f"_k_{k}") for k in keep], "_s.*")
-    return named.select(*[F.col(f"_k_{k}").alias(k) for k in keep], *[v.alias(f"f_{k}") for k, v in _ratios().items()])
+    """(kept, f_...) of every row: the columns ``keep`` in one struct, so that no name can clash, and the features."""
+    kept = F.struct(*[F.col(f"`{k}`") for k in keep]).alias("kept")
+    counted = docs.select(kept, *[v.alias(f"s_{k}") for k, v in statistics(F.col(text_col)).items()])
+    return counted.select("kept", *[v.alias(f"f_{k}") for k, v in _ratios().items()])
 
 
 def _grow(x, grad, hess, cuts, rows, depth, path, leaves, rules):
@@ -176,24 +174,36 @@ def compiled(model: dict) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, label: str = "quality", kept_apart=None) -> dict:
-    """A model from at most ``rows`` labelled rows, by a hash of doc_id; null labels and ids are left out,
-    of an id that has several labels the largest counts."""
+    """A model from at most ``rows`` labelled rows, drawn by a hash of id and text.
+
+    ``rows`` is the only bound. Null labels, ids and texts are left out; of an id that has several labels the
+    largest counts, and each of its rows may be drawn. Without two kinds of labels, as from an empty table, the
+    model is a constant.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if kept_apart is not None:
         known = known.where(~kept_apart)
-    chosen = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = with_features(found, ["_y"]).orderBy("_y", *[f"f_{k}" for k in FEATURES]).limit(2 * rows).toPandas()
-    return learn(sample[[f"f_{k}" for k in FEATURES]].to_numpy(float).reshape(-1, len(FEATURES)), sample["_y"].to_numpy(float))
+    chosen = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    drawn = found.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(rows)
+    names = [f"f_{k}" for k in FEATURES]
+    sample = with_features(drawn, ["y"]).select(F.col("kept.y").alias("y"), *names).orderBy("y", *names).toPandas()
+    return learn(sample[names].to_numpy(float).reshape(-1, len(FEATURES)), sample["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """``keep`` (columns of ``docs``) and the score of every whole text."""
-    return with_features(docs, keep).select(*keep, compiled(model).alias("score"))
+    """``keep`` (columns of ``docs``, one named score is replaced) and the score of every whole text.
+
+    Each row gets its row, repeated ones and those without an id too. Null and empty texts have all statistics
+    zero and score by the rules that hold for that.
+    """
+    scored = with_features(docs, keep).select("kept", compiled(model).alias("score"))
+    return scored.select(*[F.col(f"kept.`{k}`") for k in keep if k.lower() != "score"], "score")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of held-out rows are not learned from. A row without an id is not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    apart = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = fit(docs, labels, kept_apart=apart)
     return score(docs, model, ["doc_id"]).select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -17,6 +17,8 @@ BITS, DISTANCE, SHINGLE, SEED = 64, 2, 3, 42
 BLOCKS = 4
 #: Blocks of a fingerprint with more members than this are linked by one-bit variants.
 CROWD = 32
+#: Fingerprints of more than one in so many rows are looked up by broadcast in the last join.
+HOTTEST = 2000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _WEIGHT = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -99,15 +101,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has an id. An empty table gives an empty result.
     """
     fps = checkpoint(fingerprints(docs, id_col, text_col))
-    groups = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    groups = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     # nodes are fingerprints: they are distinct, so equal ids on unlike texts do not link them
     found = components(link_fingerprints(groups.select("fp", F.col("fp").alias("node"))))
-    rooted = groups.join(found, groups.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = groups.join(found, groups.fp == found.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = rooted.join(lowest, "root").select("fp", "component")
-    return fps.join(by_fp, "fp").select("id", "fp", "component")
+    by_fp = checkpoint(rooted.join(lowest, "root").select("fp", "component", "n"))
+    # fingerprints of more than a HOTTEST-th of all rows are at most HOTTEST: they go to the rows, the others meet theirs
+    most = by_fp.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOTTEST
+    hot = by_fp.where(F.col("n") > most).select("fp", "component", F.lit(True).alias("hot")) if most else by_fp.limit(0).select("fp", "component", F.lit(True).alias("hot"))
+    met = fps.join(F.broadcast(hot), "fp", "left")
+    rest = met.where("hot is null").select("id", "fp").join(by_fp.where(F.col("n") <= most) if most else by_fp, "fp")
+    return met.where("hot").select("id", "fp", "component").unionByName(rest.select("id", "fp", "component"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document; see ``near_duplicates`` for nulls and repeats."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -1,8 +1,10 @@
 """Repeated word windows across documents: a count-min prefilter, then exact grouping.
 
-Every window of 13 words stands under its least hash of five words. Sketches of the partitions count
-the documents in which such a hash is; merged, they overestimate how many hold a window. Only windows
-estimated to be in two or more documents are grouped exactly, and no repeated one is lost.
+Every window of 13 words stands under its least hash of five words. Each task sketches the documents in which
+such hashes are, as sparse cells that go to the slice of the hash; a slice merges the sketches it gets, which
+overestimates how many documents hold a window, and names to each document its cells that count two or more.
+Only windows under these are grouped exactly, by their own hash, and no repeated one is lost. The number of
+slices follows the input, so a sketch is as sparse, and a task as large, at any size; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -15,16 +17,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pramana.llm._spark import table
+from pramana.llm._spark import need_integer_ids, table
 from pramana.llm._text import batch_slices, grams, hash_words, mix, split_words, utf8
 
 WINDOW, ANCHOR = 13, 5
-#: Rows of the sketch, and cells of a row as a power of two: eight for each expected anchor, at
-#: most 2 ** 28. Its bit map of repeated cells is broadcast, so it has at most 64 MB; on a corpus that
-#: outgrows it more windows are grouped exactly, and still all that repeat.
-ROWS, LEAST_BITS, MOST_BITS = 2, 16, 28
-SLICE_BITS = 20
-#: Windows that a task combines before it sends them, windows of a group of the exact pass at most, on average, and groups at least.
+#: Rows of a slice's sketch, cells of a row as a power of two, and anchors that a slice is expected to get: a cell holds an eighth of one.
+ROWS, BITS, SLICE = 2, 22, 500_000
+#: Anchors that a task sketches, and windows that it combines, before it sends them; windows of a group of the exact pass at most, on average, and groups at least.
 COMBINED, GROUPED, LEAST_GROUPS = 1_000_000, 2_000_000, 80
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -51,66 +50,112 @@ def _cells(anchor: np.ndarray, r: int, bits: int) -> np.ndarray:
         return (mix(anchor * _ODD[r]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _sketch_rows(anchors: list, bits: int):
-    """The sketch of some anchors, sparse: for each slice the cells counted once, and more often."""
-    a = np.concatenate(anchors)
-    for r in range(ROWS):
-        cell, count = np.unique(_cells(a, r, bits), return_counts=True)
-        part, at = np.unique(cell >> SLICE_BITS, return_index=True)
-        cell = (cell & ((1 << SLICE_BITS) - 1)).astype("<u4")
-        for p, x, y in zip(part.tolist(), at.tolist(), [*at[1:].tolist(), len(cell)]):
-            once = count[x:y] == 1
-            yield (r << 20) + p, cell[x:y][once].tobytes(), cell[x:y][~once].tobytes()
+_SKETCH = pa.schema([("slice", pa.int32()), *[(c, pa.binary()) for c in ("once", "doc", "ids", "ths", "more")], ("id", pa.int64()), ("th", pa.int64()), ("marked", pa.binary())])
+_SKETCH_SQL = "slice int, once binary, doc binary, ids binary, ths binary, more binary, id long, th long, marked binary"
 
 
-def repeated_cells(docs: DataFrame, bits: int) -> np.ndarray:
-    """(ROWS, cells / 8) bits: cells of the merged sketches that count two or more documents. docs: (id, th, text)."""
+def _low(anchor: np.ndarray) -> bytes:
+    return anchor.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _by_number(number: np.ndarray):
+    """(number, from, to) of each run of equal numbers."""
+    if len(number):
+        cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]]))
+        yield from zip(number[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist())
+
+
+def marks(docs: DataFrame, slices: int, bits: int) -> DataFrame:
+    """(id, th, marked): the anchors of each document whose sketched count is two documents or more. docs: (id, th, text).
+
+    A partition's sketch is sparse: the low 40 bits of its anchors, of which the cells of every row follow. Anchors
+    of one document here go to their slice with it; those of more are marked here, and the slice only learns that they
+    are more, so that one which a third of all documents share comes to its slice once from each task.
+    """
 
     def sketch(batches):
+        kept: list = []
+        ids: list = []
+        ths: list = []
+
         def flush():
-            rows = list(zip(*_sketch_rows(kept, bits)))
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["part", "once", "more"])
+            anchor, doc = (np.concatenate(c) for c in zip(*kept))
+            own, hashes = np.concatenate(ids), np.concatenate(ths)
+            order = np.lexsort((doc, anchor))
+            anchor, doc = anchor[order], doc[order]
+            again = anchor[1:] == anchor[:-1]
+            more = np.concatenate([[False], again]) | np.concatenate([again, [False]])
+            slice_of = lambda a: (mix(a ^ _ODD[1]) % np.uint64(slices)).astype(np.int64)
+            rows = []
+            here = np.argsort(doc[more], kind="stable")
+            low = anchor[more][here]
+            rows += [(int(hashes[d]) % slices, *[None] * 5, int(own[d]), int(hashes[d]), _low(low[x:y])) for d, x, y in _by_number(doc[more][here])]
+            first = np.unique(anchor[more])
+            first = first[np.argsort(slice_of(first), kind="stable")]
+            rows += [(p, *[None] * 4, _low(first[x:y]), None, None, None) for p, x, y in _by_number(slice_of(first))]
+            anchor, doc = anchor[~more], doc[~more]
+            order = np.lexsort((doc, slice_of(anchor)))
+            anchor, doc = anchor[order], doc[order]
+            for p, x, y in _by_number(slice_of(anchor)):
+                used, local = np.unique(doc[x:y], return_inverse=True)
+                rows.append((p, _low(anchor[x:y]), local.astype("<u4").tobytes(), own[used].tobytes(), hashes[used].tobytes(), *[None] * 4))
+            for c in (kept, ids, ths):
+                c.clear()
+            for k in range(0, len(rows), 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 2000]), _SKETCH)], schema=_SKETCH)
 
-        kept: list = []
+        base = size = 0
         for big in batches:
             for b in batch_slices(big):
                 row, _, anchor, _, _ = _windows(*utf8(b.column("text")))
                 if not len(row):
                     continue
+                # each anchor of a document once
+                order = np.lexsort((anchor, row))
+                row, anchor = row[order], anchor[order]
                 new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
-                row, anchor = row[new], anchor[new]
-                with np.errstate(over="ignore"):
-                    _, first = np.unique(mix(anchor + row.astype(np.uint64) * _ODD[0]), return_index=True)
-                kept.append(anchor[first])
-                if sum(map(len, kept)) > COMBINED:
-                    yield flush()
+                kept.append((anchor[new], row[new] + base))
+                ids.append(b.column("id").to_numpy(zero_copy_only=False))
+                ths.append(b.column("th").to_numpy(zero_copy_only=False))
+                base, size = base + b.num_rows, size + len(kept[-1][0])
+                if size > COMBINED:
+                    yield from flush()
+                    base = size = 0
         if kept:
-            yield flush()
+            yield from flush()
 
-    size = 1 << min(bits, SLICE_BITS)
+    def test(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        done = t.filter(pa.compute.is_valid(t.column("marked"))).select(["id", "th", "marked"])
+        many = [_widened(np.frombuffer(x.as_buffer(), np.uint8)) for x in t.column("more") if x.is_valid]
+        t = t.filter(pa.compute.is_valid(t.column("once")))
+        read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in t.column(name)]
+        low = [_widened(x) for x in read("once", np.uint8)]
+        count = [np.zeros(1 << bits, np.uint8) for _ in range(ROWS)]
+        for r in range(ROWS):
+            # the sketch of a partition is added to the slice's, which stops at two
+            for x in low:
+                cell, n = np.unique(_cells(x, r, bits), return_counts=True)
+                count[r][cell] = np.minimum(count[r][cell] + np.minimum(n, 2), 2)
+            for x in many:
+                count[r][_cells(x, r, bits)] = 2
+        out: list = []
+        for x, doc, ids, ths in zip(low, read("doc", "<u4"), read("ids", np.int64), read("ths", np.int64)):
+            often = np.logical_and.reduce([count[r][_cells(x, r, bits)] == 2 for r in range(ROWS)])
+            x = x[often]
+            out += [(int(ids[d]), int(ths[d]), _low(x[p:q])) for d, p, q in _by_number(doc[often].astype(np.int64))]
+        columns = list(zip(*out)) or [(), (), ()]
+        return pa.concat_tables([done, pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["id", "th", "marked"])])
 
-    def merge(batches):
-        state: dict = {}
-        for b in batches:
-            for part, once, more in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                a = state.setdefault(part, np.zeros(size, np.uint8))
-                i = np.frombuffer(once.as_buffer(), "<u4")
-                a[i] = np.minimum(a[i] + 1, 2)
-                a[np.frombuffer(more.as_buffer(), "<u4")] = 2
-        if state:
-            yield pa.RecordBatch.from_arrays([pa.array(list(state), pa.int32()), pa.array([np.packbits(a == 2).tobytes() for a in state.values()], pa.binary())], names=["part", "bits"])
-
-    parts = ROWS * max(1, (1 << bits) // size)
-    sparse = docs.select("text").mapInArrow(sketch, "part int, once binary, more binary")
-    # a merging task holds the slices of its partition, a megabyte each
-    own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = sparse.repartition(max(own, parts // 32), "part").mapInArrow(merge, "part int, bits binary")
-    out = np.zeros((ROWS, (1 << bits) // 8), np.uint8)
-    for r in merged.toLocalIterator():
-        at = (r.part & 0xFFFFF) * size // 8
-        out[r.part >> 20, at : at + size // 8] = np.frombuffer(r.bits, np.uint8)
-    return out
+    sparse = docs.mapInArrow(sketch, _SKETCH_SQL)
+    return sparse.groupBy("slice").applyInArrow(test, "id long, th long, marked binary")
+
+
+def _widened(low: np.ndarray) -> np.ndarray:
+    """5-byte numbers as 64-bit ones."""
+    out = np.zeros((len(low) // 5, 8), np.uint8)
+    out[:, :5] = low.reshape(-1, 5)
+    return out.view(np.uint64).ravel()
 
 
 def _runs(pos: np.ndarray) -> bytes:
@@ -119,6 +164,17 @@ def _runs(pos: np.ndarray) -> bytes:
     return np.column_stack([np.concatenate([pos[:1], pos[cut + 1]]), np.concatenate([pos[cut], pos[-1:]])]).astype("<u4").tobytes()
 
 
+def _often(row: np.ndarray, anchor: np.ndarray, marked: pa.Array) -> np.ndarray:
+    """Which windows stand under a marked anchor of their document."""
+    lists = [(r, _widened(np.frombuffer(x.as_buffer(), np.uint8))) for r, parts in enumerate(marked) if parts.is_valid for x in parts.values]
+    if not lists:
+        return np.zeros(len(row), bool)
+    low = np.uint64((1 << 40) - 1)
+    with np.errstate(over="ignore"):
+        key = lambda a, r: mix((a & low) + np.asarray(r).astype(np.uint64) * _ODD[0])
+        return np.isin(key(anchor, row), np.concatenate([key(x, r) for r, x in lists]))
+
+
 def _later(g, g2, ids):
     """Which windows also stand in a document with a smaller id."""
     order = np.lexsort((ids, g2, g))
@@ -144,12 +200,11 @@ def _split_later(docno, pos, ids, ths):
         yield int(ids[d]), int(ths[d]), _runs(pos[x:y])
 
 
-def removals(docs: DataFrame, bits: int, groups: int) -> DataFrame:
-    """(id, th, runs) of windows to be removed; several rows for a document. docs: (id, th, text), no null id."""
-    repeated = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, bits))
+def removals(marked: DataFrame, groups: int) -> DataFrame:
+    """(id, th, runs) of windows to be removed; several rows for a document. marked: (id, th, text, marks), no null id."""
 
     def combine(batches):
-        """Windows estimated repeated, resolved among themselves; the rest goes out by its anchor's group."""
+        """Windows estimated repeated, resolved among themselves; the rest goes out by its own hash."""
 
         def flush():
             g, g2, shard, doc, pos = (np.concatenate(c) for c in zip(*kept))
@@ -172,20 +227,16 @@ def removals(docs: DataFrame, bits: int, groups: int) -> DataFrame:
         kept: list = []
         own_ids: list = []
         own_ths: list = []
-        bitmap = repeated.value
         for big in batches:
             for b in batch_slices(big):
                 row, pos, anchor, h, at = _windows(*utf8(b.column("text")))
-                often = np.ones(len(row), bool)
-                for r in range(ROWS):
-                    cell = _cells(anchor, r, bits)
-                    often &= (bitmap[r, cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+                often = _often(row, anchor, b.column("marks"))
                 if not often.any():
                     continue
-                row, pos, anchor, at = row[often], pos[often], anchor[often], at[often]
+                row, pos, at = row[often], pos[often], at[often]
                 g = grams(h, WINDOW, 0xC2B2AE3D27D4EB4F)[at]
                 g2 = (grams(h, WINDOW, 0x27D4EB2F165667C5)[at] >> np.uint64(32)).astype("<u4")
-                shard = (mix(anchor ^ _ODD[1]) % np.uint64(groups)).astype(np.int64)
+                shard = (mix(g ^ _ODD[1]) % np.uint64(groups)).astype(np.int64)
                 used, local = np.unique(row, return_inverse=True)
                 base = len(own_ids)
                 own_ids += b.column("id").take(pa.array(used)).to_pylist()
@@ -212,24 +263,28 @@ def removals(docs: DataFrame, bits: int, groups: int) -> DataFrame:
         columns = list(zip(*out)) or [(), (), ()]
         return pa.concat_tables([done, pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["id", "th", "runs"])])
 
-    return docs.mapInArrow(combine, _PART_SQL).groupBy("shard").applyInArrow(resolve, "id long, th long, runs binary")
+    return marked.mapInArrow(combine, _PART_SQL).groupBy("shard").applyInArrow(resolve, "id long, th long, runs binary")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, bits: int | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, slices: int | None = None, bits: int = BITS) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept]) for every row.
 
     A word goes if it is in a window whose words also start in a document with a smaller id. Rows
-    with equal ids never remove from each other, rows without an id neither remove nor lose words; null
-    texts have no words. Windows are compared by 96 bits of hash.
+    with equal ids never remove from each other, rows without an id neither remove nor lose words; null and empty
+    texts have no words; an empty table gives an empty result. Windows are compared by 96 bits of hash. Ids are integers.
     """
+    need_integer_ids(docs, id_col)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("th", F.xxhash64("text")).select("id", "th", "text")
-    known = source.where("id is not null")
-    chars = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if bits is None:
-        bits = min(MOST_BITS, max(LEAST_BITS, int(8 * chars // 28).bit_length()))
-    gone = removals(known, bits, max(LEAST_GROUPS, -(-chars // (6 * GROUPED))))
-    gone = gone.groupBy("id", "th").agg(F.collect_list("runs").alias("runs"))
+    chars = source.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # about one anchor for 28 characters
+    slices = slices or max(own, -(-chars // (28 * SLICE)))
+    found = marks(source.where("id is not null"), slices, bits).groupBy("id", "th").agg(F.collect_list("marked").alias("marks"))
+    # the texts move once: both joins are on the keys they are dealt by
+    dealt = source.repartition("id", "th")
+    marked = dealt.join(found, ["id", "th"]).select("id", "th", "text", "marks")
+    gone = removals(marked, max(LEAST_GROUPS, -(-chars // (6 * GROUPED)))).groupBy("id", "th").agg(F.collect_list("runs").alias("runs"))
     kind = docs.schema[id_col].dataType
 
     def cut(batches):
@@ -253,9 +308,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     kept.append(whole.decode())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.string())] if with_text else [])], names=["id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
 
-    joined = source.join(gone, ["id", "th"], "left").select("id", "text", "runs")
+    joined = dealt.join(gone, ["id", "th"], "left").select("id", "text", "runs")
     return joined.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text).withColumn("id", F.col("id").cast(kind))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated passages; see ``deduplicate`` for nulls and repeats."""
     return deduplicate(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

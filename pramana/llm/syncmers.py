@@ -1,8 +1,8 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of bytes is an anchor if its smallest inner s-mer lies at one of its edges, which depends on
-the k-mer alone. The fingerprint holds the anchors with the smallest hashes and their places;
-likeness counts anchors that match in the same order.
+the k-mer alone. A fingerprint is all anchors of a text with their places; likeness counts the anchors that
+match in the same order. It stays in the task that compares it, the column is its digest.
 """
 
 from __future__ import annotations
@@ -16,12 +16,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pramana.llm._spark import table
+from pramana.llm._spark import need_integer_ids, table
 from pramana.llm._text import batch_slices, mix
 
 K, S = 16, 6
-#: Anchors kept in a fingerprint.
-KEPT = 64
 #: Documents of a range of neighbours, and most such ranges.
 RANGE, MOST_RANGES = 4000, 20_000
 _RNG = np.random.default_rng(99).integers(0, 2**64, 256, dtype=np.uint64)
@@ -54,73 +52,86 @@ def anchors(buf: np.ndarray, off: np.ndarray):
     return h, at - off[row], row
 
 
-def fingerprints(texts: list[bytes]) -> list[list[tuple[int, int]]]:
-    """For each text its anchors (32-bit hash, place) with the smallest hashes, by place.
+def fingerprints(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct anchors in the order of their first places: (64-bit hashes, places).
 
     A text that has no anchor is one anchor as a whole; an empty text has none.
     """
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     h, place, row = anchors(np.frombuffer(b"".join(texts), np.uint8), off)
-    h = (h >> np.uint64(32)).astype(np.int64)
     bounds = np.searchsorted(row, np.arange(len(texts) + 1))
     out = []
     for i, t in enumerate(texts):
         x, p = h[bounds[i] : bounds[i + 1]], place[bounds[i] : bounds[i + 1]]
-        if len(x) > 4 * KEPT:
-            near = np.flatnonzero(x <= np.partition(x, 2 * KEPT)[2 * KEPT])
-            if len(np.unique(x[near])) >= KEPT:
-                x, p = x[near], p[near]
-        u, first = np.unique(x, return_index=True)
-        u, p = u[:KEPT], p[first[:KEPT]]
-        order = np.argsort(p, kind="stable")
-        found = list(zip(u[order].tolist(), p[order].tolist()))
-        if not found and t:
-            found = [(int.from_bytes(hashlib.sha256(t).digest()[:4], "big"), 0)]
-        out.append(found)
+        _, first = np.unique(x, return_index=True)
+        first.sort()
+        x, p = x[first], p[first]
+        if not len(x) and t:
+            x, p = np.frombuffer(hashlib.sha256(t).digest()[:8], np.uint64), np.zeros(1, np.int64)
+        out.append((x, p))
     return out
 
 
-def written(found: list[tuple[int, int]]) -> str:
-    """8 hex digits of the hash and 6 or more of the place for each anchor, comma-joined."""
-    return ",".join(f"{h:08x}{p:06x}" for h, p in found)
+def written(found: tuple[np.ndarray, np.ndarray]) -> str:
+    """The number of anchors and a digest of their hashes and places."""
+    x, p = found
+    return f"{len(x)}:{hashlib.sha256(x.astype('<u8').tobytes() + p.astype('<i8').tobytes()).hexdigest()}"
 
 
-def likeness(a: list, b: list) -> float:
-    """Estimated share of anchors that two texts have in common in the same order, 0 to 1."""
-    if not a or not b:
-        return float(a == b)
-    pa_, pb = dict(a), dict(b)
-    union = sorted(pa_.keys() | pb.keys())[: max(len(a), len(b))]
-    tails: list[int] = []
-    for h in sorted((h for h in union if h in pa_ and h in pb), key=pa_.__getitem__):
-        k = bisect_left(tails, pb[h])
-        tails[k : k + 1] = [pb[h]]
-    j = len(tails) / len(union)
-    return 2 * j / (1 + j)
+def in_order(places: np.ndarray) -> int:
+    """Length of the longest increasing part of distinct numbers; what is in order from the start costs no loop."""
+    down = np.flatnonzero(places[1:] < places[:-1])
+    if not len(down):
+        return len(places)
+    tails = places[: down[0] + 1].tolist()
+    for p in places[down[0] + 1 :].tolist():
+        k = bisect_left(tails, p)
+        tails[k : k + 1] = [p]
+    return len(tails)
+
+
+def likeness(a: tuple, b: tuple) -> float:
+    """Anchors that two texts have in common in the same order, twice over both texts' number, 0 to 1."""
+    (x, _), (y, q) = a, b
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    order = np.argsort(y, kind="stable")
+    at = order[np.minimum(np.searchsorted(y, x, sorter=order), len(y) - 1)]
+    return 2 * in_order(q[at[y[at] == x]]) / (len(x) + len(y))
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = RANGE) -> DataFrame:
-    """Rows (id, _text, _bucket, _guest) dealt into ranges of ids and sorted in each by descending id.
+    """Rows (id, text, bucket, guest) dealt into ranges of ids and sorted in each by descending id.
 
     The last row of each range is a guest: the first row of the next lower range, of the highest for
     the lowest. So every row has its next row after it, without a sort in one task. Equal ids follow the text's
-    hash; rows without an id come last.
+    hash; rows without an id come last, in ranges of that hash. Ids are integers.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    base = base.withColumn("_key", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63)).cast("long")))
-    n = min(MOST_RANGES, max(1, -(-base.count() // span)))
-    cuts = base.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    splits = [-float("inf"), *sorted({float(c) for c in cuts or [0]}), float("inf")]
-    base = base.withColumn("_d", F.col("_key").cast("double"))
-    base = Bucketizer(splits=splits, inputCol="_d", outputCol="_b").transform(base).drop("_d").withColumn("_bucket", F.col("_b").cast("int")).drop("_b")
-    base = base.withColumn("_h", F.xxhash64("_text"))
-    heads = sorted(tuple(r) for r in base.groupBy("_bucket").agg(F.max(F.struct("_key", "_h")).alias("m")).select("_bucket", "m._key", "m._h").collect())
-    to = [(key, h, heads[(i + 1) % len(heads)][0]) for i, (_, key, h) in enumerate(heads)]
+    need_integer_ids(docs, id_col)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    # a row without an id sorts by its hash alone, below all that have one
+    key = F.coalesce(F.col("id").cast("long"), F.col("h"))
+    base = base.select("id", "text", "h", key.alias("key"), F.col("id").isNotNull().cast("int").alias("known"))
+    counts = {r.known: r.n for r in base.groupBy("known").agg(F.count("*").alias("n")).collect()}
+    base, bucket, first = base.withColumn("d", F.col("key").cast("double")), F.lit(None), 0
+    for known in (1, 0):
+        n = min(MOST_RANGES, max(1, -(-counts.get(known, 0) // span)))
+        cuts = base.where(F.col("known") == known).agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
+        splits = sorted({float(c) for c in cuts or [0]})
+        base = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="d", outputCol=f"b{known}").transform(base)
+        # greater keys have smaller numbers, so that buckets follow the order of the rows
+        bucket = F.when(F.col("known") == known, first + len(splits) - F.col(f"b{known}")).otherwise(bucket)
+        first += len(splits) + 1
+    base = base.select("id", "text", "known", "key", "h", bucket.cast("int").alias("bucket"))
+    place = F.struct("known", "key", "h")
+    heads = sorted(tuple(r) for r in base.groupBy("bucket").agg(F.max(place).alias("m")).select("bucket", "m.known", "m.key", "m.h").collect())
+    to = [(known, key, h, heads[i - 1][0]) for i, (_, known, key, h) in enumerate(heads)]
     spark = docs.sparkSession
-    guests = base.drop("_bucket").join(F.broadcast(spark.createDataFrame(to, "_key long, _h long, _bucket int")), ["_key", "_h"])
-    both = base.withColumn("_guest", F.lit(0)).unionByName(guests.dropDuplicates(["_bucket"]).withColumn("_guest", F.lit(1)))
-    dealt = both.repartition(max(1, len(heads)), "_bucket").sortWithinPartitions("_bucket", "_guest", F.desc("_key"), F.desc("_h"))
-    return dealt.select("id", "_text", "_bucket", "_guest")
+    guests = base.drop("bucket").join(F.broadcast(spark.createDataFrame(to, "known int, key long, h long, bucket int")), ["known", "key", "h"])
+    both = base.withColumn("guest", F.lit(0)).unionByName(guests.dropDuplicates(["bucket"]).withColumn("guest", F.lit(1)))
+    dealt = both.repartitionByRange(max(1, len(heads)), "bucket").sortWithinPartitions("bucket", "guest", F.desc("known"), F.desc("key"), F.desc("h"))
+    return dealt.select("id", "text", "bucket", "guest")
 
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,16 +139,16 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next); the edit
     replaces the last half by the first characters of the next document in descending order of ids.
-    A null text counts as empty; a single document is its own next.
+    A null text counts as empty; a single document is its own next. Repeated rows follow each other and get a row
+    each; an empty table gives an empty result. Ids are integers.
     """
     kind = docs.schema[id_col].dataType
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind.simpleString(), pa.int64())
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):
         waiting = None
         for big in batches:
-            for b in batch_slices(big, "_text"):
+            for b in batch_slices(big):
                 rows = list(zip(*(c.to_pylist() for c in b.columns)))
                 if waiting is not None:
                     rows.insert(0, waiting)
@@ -149,11 +160,12 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 of_edit = fingerprints(coded)
                 out = [(rows[i][0], len(t), hashlib.sha256(c).hexdigest(), written(own[i]), written(e), likeness(own[i], e), likeness(own[i], own[i + 1])) for (i, t, _), c, e in zip(pairs, coded, of_edit)]
                 if out:
-                    types = [arrow, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
+                    types = [big.schema.field("id").type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     return neighbours(docs, id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edit and its next; see ``compare`` for nulls and repeats."""
     return compare(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Each word has a word input and a character input (its hashed first and last characters). The network
-reads overlapping windows of words; a document scores as its worst window.
+Each word has a word input (its hash) and a character input (the mean over every byte of the word of that byte
+with its two neighbours, hashed). The network reads overlapping windows of words; a document scores as its
+worst window.
 """
 
 from __future__ import annotations
@@ -17,29 +18,32 @@ from pramana.llm.decontaminate import SEPARATOR
 
 WINDOW, STRIDE = 32, 16
 BUCKETS, DIM, HIDDEN = 8192, 8, 8
-#: Bounds of the training sample: rows of each label, and characters of a training text.
-ROWS, CHARS = 1200, 6000
+#: Bound of the training sample: rows of each label, whole texts of any length.
+ROWS = 1200
+#: Windows of a training text that a step looks back through: those with the largest logits. The others of a longer
+#: text are read forward only; they have next to no share in its softly largest logit.
+LOOKED_AT = 256
 #: Passes over the sample, more if it is small: at least so many steps are taken.
 EPOCHS, BATCH, RATE, STEPS = 4, 16, 0.01, 500
 THRESHOLD = 0.7
-#: Windows that are scored together.
-TOGETHER = 2048
+#: Windows, and words, that are scored together; a longer text is read in parts that share the windows' overlap.
+TOGETHER, SEGMENT = 2048, 65_536
 
 
-def inputs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(words, 4) bucket numbers: the word, its first 4 and 5 bytes, its last 3. Bucket 0 is padding."""
-    out = np.empty((len(starts), 4), np.int32)
+def inputs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket number of each word, of each byte between its neighbours in the word, and bytes of each word. Bucket 0 is padding."""
     span = np.uint64(BUCKETS - 1)
-    out[:, 0] = hash_words(buf, starts, ends) % span
-    for column, offsets in ((1, range(4)), (2, range(5)), (3, range(-3, 0))):
-        h = np.full(len(starts), column, np.uint64)
-        for j in offsets:
-            at = starts + j if j >= 0 else ends + j
-            inside = (at < ends) & (at >= starts)
-            h *= np.uint64(257)
-            h += np.where(inside, buf[np.clip(at, 0, len(buf) - 1)] + np.uint64(1), np.uint64(0))
-        out[:, column] = mix(h) % span
-    return out + 1
+    word = (hash_words(buf, starts, ends) % span).astype(np.int32) + 1
+    size = ends - starts
+    to = np.cumsum(size)
+    if not len(to):
+        return word, np.zeros(0, np.int32), size
+    first, last = to - size, to - 1
+    here = buf[np.arange(to[-1]) - np.repeat(first, size) + np.repeat(starts, size)].astype(np.uint64) + np.uint64(1)
+    before, after = np.roll(here, 1), np.roll(here, -1)
+    before[first] = after[last] = 0
+    tri = (before * np.uint64(257) + here) * np.uint64(257) + after
+    return word, (mix(tri) % span).astype(np.int32) + 1, size
 
 
 def windows(row: np.ndarray, rows: int):
@@ -69,7 +73,11 @@ def new_weights(seed: int = 7) -> dict:
 
 
 def _embed(w, ids):
-    return np.concatenate([w["word"][ids[:, 0]], w["char"][ids[:, 1]] + w["char"][ids[:, 2]] + w["char"][ids[:, 3]]], axis=1)
+    word, char, size = ids
+    if not len(word):
+        return np.zeros((0, 2 * DIM), w["word"].dtype)
+    spelled = np.add.reduceat(w["char"][char], np.cumsum(size) - size) / size[:, None].astype(np.float32)
+    return np.concatenate([w["word"][word], spelled], axis=1)
 
 
 def _forward(w, gates, start, keep=False):
@@ -135,12 +143,9 @@ def _backward(w, ids, place, x, gates, start, kept, dlogit):
         grad[f"h_{d}"], grad[f"c_{d}"], grad[f"x_{d}"] = du, dg.sum(0), x.T @ dg
         dx += dg @ w[f"x_{d}"].T
     dx = dx[place]
-    for name, column, part in (("word", (0,), dx[:, :DIM]), ("char", (1, 2, 3), dx[:, DIM:])):
-        g = np.zeros((BUCKETS, DIM))
-        for c in column:
-            for j in range(DIM):
-                g[:, j] += np.bincount(ids[:, c], part[:, j], BUCKETS)
-        grad[name] = g
+    word, char, size = ids
+    for name, at, part in (("word", word, dx[:, :DIM]), ("char", char, np.repeat(dx[:, DIM:] / np.maximum(size, 1)[:, None], size, axis=0))):
+        grad[name] = np.column_stack([np.bincount(at, part[:, j], BUCKETS) for j in range(DIM)])
     return grad
 
 
@@ -150,6 +155,18 @@ def prepare(texts: list) -> tuple:
     return inputs(LOWER[buf], starts, ends), row
 
 
+def _looked_at(w, gates, start, owner):
+    """The windows without those of long texts whose logits are not among its largest."""
+    if np.bincount(owner).max() <= LOOKED_AT:
+        return start, owner
+    logit = np.concatenate([_forward(w, gates, start[at : at + TOGETHER]) for at in range(0, len(start), TOGETHER)])
+    order = np.lexsort((-logit, owner))
+    n = np.bincount(owner)
+    place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+    kept = np.sort(order[place < LOOKED_AT])
+    return start[kept], owner[kept]
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 3) -> dict:
     """Weights fitted so that a document's softly largest window logit tells its label (Adam)."""
     w = new_weights()
@@ -167,10 +184,11 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
-            ids = np.concatenate([ready[i] for i in chosen])
-            row = np.repeat(np.arange(len(chosen)), [len(ready[i]) for i in chosen])
+            ids = tuple(np.concatenate(c) for c in zip(*[ready[i] for i in chosen]))
+            row = np.repeat(np.arange(len(chosen)), [len(ready[i][0]) for i in chosen])
             place, places, start, owner = windows(row, len(chosen))
             x, gates = _gates(w, ids, places, place)
+            start, owner = _looked_at(w, gates, start, owner)
             kept = _forward(w, gates, start, keep=True)
             logit = kept[0].astype(np.float64)
             top = np.full(len(chosen), -np.inf)
@@ -191,33 +209,47 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     return w
 
 
-def score_texts(w: dict, buf, off) -> np.ndarray:
-    """The largest window probability of each text."""
+def score_texts(w: dict, buf, off, segment: int = SEGMENT) -> np.ndarray:
+    """The largest window probability of each text. A text of more than ``segment`` words is read in parts, with the same windows."""
     rows = len(off) - 1
     buf = LOWER[buf]
     starts, ends, row = split_words(buf, off, SEPARATOR)
-    place, places, start, owner = windows(row, rows)
-    _, gates = _gates(w, inputs(buf, starts, ends), places, place)
-    best = np.full(rows, -np.inf)
-    for at in range(0, len(start), TOGETHER):
-        np.maximum.at(best, owner[at : at + TOGETHER], _forward(w, gates, start[at : at + TOGETHER]))
+    n = np.bincount(row, minlength=rows)
+    parts = np.maximum(1, -(-(n - STRIDE) // segment))
+    owner = np.repeat(np.arange(rows), parts)
+    skip = (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * segment
+    size = np.minimum(n[owner] - skip, segment + STRIDE)
+    first = (np.cumsum(n) - n)[owner] + skip
+    total = np.cumsum(size)
+    best, at = np.full(rows, -np.inf), 0
+    while at < len(owner):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + segment, "right")))
+        many = size[at:to]
+        local = np.repeat(np.arange(to - at), many)
+        words = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[at:to], many)
+        place, places, start, own = windows(local, to - at)
+        _, gates = _gates(w, inputs(buf, starts[words], ends[words]), places, place)
+        for k in range(0, len(start), TOGETHER):
+            np.maximum.at(best, owner[at:to][own[k : k + TOGETHER]], _forward(w, gates, start[k : k + TOGETHER]))
+        at = to
     return _sigmoid(best)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS, label: str = "toxic", kept_apart=None) -> dict:
-    """Weights from at most ``rows`` labelled texts of each label and at most ``chars`` characters each.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, label: str = "toxic", kept_apart=None) -> dict:
+    """Weights from at most ``rows`` labelled texts of each label, whole.
 
     The sample follows a hash of doc_id. Null labels, ids and texts are left out; of an id that
     has several labels the largest counts. ``kept_apart`` is a condition on doc_id of rows never learned from.
+    Without texts of both labels, as from an empty table, all texts get one score.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if kept_apart is not None:
         known = known.where(~kept_apart)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
     chosen = None
     for y in (0, 1):
-        # twice as many ids as texts asked for, as long texts and missing ones drop out
+        # twice as many ids as texts asked for, as labels of missing texts drop out
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
         chosen = part if chosen is None else chosen.union(part)
     found = texts.join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
@@ -230,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS
 def score(docs: DataFrame, w: dict, name: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text in a column ``name``, which replaces one of that name.
 
-    Null and empty texts score as a window of padding.
+    Null and empty texts score as a window of padding; repeated rows and rows without an id each keep their row.
     """
     docs = docs.drop(name)
     handle = docs.sparkSession.sparkContext.broadcast(w)
@@ -247,8 +279,9 @@ def score(docs: DataFrame, w: dict, name: str = "score") -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of held-out rows are not learned from. A row without an id is not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    apart = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     w = fit(docs, labels, kept_apart=apart)
     found = score(docs.select("doc_id", "text"), w)
     return found.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

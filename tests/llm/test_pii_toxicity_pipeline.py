@@ -83,8 +83,8 @@ def test_network_gradients_match_differences():
     value = lambda: float(pull @ toxicity._forward(w, toxicity._gates(w, ids, places, place)[1], start))
     x, gates = toxicity._gates(w, ids, places, place)
     grad = toxicity._backward(w, ids, place, x, gates, start, toxicity._forward(w, gates, start, keep=True), pull.astype(np.float32))
-    for name in ("h_f", "x_b", "a_w", "a_v", "out", "bias"):
-        at = tuple(int(rng.integers(n)) for n in w[name].shape)
+    for name in ("h_f", "x_b", "a_w", "a_v", "out", "bias", "char"):
+        at = (int(ids[1][4]), 2) if name == "char" else tuple(int(rng.integers(n)) for n in w[name].shape)
         keep = w[name][at]
         w[name][at] = keep + 1e-2
         up = value()
@@ -94,6 +94,68 @@ def test_network_gradients_match_differences():
         assert grad[name][at] == pytest.approx((up - down) / 2e-2, rel=0.03, abs=0.02), name
 
 
+def plain_forward(w, words):
+    """The logit of one window, word by word."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    hidden = toxicity.HIDDEN
+    ids, _ = toxicity.prepare([" ".join(words)])
+    at, x = 0, []
+    for k in range(toxicity.WINDOW):
+        if k < len(words):
+            spelled = np.mean([w["char"][c] for c in ids[1][at : at + ids[2][k]]], axis=0)
+            at += ids[2][k]
+            x.append(np.concatenate([w["word"][ids[0][k]], spelled]))
+        else:
+            x.append(np.zeros(2 * toxicity.DIM))
+    states = np.zeros((toxicity.WINDOW, 2 * hidden))
+    for d, order, off in (("f", range(toxicity.WINDOW), 0), ("b", range(toxicity.WINDOW - 1, -1, -1), hidden)):
+        h = np.zeros(hidden)
+        for k in order:
+            g, a = x[k] @ w[f"x_{d}"] + w[f"c_{d}"], h @ w[f"h_{d}"]
+            r, z = sig(g[:hidden] + a[:hidden]), sig(g[hidden : 2 * hidden] + a[hidden : 2 * hidden])
+            m = np.tanh(g[2 * hidden :] + r * a[2 * hidden :])
+            h = z * h + (1 - z) * m
+            states[k, off : off + hidden] = h
+    e = np.exp([np.tanh(s @ w["a_w"]) @ w["a_v"] for s in states])
+    return (e / e.sum()) @ states @ w["out"] + w["bias"][0]
+
+
+def test_scores_are_the_largest_of_all_overlapping_windows(spark, texts):
+    w = toxicity.train([t for _, t in texts[:40]], [k % 2 for k in range(40)])
+    rows = [*[t for _, t in texts[40:48]], "", "one", "\u00e9 " * 20, " ".join(t for _, t in texts[:12])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, w).collect()}
+    for i, t in enumerate(rows):
+        words = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({k: k + 32 for k in range(65, 91)})) if x]
+        n = max(1, -(-(len(words) - 16) // 16))
+        want = max(plain_forward(w, words[16 * k : 16 * k + 32]) for k in range(n))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-want)), abs=1e-4), i
+
+
+def test_long_texts_score_and_train_in_parts_as_whole(texts):
+    w = toxicity.train([t for _, t in texts[:30]], [k % 2 for k in range(30)])
+    many = [" ".join(t for _, t in texts[k : k + 9]) for k in range(3)] + ["", "a b"]
+    buf, off = toxicity.utf8(toxicity.pa.array(many))
+    assert np.allclose(toxicity.score_texts(w, buf, off), toxicity.score_texts(w, buf, off, segment=64), atol=1e-5)
+    ids, row = toxicity.prepare(many)
+    place, places, start, owner = toxicity.windows(row, len(many))
+    gates = toxicity._gates(w, ids, places, place)[1]
+    keep = toxicity.LOOKED_AT
+    try:
+        toxicity.LOOKED_AT = 5
+        some, of = toxicity._looked_at(w, gates, start, owner)
+    finally:
+        toxicity.LOOKED_AT = keep
+    assert np.bincount(of).max() == 5
+    for d in range(3):
+        assert toxicity._forward(w, gates, some[of == d]).max() == pytest.approx(toxicity._forward(w, gates, start[owner == d]).max(), abs=1e-5)
+
+
+def test_the_middle_of_a_word_is_read():
+    a, b = (toxicity.prepare([t])[0] for t in ("abcdefghij", "abcdexghij"))
+    assert len(a[1]) == 10 and (a[1] != b[1]).tolist() == [False] * 4 + [True] * 3 + [False] * 3
+
+
 def test_windows_cover_every_word_and_overlap():
     row = np.repeat([0, 1, 3], [5, 100, 33])
     place, places, start, owner = toxicity.windows(row, 4)
@@ -154,8 +216,27 @@ def test_pipeline_keeps_whole_results(spark, sf_dir, texts):
 
 
 def test_pipeline_on_odd_rows(spark, odd, empty, sf_dir):
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf_dir)
-        assert docs.count() > 0, name
-        assert stage(spark, empty.select("doc_id", "text", "lang", "source", "n_chars"), sf_dir).count() == 0, name
+    docs = odd.selectExpr("doc_id", "text", "lang", "source", "n_chars", "1 as _toxicity", "score as toxicity", "2 as n_hit", "id as _text", "3 as own", "4 as redacted", "5 as sequence_id", "6 as `group`")
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, before = stage(spark, docs, sf_dir), docs.columns
+        assert docs.columns == before and docs.count() > 0, name
+        assert docs.where("_toxicity <> 1 or toxicity <> 1 or n_hit <> 2 or _text <> 'x' or own <> 3 or redacted <> 4").count() == 0
+        assert stage(spark, none, sf_dir).count() == 0, name
+    assert corpus_pipeline.pack(spark, docs, sf_dir).count() > 0 and corpus_pipeline.pack(spark, none, sf_dir).count() == 0
+
+
+def test_addresses_in_long_digit_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    assert len([k for _, k, _ in pii.base_spans("1" * 300_000 + " " + "7." * 50_000) if k == 1]) == 12_500
+    assert time.time() - began < 20
+
+
+def test_long_regions_decode_as_short_ones(monkeypatch):
+    w = pii.fit()
+    text = " ".join(t for t, _ in pii._examples(20, seed=3))
+    whole = pii.decode(text, w)
+    monkeypatch.setattr(pii, "BLOCK", 7)
+    assert pii.decode(text, w) == whole and whole

@@ -124,6 +124,60 @@ def test_local_search_empties_a_bin():
     assert len(set(which)) == 3
 
 
+def test_local_search_beats_best_fit_and_raises_squared_fill():
+    """Half-sized pieces, of which best fit wastes the most; small ones; each within its capacity and whole."""
+    rng = np.random.default_rng(0)
+    for sizes, gain in ((rng.integers(300, 600, 4000), 10), (rng.integers(5, 300, 3000), 0), (rng.integers(1, 1025, 3000), 0)):
+        first = packing._best_fit(sizes, 1024)
+        before, square = len(first), sum(int(sizes[b].sum()) ** 2 for b in map(np.array, first))
+        after = packing._local_search(sizes, [list(b) for b in first], 1024)
+        assert sorted(i for b in after for i in b) == list(range(len(sizes))) and all(sizes[b].sum() <= 1024 for b in map(np.array, after))
+        assert before - len(after) >= gain and sum(int(sizes[b].sum()) ** 2 for b in map(np.array, after)) >= square
+
+
+def test_no_exchange_is_left():
+    """Small groups against a search of all moves and exchanges that raise squared fill, from the emptier bin to the fuller."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        sizes, cap = rng.integers(3, 40, 30), 60
+        bins = packing._local_search(sizes, packing._best_fit(sizes, cap), cap)
+        if len(bins) == -(-int(sizes.sum()) // cap):
+            continue
+        fill = [int(sizes[b].sum()) for b in map(np.array, bins)]
+        for a in range(len(bins)):
+            for b in range(len(bins)):
+                if a == b or fill[b] < fill[a] or fill[b] == cap:
+                    continue
+                for n, m in ((1, 0), (2, 0), (1, 1), (2, 1), (1, 2)):
+                    for x in combinations(bins[a], n):
+                        for y in combinations(bins[b], m):
+                            more = int(sizes[list(x)].sum()) - (int(sizes[list(y)].sum()) if y else 0)
+                            assert not 0 < more <= cap - fill[b]
+
+
+def test_encoder_on_hard_bytes():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(9)
+    marks = ["<|endoftext|>", "<|endoftext", "\u0000", "\u200d", "\ud7ff", "\U0001f469\u200d\U0001f680", "e\u0301", "\r\n", "\t\t", "   ", "'ll", "''S", "\u3000", "\u0130", "1234567", "a1b2", "\ufeff", "\x85"]
+    for _ in range(300):
+        t = "".join(rng.choice([rng.choice(marks), chr(rng.randrange(32, 0x3000)), rng.choice("etaoin ")]) for _ in range(rng.randrange(60)))
+        assert packing.encoder()(t) == slow.encode(t, add_special_tokens=False).ids, t
+
+
+def test_a_hot_fingerprint_and_a_tail_keep_their_components(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOTTEST", 20)
+    rows = [(i, "" if i % 3 == 0 else f"text number {i % 50} of some words") for i in range(300)]
+    got = {r.id: (r.fp, r.component) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    monkeypatch.setattr(simhash, "HOTTEST", 2000)
+    want = {r.id: (r.fp, r.component) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(got) == 300
+
+
 def plain_scan(text, items, n=10):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
     hit, met = set(), set()
@@ -156,7 +210,11 @@ def test_decontaminate_short_items_and_blocks(spark, odd, empty, block_chars):
     assert got == {i: plain_scan(t, keep)[:3] for i, t in rows}
     left = {r.doc_id: r.text for r in decontaminate.remove(docs, items, block_chars=block_chars).collect()}
     assert left[1] == "" and left[2] == "b " and left[5] == "x a" and left[4] is None
-    assert decontaminate.scan(odd, items).count() == odd.count()
+    assert decontaminate.scan(odd, items, block_chars=block_chars).count() == odd.count()
+    clash = docs.selectExpr("doc_id", "text", "1 as n_hit", "2 as own", "3 as _text", "4 as items")
+    assert decontaminate.remove(clash, items, block_chars=block_chars).where("own = 2 and _text = 3 and items = 4").count() == len(rows)
+    texts = docs.selectExpr("cast(doc_id as string) as doc_id", "text")
+    assert {int(r.id): r.n_hit for r in decontaminate.scan(texts, items, block_chars=block_chars).collect()} == {i: v[1] for i, v in got.items()}
     assert decontaminate.remove(empty, items).count() == 0
     assert decontaminate.scan(docs, items.limit(0)).where("n_hit > 0").count() == 0
 

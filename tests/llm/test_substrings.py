@@ -32,7 +32,7 @@ def test_substrings_match_brute_force(spark, sf_dir, texts):
     assert got == want and sum(r[2] for r in want) > 0
 
 
-@pytest.mark.parametrize("bits", [3, 16, 22])
+@pytest.mark.parametrize("bits", [3, 10, 22])
 def test_passages_copies_and_repeats(spark, bits, monkeypatch):
     monkeypatch.setattr(substrings, "COMBINED", 500)
     rng = random.Random(bits)
@@ -49,7 +49,7 @@ def test_passages_copies_and_repeats(spark, bits, monkeypatch):
     rows += [rows[5], rows[6], (rows[7][0], rows[8][1])]
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted((tuple(r) for r in substrings.deduplicate(docs, bits=bits).collect()), key=str)
+    got = sorted((tuple(r) for r in substrings.deduplicate(docs, bits=bits, slices=1 + bits).collect()), key=str)
     assert got == plain(rows)
 
 
@@ -58,3 +58,19 @@ def test_substrings_on_odd_rows(spark, odd, empty):
     assert sorted((tuple(r) for r in substrings.deduplicate(odd).collect()), key=str) == plain(rows)
     assert substrings.deduplicate(empty).count() == 0
     assert {r.kept for r in substrings.deduplicate(odd.where("doc_id in (1, 2)"), with_text=True).collect()} >= {""}
+
+
+def test_unique_windows_are_left_out_at_any_size(spark):
+    """The share of unique windows that pass the filter is small and does not follow the number of documents."""
+    rng = random.Random(1)
+    for n in (100, 800):
+        rows = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(60))) for i in range(n)] + [(10**6 + k, "one two three four five six seven " * 4) for k in range(2)]
+        docs = spark.createDataFrame(rows, "id long, text string").withColumn("th", substrings.F.xxhash64("text"))
+        slices = -(-n * 12 // 256)
+        marked = {r.id for r in substrings.marks(docs.select("id", "th", "text"), slices, 11).collect()}
+        assert {10**6, 10**6 + 1} <= marked and len(marked) < 0.4 * n
+
+
+def test_text_ids_are_told(spark, odd):
+    with pytest.raises(ValueError, match="integer"):
+        substrings.deduplicate(odd.selectExpr("cast(doc_id as string) as doc_id", "text"))
