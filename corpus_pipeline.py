@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pramana.llm import decontaminate, packing, pii, simhash, toxicity
-from pramana.llm._spark import checkpoint, table
+from pramana.llm._spark import checkpoint, table, unused
 
 #: No SQL: training a network, hashing shingles and tokenizing have no SQL form. Tests hold every
 #: stage against a plain version.
 ORACLE_SQL = None
 
 
+def _all(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose worst window stays below the threshold. Labels of held-out rows are not learned from."""
-    apart = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    """Documents whose worst window stays below the threshold. Labels of held-out rows are not learned from.
+
+    Null and empty texts, repeated rows and rows without an id are scored like others; an empty table stays empty.
+    """
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     w = toxicity.fit(docs, table(spark, sf_dir, "labels"), kept_apart=apart)
-    return toxicity.score(docs, w, "_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
+    score = unused(docs, "toxicity")
+    return toxicity.score(docs, w, score).where(F.col(score) < toxicity.THRESHOLD).select(_all(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,23 +36,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     known = docs.where("doc_id is not null")
     kept = simhash.near_duplicates(known).where("id = component").select(F.col("id").alias("doc_id")).distinct()
     one = known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
+    return one.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(_all(docs))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the removal spans; a document of which no word is left goes, n_chars is counted anew."""
-    left = decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
-    left = left.where((F.col("n_hit") == 0) | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
-    return left.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Texts without the removal spans; a document of which no word is left goes, n_chars is counted anew where words went.
+
+    Null and empty texts stay as they are, repeated rows and rows without an id too.
+    """
+    hits = unused(docs, "n_hit")
+    left = decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), hits=hits)
+    left = left.where((F.col(hits) == 0) | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+    return left.withColumn("n_chars", F.when(F.col(hits) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(_all(docs))
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind, n_chars counted anew."""
-    return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    """Texts with personal data replaced by its kind, n_chars counted anew; null texts and their n_chars stay, repeated rows too."""
+    return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(_all(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
+    """Pieces of all documents with their places in sequences; a null or empty text is its end token alone."""
     return packing.pack(packing.pieces(docs)).withColumnRenamed("id", "doc_id")
 
 
