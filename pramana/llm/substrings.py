@@ -25,6 +25,8 @@ WINDOW, ANCHOR = 13, 5
 ROWS, BITS, SLICE = 2, 22, 500_000
 #: Anchors that a task sketches, and windows that it combines, before it sends them; windows of a group of the exact pass at most, on average, and groups at least.
 COMBINED, GROUPED, LEAST_GROUPS = 1_000_000, 2_000_000, 80
+#: Stands for a missing id.
+NO_ID = -(2**63)
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -89,7 +91,7 @@ def marks(docs: DataFrame, slices: int, bits: int) -> DataFrame:
             rows = []
             here = np.argsort(doc[more], kind="stable")
             low = anchor[more][here]
-            rows += [(int(hashes[d]) % slices, *[None] * 5, int(own[d]), int(hashes[d]), _low(low[x:y])) for d, x, y in _by_number(doc[more][here])]
+            rows += [((int(own[d]) + int(hashes[d])) % slices, *[None] * 5, int(own[d]), int(hashes[d]), _low(low[x:y])) for d, x, y in _by_number(doc[more][here])]
             first = np.unique(anchor[more])
             first = first[np.argsort(slice_of(first), kind="stable")]
             rows += [(p, *[None] * 4, _low(first[x:y]), None, None, None) for p, x, y in _by_number(slice_of(first))]
@@ -210,7 +212,7 @@ def removals(marked: DataFrame, groups: int) -> DataFrame:
             g, g2, shard, doc, pos = (np.concatenate(c) for c in zip(*kept))
             ids, ths = np.array(own_ids, np.int64), np.array(own_ths, np.int64)
             late = _later(g, g2, ids[doc])
-            rows = [(int(t) % groups, i, t, r, *[None] * 6) for i, t, r in _split_later(doc[late], pos[late], ids, ths)]
+            rows = [((i + t) % groups, i, t, r, *[None] * 6) for i, t, r in _split_later(doc[late], pos[late], ids, ths)]
             g, g2, shard, doc, pos = (c[~late] for c in (g, g2, shard, doc, pos))
             order = np.lexsort((pos, doc, shard))
             g, g2, shard, doc, pos = (c[order] for c in (g, g2, shard, doc, pos))
@@ -274,13 +276,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts have no words; an empty table gives an empty result. Windows are compared by 96 bits of hash. Ids are integers.
     """
     need_integer_ids(docs, id_col)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # never null, so that no filter for one join's sake parts the two uses of the dealt texts
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("th", F.xxhash64("text")).select("id", "th", "text")
     chars = source.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # about one anchor for 28 characters
     slices = slices or max(own, -(-chars // (28 * SLICE)))
-    found = marks(source.where("id is not null"), slices, bits).groupBy("id", "th").agg(F.collect_list("marked").alias("marks"))
+    found = marks(source.where(F.col("id") != NO_ID), slices, bits).groupBy("id", "th").agg(F.collect_list("marked").alias("marks"))
     # the texts move once: both joins are on the keys they are dealt by
     dealt = source.repartition("id", "th")
     marked = dealt.join(found, ["id", "th"]).select("id", "th", "text", "marks")
@@ -309,7 +312,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.string())] if with_text else [])], names=["id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
 
     joined = dealt.join(gone, ["id", "th"], "left").select("id", "text", "runs")
-    return joined.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text).withColumn("id", F.col("id").cast(kind))
+    return joined.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text).withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")).cast(kind))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
