@@ -5,12 +5,16 @@ A chain is ARRAY<STRUCT<question, answer, t0, t1, box, deps: ARRAY<INT>>>; deps
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pramana.functions.geometry import box
 from pramana.functions.text import strip
 
+# The grammar of a chain's text.
 _NUMBER = r"([0-9.]+)"
 #: Groups: number, question, answer, first and last position, box, dependencies.
 STEP = rf"^\[(\d+)\]\s*Q:\s*(.*?)\s*\|\s*A:\s*(.*?)\s*\|\s*E:\s*t=(\d+)\s*-\s*(\d+)\s*box=\(\s*{_NUMBER}\s*,\s*{_NUMBER}\s*,\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\)\s*\|\s*deps=([0-9,\s]*)\s*$"
@@ -20,42 +24,58 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def think_lines(text) -> Column:
-    """Stripped lines that are not empty inside the first think tag; null without one."""
-    body = F.regexp_extract(_c(text), r"(?s)<think>(.*?)</think>", 1)
-    lines = F.filter(F.transform(F.split(body, r"\R"), strip), lambda s: s != "")
-    return F.when(_c(text).rlike(r"(?s)<think>.*?</think>"), lines)
-
-
-def raw_steps(lines) -> Column:
-    """Steps as read, numbers null where they cannot be read, dependencies as written numbers."""
-    g = lambda s, k: F.get(s, k - 1)
-    # one match a line gives all groups, parted by a character that no text has
-    parts = lambda s: F.split(F.regexp_replace(s, STEP, "\u0001".join(f"${k}" for k in range(1, 11))), "\u0001", -1)
-
-    def step(s):
-        deps = F.filter(F.transform(F.split(g(s, 10), ","), strip), lambda d: d != "")
-        return F.struct(g(s, 1).try_cast("int").alias("id"), g(s, 2).alias("question"), g(s, 3).alias("answer"), g(s, 4).try_cast("int").alias("t0"), g(s, 5).try_cast("int").alias("t1"), F.struct(*[g(s, 6 + k).try_cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]).alias("box"), F.transform(deps, lambda d: d.try_cast("int")).alias("deps"))
-
-    return F.transform(F.transform(F.filter(_c(lines), lambda s: s.rlike(STEP)), parts), step)
-
-
-def _unreadable(s) -> Column:
-    b = s["box"]
-    return b["x0"].isNull() | b["y0"].isNull() | b["x1"].isNull() | b["y1"].isNull() | s["t0"].isNull() | s["t1"].isNull() | F.exists(s["deps"], lambda d: d.isNull())
-
-
-def linked(raw) -> Column:
-    """Steps with dependencies as places of earlier steps: numbers not seen before go, of a repeated number the last counts."""
-    raw = _c(raw)
-
-    def one(s, i):
-        before = F.reverse(F.slice(F.transform(raw, lambda r: r["id"]), F.lit(1), i))
-        at = F.transform(s["deps"], lambda d: F.array_position(before, d))
-        deps = F.array_sort(F.transform(F.filter(at, lambda p: p > 0), lambda p: (i - p).cast("int")))
-        return F.struct(s["question"].alias("question"), s["answer"].alias("answer"), s["t0"].alias("t0"), s["t1"].alias("t1"), s["box"].alias("box"), F.when(i > 0, deps).otherwise(F.array().cast("array<int>")).alias("deps"))
-
-    return F.transform(raw, one)
+_LINE = re.compile(STEP)
+_THINK, _ANSWER = re.compile(r"<think>(.*?)</think>", re.S), re.compile(r"<answer>(.*?)</answer>", re.S)
+_BOX = ("x0", "y0", "x1", "y1")
+STEP_TYPE = "struct<question:string,answer:string,t0:int,t1:int,box:struct<x0:double,y0:double,x1:double,y1:double>,deps:array<int>>"
+PARSED_TYPE = f"struct<chain:array<{STEP_TYPE}>,answer:string,n_lines:int,n_steps:int,has_tags:boolean>"
+_ARROW_STEP = pa.struct([("question", pa.string()), ("answer", pa.string()), ("t0", pa.int32()), ("t1", pa.int32()), ("box", pa.struct([(n, pa.float64()) for n in _BOX])), ("deps", pa.list_(pa.int32()))])
+_ARROW_PARSED = pa.struct([("chain", pa.list_(_ARROW_STEP)), ("answer", pa.string()), ("n_lines", pa.int32()), ("n_steps", pa.int32()), ("has_tags", pa.bool_())])
+_LARGEST = 2**31 - 1
+
+
+def _read_step(groups: tuple, places: dict[int, int]) -> dict | None:
+    """A step from the groups of its line, None if a number cannot be read. ``places`` is where each number was seen last."""
+    try:
+        box = dict(zip(_BOX, map(float, groups[5:9])))
+        t0, t1 = int(groups[3]), int(groups[4])
+        named = [int(d) for d in groups[9].split(",") if d.strip()]
+    except ValueError:
+        return None
+    if max(t0, t1) > _LARGEST:
+        return None
+    return {"question": groups[1].strip(), "answer": groups[2].strip(), "t0": t0, "t1": t1, "box": box, "deps": sorted(places[d] for d in named if d in places)}
+
+
+def _is_valid(step: dict) -> bool:
+    b = step["box"]
+    return bool(step["question"] and step["answer"]) and step["t1"] >= step["t0"] >= 0 and all(0 <= v <= 1 for v in b.values()) and b["x1"] > b["x0"] and b["y1"] > b["y0"]
+
+
+def _parse_one(text: str | None) -> dict | None:
+    if text is None:
+        return None
+    think, said = _THINK.search(text), _ANSWER.search(text)
+    out = {"chain": None, "answer": said and said[1].strip(), "n_lines": 0, "n_steps": 0, "has_tags": bool(think)}
+    if not think:
+        return out
+    lines = [t for line in think[1].splitlines() if (t := line.strip())]
+    out["n_lines"] = len(lines)
+    steps, places = [], {}
+    for m in filter(None, map(_LINE.match, lines)):
+        out["n_steps"] += 1
+        step = _read_step(m.groups(), places)
+        if step is None:
+            return out
+        places[int(m[1])] = len(steps)
+        steps.append(step)
+    if steps and out["answer"] is not None and all(map(_is_valid, steps)):
+        out["chain"] = steps
+    return out
+
+
+def _parse_batch(texts: pa.Array) -> pa.Array:
+    return pa.array([_parse_one(t) for t in texts.to_pylist()], _ARROW_PARSED)
 
 
 def valid_step(s) -> Column:
@@ -71,31 +91,13 @@ def valid_chain(chain) -> Column:
     return (F.size(chain) > 0) & F.forall(chain, valid_step) & back
 
 
-def held(df, name: str, value: Column):
-    """Adds a costly column that is made once a row.
-
-    Filters on it, and the size checks that the optimizer adds to explode, would be pushed below and make it
-    anew, many times over where one such column is made from another; none is pushed below a draw.
-    """
-    return df.withColumn(name, F.when(F.rand(7) >= 0, value))
-
-
 def parse(df, text: str = "raw", out: str = "parsed"):
-    """Adds STRUCT<chain, answer, n_lines, n_steps, has_tags>; chain is null if the text is no valid one.
+    """Adds STRUCT<chain, answer, n_lines, n_steps, has_tags>; chain is null if the text is no valid one, all is null for a null text.
 
-    Columns are added step by step and held, so that no expression is written into the next and made again.
+    One Arrow function for each batch reads a line once; as nested column lambdas the same takes many times as long. Of a
+    repeated number the last step counts, numbers not seen before go.
     """
-    lines, raw, chain = f"_{out}_lines", f"_{out}_raw", f"_{out}_chain"
-    answer = F.when(F.col(text).rlike(r"(?s)<answer>.*?</answer>"), strip(F.regexp_extract(F.col(text), r"(?s)<answer>(.*?)</answer>", 1)))
-    df = held(held(df, lines, think_lines(text)), raw, raw_steps(lines))
-    df = held(df, chain, linked(raw))
-    bad = F.exists(F.col(raw), _unreadable)
-    first_bad = F.array_position(F.transform(raw, _unreadable), True)
-    steps = F.when(bad, first_bad).otherwise(F.size(raw)).cast("int")
-    ok = ~bad & answer.isNotNull() & valid_chain(chain)
-    has = F.col(lines).isNotNull()
-    struct = F.struct(F.when(has & ok, F.col(chain)).alias("chain"), answer.alias("answer"), F.when(has, F.size(lines)).otherwise(0).alias("n_lines"), F.when(has, steps).otherwise(0).alias("n_steps"), has.alias("has_tags"))
-    return held(df, out, struct).drop(lines, raw, chain)
+    return df.withColumn(out, F.arrow_udf(_parse_batch, PARSED_TYPE)(F.col(text).cast("string")))
 
 
 def render_step(s, i) -> Column:

@@ -109,9 +109,17 @@ def rescale_span(t, n_sampled: int = SAMPLED, slack: int = TOLERANCE) -> tuple[C
 
 
 def masked_fraction(regions, n_total: int = SCALE) -> Column:
-    """Mean over all frames of the masked area, capped at 1 a frame; overlaps count twice."""
-    per_frame = F.transform(F.sequence(F.lit(0), F.lit(n_total - 1)), lambda f: F.least(F.lit(1.0), F.aggregate(F.filter(_c(regions), lambda r: (r["t0"] <= f) & (f <= r["t1"])), F.lit(0.0), lambda s, r: s + area(r["box"]))))
-    return F.aggregate(per_frame, F.lit(0.0), lambda s, v: s + v) / n_total
+    """Mean over all frames of the masked area, capped at 1 a frame; overlaps count twice.
+
+    The area changes only where a region begins or ends: each stretch between two such frames is looked at once.
+    """
+    r, zero = _c(regions), F.lit(0)
+    edges = F.flatten(F.transform(r, lambda g: F.array(g["t0"].cast("int"), (g["t1"] + 1).cast("int"))))
+    inside = F.filter(F.array_sort(F.array_distinct(F.concat(edges, F.array(zero)))), lambda e: (e >= 0) & (e < n_total))
+    until = F.concat(F.slice(inside, 2, n_total + 1), F.array(F.lit(n_total)))
+    area_at = lambda f: F.aggregate(F.filter(r, lambda g: (g["t0"] <= f) & (f <= g["t1"])), F.lit(0.0), lambda s, g: s + area(g["box"]))
+    parts = F.zip_with(inside, until, lambda a, b: (b - a) * F.least(F.lit(1.0), area_at(a)))
+    return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / n_total
 
 
 def hash_unit(*key) -> Column:

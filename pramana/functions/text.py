@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # Word lists and phrases of the answer format.
 NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+WHERE = r"(?iU)^\s*where\s+is\s+(.+?)\s*\??\s*$"
+LETTER = r"(?<![A-Za-z])([A-H])(?![A-Za-z])"
+TEACHER = r"(?imU)^\s*(?:\[\d+\]|\d+[.)]|-|\*)?\s*(?:[A-Za-z][\w /-]{0,30}:\s*)?([^|\n]+?)\s*\|\s*observation:\s*([^|\n]+?)\s*\|\s*frame:\s*(\d+)"
+CUT = "Is this option correct?"
 LEAD_INS = "answer|the answer is|it is|it's|there are|there is"
 ENTITY_STOP = ["the", "a", "an", "of", "in", "on", "at", "with", "and", "to", "is", "his", "her", "their", "its", "s"]
 ANSWER_STOP = ["the", "a", "an", "at", "of", "and", "frame"]
@@ -37,7 +41,7 @@ def parse_letters(x, n_options) -> Column:
     t = strip(x)
     valid = F.substring(F.lit("ABCDEFGH"), F.lit(1), _c(n_options) if not isinstance(n_options, int) else F.lit(n_options))
     keep = lambda a: F.array_join(F.array_sort(F.array_distinct(F.filter(a, lambda c: F.contains(valid, c)))), "")
-    alone = keep(F.regexp_extract_all(F.upper(t), F.lit(r"(?<![A-Za-z])([A-H])(?![A-Za-z])"), 1))
+    alone = keep(F.regexp_extract_all(F.upper(t), F.lit(LETTER), 1))
     packed = F.replace(F.replace(F.upper(t), F.lit(","), F.lit("")), F.lit(" "), F.lit(""))
     compact = F.when(packed.rlike("^[A-H]+$"), keep(F.regexp_extract_all(packed, F.lit("([A-H])"), 1))).otherwise("")
     none = t.rlike(r"(?iU)\bnone\b") & ~t.rlike(r"(?U)\b[A-H]\b")
@@ -50,8 +54,8 @@ def extract_answer(x) -> Column:
 
 
 def entity_of(question) -> Column:
-    """What a step asks the place of, 1 to 80 characters, else null."""
-    e = F.regexp_extract(_c(question), r"(?i)^\s*Where (?:is|are) (.*?)\s*\?\s*$", 1)
+    """What a step asks the place of, 1 to 80 characters, else null: any white space, and the question mark may be missing."""
+    e = F.regexp_extract(_c(question), WHERE, 1)
     e = F.regexp_replace(F.trim(e), r"^\d+\s*:\s*", "")
     e = F.when(F.contains(e, F.lit(": ")), F.substring_index(e, ": ", -1)).otherwise(e)
     e = F.btrim(e, F.lit(" ."))
@@ -79,7 +83,7 @@ def jaccard(a, b) -> Column:
 
 def entities_in_text(entities, prompt, mode: str = "all") -> Column:
     """Whether the prompt names all (or, for ``none``, shares no word with) the entities; null without entities."""
-    words = content_words(F.substring_index(_c(prompt), "Is this option correct?", 1))
+    words = content_words(F.substring_index(_c(prompt), CUT, 1))
     if mode == "none":
         hit = ~F.exists(_c(entities), lambda e: F.arrays_overlap(content_words(e), words))
     else:
@@ -95,10 +99,12 @@ def named_objects(x) -> Column:
 
 
 def teacher_steps(x, most: int = 4) -> Column:
-    """Lenient step lines ``[n] frame f: entity | answer`` of a teacher: frame 0 to 15 and the rest, at most four."""
-    p = r"(?im)^\s*(?:\[?\d+[\].):]*|-)?\s*(?:frame|t)\s*[=:]?\s*(\d+)\s*[:|,-]\s*(.+?)\s*$"
-    found = F.zip_with(F.regexp_extract_all(_c(x), F.lit(p), 1), F.regexp_extract_all(_c(x), F.lit(p), 2), lambda f, e: F.struct(f.try_cast("int").alias("frame"), e.alias("text")))
-    return F.slice(F.filter(found, lambda s: s["frame"].between(0, 15)), 1, most)
+    """ARRAY<STRUCT<entity, observation, frame>> of a teacher's lines ``entity | observation: ... | frame: n`` with any
+    numbering or label before: entities of 1 to 80 characters, frames 0 to 15, the first ``most``."""
+    group = lambda k: F.regexp_extract_all(_c(x), F.lit(TEACHER), k)
+    found = F.arrays_zip(group(1).alias("e"), group(2).alias("o"), group(3).alias("f"))
+    steps = F.transform(found, lambda s: F.struct(strip(F.btrim(strip(s["e"]), F.lit("."))).alias("entity"), strip(s["o"]).alias("observation"), s["f"].try_cast("int").alias("frame")))
+    return F.slice(F.filter(steps, lambda s: s["frame"].between(0, 15) & F.length(s["entity"]).between(1, 80)), 1, most)
 
 
 def gold_letters(flags) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pramana.functions.geometry import hash_draw
+from pramana.operators.stats import numbered
 
 
 def draw_key(seed: int, *key) -> Column:
@@ -81,15 +82,20 @@ def onbox_given_visible(judged: DataFrame) -> DataFrame:
 
 
 def log_windows(log: DataFrame, size: int, order: str = "step", part: str | None = None) -> DataFrame:
-    """Means over windows of ``size`` rows of a log: reward over all rows, kl over rows that were not skipped.
+    """Means over every ``size`` rows of a log, in its order: those columns of a training log that it has.
 
-    A dense step number gives a row's window without a sort over the whole log.
+    reward, r_ columns, comp_len and steps_credited over all rows; kl, grad_norm and kl_clip_frac over rows that were not
+    skipped, 0 if all were. A window is counted in rows, so gaps and restarts of the step do not matter.
     """
-    w = F.floor((F.col(order) - F.lit(0)) / size).alias("window")
+    w = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1 if part else F.col("_place")
+    log = log if part else numbered(log, order, "_place")
+    log = log.withColumn("window", F.floor(w / size))
     run = ~F.coalesce(F.col("skipped"), F.lit(False))
-    n = F.count("*")
-    per_step = (F.max_by("sec", order) - F.min_by("sec", order)) / F.nullif(n - 1, F.lit(0))
-    return log.groupBy(*([part] if part else []), w).agg(n.alias("n"), F.avg("reward").alias("reward"), F.coalesce(F.avg(F.when(run, F.col("kl"))), F.lit(0.0)).alias("kl"), per_step.alias("sec_per_step"))
+    n, has = F.count("*"), log.columns
+    means = [F.avg(c).alias(c) for c in has if c in ("reward", "comp_len", "steps_credited") or c.startswith("r_")]
+    means += [F.coalesce(F.avg(F.when(run, F.col(c))), F.lit(0.0)).alias(c) for c in ("kl", "grad_norm", "kl_clip_frac") if c in has]
+    per_step = (F.max_by("sec", order) - F.min_by("sec", order)) / F.greatest(n - 1, F.lit(1))
+    return log.groupBy(*([part] if part else []), "window").agg(n.alias("n"), F.min(order).alias("first_step"), F.max(order).alias("last_step"), (1 - F.count_if(run) / n).alias("skip_rate"), *means, per_step.alias("sec_per_step"))
 
 
 def profile_json(df: DataFrame, column: str) -> DataFrame:

@@ -91,5 +91,4 @@ def citation_report(steps: DataFrame, tracks: DataFrame) -> DataFrame:
     s = steps.where("entity is not null")
     t = tracks.select("video", F.col("phrase").alias("entity"), "frame", F.col("box").alias("_t"))
     j = s.join(t, ["video", "entity", "frame"], "left").withColumn("_iou", F.when(F.col("_t").isNotNull(), G.iou("box", "_t")))
-    calls = s.select("video", "frame", "entity").distinct().agg(F.count("*").alias("detector_calls"))
-    return j.agg(F.count("*").alias("steps"), (F.count("_t") / F.count("*")).alias("detected_rate"), F.avg("_iou").alias("mean_iou"), F.avg((F.col("_iou") >= 0.5).cast("int")).alias("hit50")).crossJoin(calls)
+    return j.agg(F.count("*").alias("steps"), (F.count("_t") / F.count("*")).alias("detected_rate"), F.avg("_iou").alias("mean_iou"), F.avg((F.col("_iou") >= 0.5).cast("int")).alias("hit50"), F.countDistinct(F.struct("video", "frame", "entity")).alias("detector_calls"))

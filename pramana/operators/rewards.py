@@ -116,6 +116,12 @@ def necessity(deltas, delta: float, eps: float, gamma: float) -> Column:
     return F.when(n > 0, share(lambda x: x > delta) - gamma * share(lambda x: x <= eps)).otherwise(0.0)
 
 
+def necessity_by(df: DataFrame, by: list[str], value: str, delta: float, eps: float, gamma: float) -> DataFrame:
+    """(by, necessity) over the rows of each group: two counts, no list."""
+    n, x = F.count(value), F.col(value)
+    return df.groupBy(*by).agg(F.when(n > 0, F.count_if(x > delta) / n - gamma * F.count_if(x <= eps) / n).otherwise(0.0).alias("necessity"))
+
+
 def mix(weights: dict[str, float]) -> Column:
     """Weighted sum of reward columns."""
     return sum((F.coalesce(F.col(k), F.lit(0.0)) * w for k, w in weights.items()), F.lit(0.0))

@@ -126,7 +126,8 @@ def exist(items: DataFrame, scenes: DataFrame) -> DataFrame:
 
 
 def negate(answers: DataFrame) -> DataFrame:
-    return answers.withColumn("answer", F.when(F.col("answer") == "yes", "no").otherwise("yes"))
+    """Yes for no and no for yes; what is unknown or an error stays so."""
+    return answers.withColumn("answer", F.when(F.col("answer") == "yes", "no").when(F.col("answer") == "no", "yes").otherwise(F.col("answer")))
 
 
 def belong_to(entry: DataFrame, evs: DataFrame) -> DataFrame:

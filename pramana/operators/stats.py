@@ -11,6 +11,10 @@ from pramana.functions.geometry import hash_draw, hash_unit
 PAIRS = {"es": ("mask_evidence", "mask_random"), "track": ("mask_track", "mask_track_random"), "cite": ("mask_cite", "mask_cite_random"), "cite_track": ("mask_cite_track", "mask_cite_track_random")}
 
 
+#: Clusters whose sums are sent to all tasks, 40 bytes each at most.
+MOST_SENT = 1_000_000
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of every key, by ``order``; a maximum of structs, which combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
@@ -81,13 +85,14 @@ def bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 0, method: st
         weight = sum(F.when(u >= c, 1).otherwise(0) for c in cut)
         drawn = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("w", weight)
     else:
-        # an even number of pieces for each cluster: places are numbered once, weights are counted by (rep, place)
-        numbered = sums.withColumn("place", F.row_number().over(Window.orderBy("cluster")) - 1)
+        # places are numbered once; each replicate's draws are looked up in the clusters' sums
         n = sums.count()
+        places = numbered(sums, "cluster") if dict(sums.dtypes)["cluster"] in ("int", "bigint", "double") else sums.withColumn("place", F.row_number().over(Window.orderBy("cluster")) - 1)
         reps = sums.sparkSession.range(replicates).select(F.col("id").alias("rep"))
         draws = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("pos")).where(F.lit(n > 0))
-        weights = draws.select("rep", hash_draw(max(n, 1), F.lit(seed), "rep", "pos").alias("place")).groupBy("rep", "place").agg(F.count("*").alias("w"))
-        drawn = weights.join(numbered.hint("merge"), "place")
+        drawn = draws.select("rep", hash_draw(max(n, 1), F.lit(seed), "rep", "pos").alias("place"))
+        # a bounded number of clusters goes to the draws; more of them are counted by place first
+        drawn = drawn.withColumn("w", F.lit(1)).join(F.broadcast(places), "place") if n <= MOST_SENT else drawn.groupBy("rep", "place").agg(F.count("*").alias("w")).join(places.hint("merge"), "place")
     total = drawn.groupBy("rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "fa", "fb")]).where("n > 0")
     return total.select("rep", (F.col("fa") / F.col("n") - F.col("fb") / F.col("n")).alias("gap"))
 
@@ -103,6 +108,37 @@ def interval(reps: DataFrame, value: str = "gap", level: float = 0.95) -> DataFr
     return v.select(F.coalesce(lo, nan).alias("lo"), F.coalesce(hi, nan).alias("hi"), n.alias("n_reps"))
 
 
+def numbered(df: DataFrame, order: str, name: str = "place", within: int = 200_000) -> DataFrame:
+    """Adds the place of each row by a number column, from 0, without a sort of all rows in one task.
+
+    Ranges of about ``within`` rows are cut at approximate quantiles and sorted each by itself; what comes before a range is
+    a count. Nulls come first. Rows of equal value are numbered in any order.
+    """
+    rows = df.count()
+    n = max(1, -(-rows // within))
+    value = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
+    cuts = sorted(set(df.agg(F.percentile_approx(value, [k / n for k in range(1, n)], 10 * n)).first()[0] or [])) if n > 1 else []
+    part = F.lit(0)
+    for c in cuts:
+        part = part + (value > c).cast("int")
+    dealt = df.withColumn("_part", part)
+    counts = sorted((r["_part"], r["n"]) for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before, total = F.lit(0).cast("long"), 0
+    for k, size in counts:
+        before = F.when(F.col("_part") == k, F.lit(total).cast("long")).otherwise(before)
+        total += size
+    w = Window.partitionBy("_part").orderBy(order)
+    return dealt.withColumn(name, before + F.row_number().over(w) - 1).drop("_part")
+
+
+def upper_median_by(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, median): the middle of the sorted values, the upper of two, from counts of each value and their running sum."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return n.select(*by, value, upto.alias("_u"), F.sum("_n").over(w).alias("_all")).where(F.col("_u") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min(value).alias("median"))
+
+
 def upper_median(value) -> Column:
     """The middle of the sorted values, the upper of two."""
     v = F.array_sort(F.collect_list(value))

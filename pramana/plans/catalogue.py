@@ -171,7 +171,9 @@ def pooled_gap_whole(spark, sf):
 
 @query("SELECT condition, round(avg(fraction), 6) AS area, list_sort(list(fraction))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS upper_median FROM runs WHERE condition LIKE 'mask%' GROUP BY 1", (D.RUNS_SQL,))
 def mean_masked_area(spark, sf):
-    return D.runs(spark, sf).where("condition like 'mask%'").groupBy("condition").agg(r6(F.avg("fraction")).alias("area"), A.upper_median("fraction").alias("upper_median"))
+    r = D.runs(spark, sf).where("condition like 'mask%'").select("condition", "fraction")
+    mean = r.groupBy("condition").agg(r6(F.avg("fraction")).alias("area"))
+    return mean.join(A.upper_median_by(r, ["condition"], "fraction"), "condition").withColumnRenamed("median", "upper_median")
 
 
 @query("SELECT coalesce(question_type, 'ALL') AS question_type, count(*) AS questions, round(avg(all_right), 6) AS per_question, round(sum(r)::DOUBLE / sum(n), 6) AS per_option FROM (SELECT qset, min(question_type) AS question_type, min(correct) AS all_right, sum(correct) AS r, count(*) AS n FROM runs WHERE condition = 'plain' GROUP BY 1) GROUP BY GROUPING SETS ((question_type), ())", (D.RUNS_SQL,))
@@ -220,10 +222,11 @@ def frame_of_span(spark, sf):
     return D.boxes(spark, sf).select(G.frame_of("t0", "t1").alias("f")).groupBy("f").agg(F.count("*").alias("spans"))
 
 
-@query("SELECT item, round(sum(least(1.0, a)) / 128, 6) AS fraction FROM (SELECT item, f, sum(CASE WHEN f BETWEEN t0 AND t1 THEN (ax1 - ax0) * (ay1 - ay0) ELSE 0 END) AS a FROM boxes, range(128) r(f) GROUP BY 1, 2) GROUP BY 1", (D.BOXES_SQL,))
+@query("SELECT item, round(sum(least(1.0, a)) / 128, 11) AS fraction FROM (SELECT item, f, sum(CASE WHEN f BETWEEN t0 AND t1 THEN (ax1 - ax0) * (ay1 - ay0) ELSE 0 END) AS a FROM boxes, range(128) r(f) GROUP BY 1, 2) GROUP BY 1", (D.BOXES_SQL,))
 def masked_fraction(spark, sf):
     g = D.boxes(spark, sf).groupBy("item").agg(F.collect_list(F.struct("t0", "t1", F.col("a").alias("box"))).alias("regions"))
-    return g.select("item", r6(G.masked_fraction("regions")).alias("fraction"))
+    # areas are ten-thousandths, of which 128ths have at most eleven decimals: there are no ties there
+    return g.select("item", F.round(G.masked_fraction("regions"), 11).alias("fraction"))
 
 
 @query(
@@ -420,8 +423,7 @@ def outcome_scores(spark, sf):
 
 @query("SELECT user_id, round(CASE WHEN n > 0 THEN CAST(hi AS DOUBLE) / n - 0.5 * lo / n ELSE 0 END, 6) AS necessity FROM (SELECT user_id, count(*) AS n, count(*) FILTER (value > 60) AS hi, count(*) FILTER (value <= 5) AS lo FROM events GROUP BY 1)")
 def necessity_score(spark, sf):
-    g = D.table(spark, sf, "events").groupBy("user_id").agg(F.collect_list("value").alias("d"))
-    return g.select("user_id", r6(W.necessity("d", 60.0, 5.0, 0.5)).alias("necessity"))
+    return W.necessity_by(D.table(spark, sf, "events"), ["user_id"], "value", 60.0, 5.0, 0.5).withColumn("necessity", r6(F.col("necessity")))
 
 
 @query("SELECT event_id, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 6) AS advantage FROM events WINDOW w AS (PARTITION BY user_id)")

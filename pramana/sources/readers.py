@@ -66,7 +66,9 @@ def write_runs(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small report as a table."""
-    rows = df.limit(most).collect()
+    """A small report as a table; an error if it has more than ``most`` rows, as none is left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows: write it as a table")
     show = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *["| " + " | ".join(map(show, r)) + " |" for r in rows]])

@@ -20,7 +20,7 @@ def plain(v):
     if v is None or isinstance(v, (bool, int, str)):
         return v
     try:
-        return round(float(v), 4)
+        return round(float(v), 6)
     except (TypeError, ValueError):
         return str(v)
 

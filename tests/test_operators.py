@@ -73,11 +73,40 @@ def test_letters(spark, raw, want):
     assert one(spark, raw).select(text.parse_letters("raw", 4)).first()[0] == want
 
 
-@pytest.mark.parametrize("raw, want", [("Where is 2: white dog: the white dog?", "the white dog"), ("Where is the man in red?", "the man in red"), ("Who is it?", None), ("Where is ?", None)])
+@pytest.mark.parametrize("raw, want", [("Where is 2: white dog: the white dog?", "the white dog"), ("Where is the man in red?", "the man in red"), ("Who is it?", None), ("Where is ?", "?"), ("Where  is the dog?", "the dog"), ("where is the dog", "the dog"), ("Where are the dogs?", None), ("Where is " + "x" * 81, None)])
 def test_entity(spark, raw, want):
     assert one(spark, raw).select(text.entity_of("raw")).first()[0] == want
 
 
+def test_teacher_lines(spark):
+    """Any numbering or label, frames within the clip, at most four."""
+    raw = "[1] entity: the dog. | observation: It runs | frame: 3\n2. cat: the black cat | observation: sits | frame: 12\nnoise\n- the red cup | OBSERVATION: falls | Frame: 5\n* far | observation: x | frame: 99\n" + "y" * 81 + " | observation: x | frame: 1\nz | observation: w | frame: 0\nlast | observation: v | frame: 1"
+    got = one(spark, raw).select(F.explode(text.teacher_steps("raw")).alias("s")).select("s.*").collect()
+    assert [tuple(r) for r in got] == [("the dog", "It runs", 3), ("the black cat", "sits", 12), ("the red cup", "falls", 5), ("z", "w", 0)]
+
+
+def test_places_and_middles_without_one_task(spark):
+    df = spark.createDataFrame([(i * 7 % 1000, i % 3) for i in range(1000)], "v int, k int").repartition(5)
+    got = {r.v: r.p for r in stats.numbered(df, "v", "p", within=90).collect()}
+    assert got == {v: v for v in range(1000)}
+    mid = {r.k: r.median for r in stats.upper_median_by(df, ["k"], "v").collect()}
+    assert mid == {k: sorted(i * 7 % 1000 for i in range(1000) if i % 3 == k)[len([i for i in range(1000) if i % 3 == k]) // 2] for k in range(3)}
+
+
+def test_log_windows_count_rows(spark):
+    """Gaps and a restart of the step; means over rows that ran; zero where none did."""
+    rows = [(s, float(i), float(i), 0.1 * i, i < 2, 2.0) for i, s in enumerate((0, 1, 7, 9, 20))]
+    log = spark.createDataFrame(rows, "step int, sec double, reward double, kl double, skipped boolean, r_format double")
+    got = {r.window: r for r in curate.log_windows(log, 2).collect()}
+    assert [(got[k].n, got[k].first_step, got[k].last_step, got[k].skip_rate, got[k].reward, round(got[k].kl, 3), got[k].sec_per_step, got[k].r_format) for k in range(3)] == [(2, 0, 1, 1.0, 0.5, 0.0, 1.0, 2.0), (2, 7, 9, 0.0, 2.5, 0.25, 1.0, 2.0), (1, 20, 20, 0.0, 4.0, 0.4, 0.0, 2.0)]
+
+
+def test_reports_are_whole_or_refused(spark):
+    assert readers.markdown(spark.createDataFrame([(1, 0.5)], "a int, b double")).endswith("| 1 | 0.500 |")
+    with pytest.raises(ValueError, match="more than 2"):
+        readers.markdown(spark.range(3), most=2)
+
+
 def test_three_valued_entities(spark):
     df = spark.createDataFrame([(["the red ball"], "a red ball falls"), (["dog"], "a red ball"), ([], "x")], "e array<string>, p string")
     assert [r[0] for r in df.select(text.entities_in_text("e", "p")).collect()] == [True, False, None]
