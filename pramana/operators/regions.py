@@ -92,3 +92,53 @@ def citation_report(steps: DataFrame, tracks: DataFrame) -> DataFrame:
     t = tracks.select("video", F.col("phrase").alias("entity"), "frame", F.col("box").alias("_t"))
     j = s.join(t, ["video", "entity", "frame"], "left").withColumn("_iou", F.when(F.col("_t").isNotNull(), G.iou("box", "_t")))
     return j.agg(F.count("*").alias("steps"), (F.count("_t") / F.count("*")).alias("detected_rate"), F.avg("_iou").alias("mean_iou"), F.avg((F.col("_iou") >= 0.5).cast("int")).alias("hit50"), F.countDistinct(F.struct("video", "frame", "entity")).alias("detector_calls"))
+
+
+def best_detections(proposals: DataFrame, keys: list[str], score: str, order: list[str]) -> DataFrame:
+    """The detection of each key with the best score, the first in ``order`` of equal ones; those without a box do not count."""
+    rest = [c for c in proposals.columns if c not in keys]
+    ahead = F.struct(F.col(score), *[-F.col(c) for c in order])
+    return proposals.where("box is not null").groupBy(*keys).agg(F.max_by(F.struct(*rest), ahead).alias("_d")).select(*keys, "_d.*")
+
+
+def step_scores(steps: DataFrame, proposals: DataFrame, keys: list[str], names: list[str], tol: int = 3) -> DataFrame:
+    """(keys, iou, visible, n_objects) of the steps that name an object: the cited box against the union of the named
+    objects' boxes, each at its frame nearest the middle of the cited span and at most half of it and ``tol`` away.
+
+    steps: keys, t0, t1, box, objects (array of structs of ``names``); proposals: scene, ``names``, frame, box. Candidate
+    frames are made for each step, so that the join is on equal keys.
+    """
+    mid, half = F.expr("(t0 + t1) div 2"), F.expr(f"(t1 - t0) div 2 + {tol}")
+    named = steps.where(F.size("objects") > 0).select(*keys, "scene", "t0", "t1", "box", "objects", mid.alias("mid"), half.alias("half"))
+    wanted = named.select(*keys, "scene", "mid", "half", F.explode("objects").alias("o"))
+    near = wanted.select(*keys, "scene", "mid", *[F.col(f"o.{n}").alias(n) for n in names], F.explode(F.sequence(F.col("mid") - F.col("half"), F.col("mid") + F.col("half"))).alias("frame"))
+    hit = near.join(proposals.select("scene", *names, F.col("frame").cast("long").alias("frame"), F.col("box").alias("found")), ["scene", *names, "frame"])
+    best = hit.groupBy(*keys, *names).agg(F.min_by("found", F.struct(F.abs(F.col("frame") - F.col("mid")), "frame")).alias("found"))
+    union = best.groupBy(*keys).agg(F.count("*").alias("n_found"), union_box("found").alias("ref"))
+    score = F.coalesce(F.when(F.col("ref").isNotNull(), G.iou("box", "ref")), F.lit(0.0))
+    return named.join(union, keys, "left").select(*keys, score.alias("iou"), (F.coalesce("n_found", F.lit(0)) == F.size("objects")).alias("visible"), F.size("objects").alias("n_objects"))
+
+
+def citation_twins(steps: DataFrame, tracks: DataFrame, kinds: DataFrame, seed: int = 0) -> DataFrame:
+    """By type and over all: named steps, share detected, overlap with the detection and that of a random box of the same size.
+
+    steps: (id, n, video, entity, frame, box), kinds: (id, question_type); boxes of nearly the whole frame are left out.
+    """
+    s = steps.where(F.col("entity").isNotNull() & ~G.nearly_whole("box"))
+    s = random_controls(s, ["id", "n"], seed=seed).join(tracks.select("video", F.col("phrase").alias("entity"), "frame", F.col("box").alias("_t")), ["video", "entity", "frame"], "left")
+    seen = F.col("_t").isNotNull()
+    own, twin = F.when(seen, G.iou("box", "_t")), F.when(seen, G.iou("control", "_t"))
+    per = kinds.join(s.select("id", "video", "frame", "entity", own.alias("own"), twin.alias("twin")), "id", "left").select("*", F.explode(F.array("question_type", F.lit("ALL"))).alias("kind"))
+    half = lambda c: F.avg((F.col(c) >= 0.5).cast("int"))
+    return per.groupBy("kind").agg(F.count_distinct("id").alias("n_items"), F.count("entity").alias("n_steps"), (F.count("own") / F.nullif(F.count("entity"), F.lit(0))).alias("detected_rate"), F.avg("own").alias("mean_iou"), half("own").alias("hit50"), F.avg("twin").alias("random_mean_iou"), half("twin").alias("random_hit50"), F.count_distinct(F.when(F.col("entity").isNotNull(), F.struct("video", "frame", F.lower("entity")))).alias("detector_calls"))
+
+
+def track_histogram(wanted: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(frames, phrases): how many of the wanted (video, phrase) were detected on so many frames, none included."""
+    n = tracks.groupBy("video", "phrase").agg(F.count_distinct("frame").alias("n"))
+    return wanted.select("video", "phrase").distinct().join(n, ["video", "phrase"], "left").groupBy(F.coalesce("n", F.lit(0)).alias("frames")).agg(F.count("*").alias("phrases"))
+
+
+def phrases_by_video(steps: DataFrame) -> DataFrame:
+    """(video, phrases): the distinct entities that any item of a video names, sorted."""
+    return steps.where("entity is not null").groupBy("video").agg(F.array_sort(F.collect_set(F.lower("entity"))).alias("phrases"))

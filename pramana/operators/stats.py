@@ -68,6 +68,17 @@ def sums_by_cluster(df: DataFrame, a: str, b: str, cluster: str = "qset") -> Dat
     return df.where(both).groupBy(F.col(cluster).alias("cluster")).agg(F.count_if(right).alias("n"), F.count_if(right & (F.col(a) == 0)).alias("fa"), F.count_if(right & (F.col(b) == 0)).alias("fb"))
 
 
+def poisson_weight(seed: int, *key) -> Column:
+    """A Poisson number with mean one that depends on its key alone."""
+    u = hash_unit(F.lit(seed), *key)
+    p, acc, weight = 0.36787944117144233, 0.0, F.lit(0)
+    for k in range(1, 12):
+        acc += p
+        p /= k
+        weight = weight + F.when(u >= acc, 1).otherwise(0)
+    return weight
+
+
 def bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 0, method: str = "draws") -> DataFrame:
     """(rep, gap) of resampled clusters; replicates without a right item are dropped.
 
@@ -76,14 +87,7 @@ def bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 0, method: st
     that needs no shuffle but of one row a replicate and task, for numbers of clusters beyond millions.
     """
     if method == "poisson":
-        u = hash_unit(F.lit(seed), "rep", "cluster")
-        cut, p, acc = [], 0.36787944117144233, 0.0
-        for k in range(1, 12):
-            acc += p
-            p /= k
-            cut.append(acc)
-        weight = sum(F.when(u >= c, 1).otherwise(0) for c in cut)
-        drawn = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("w", weight)
+        drawn = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("w", poisson_weight(seed, "rep", "cluster"))
     else:
         # places are numbered once; each replicate's draws are looked up in the clusters' sums
         n = sums.count()

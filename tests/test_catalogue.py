@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from pramana.plans import catalogue
+from pramana.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
 
@@ -25,14 +25,14 @@ def plain(v):
         return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, sf_dir, name):
-    df = catalogue.QUERIES[name](spark, sf_dir)
+    df = registry.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
     assert got
-    if name in catalogue.SQL:
-        q = con.execute(catalogue.SQL[name])
+    if name in registry.SQL:
+        q = con.execute(registry.SQL[name])
         names = [d[0] for d in q.description]
         assert sorted(names) == columns
         want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in q.fetchall()), key=str)
