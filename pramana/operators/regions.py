@@ -142,3 +142,30 @@ def track_histogram(wanted: DataFrame, tracks: DataFrame) -> DataFrame:
 def phrases_by_video(steps: DataFrame) -> DataFrame:
     """(video, phrases): the distinct entities that any item of a video names, sorted."""
     return steps.where("entity is not null").groupBy("video").agg(F.array_sort(F.collect_set(F.lower("entity"))).alias("phrases"))
+
+
+def evidence_objects(regions: DataFrame, proposals: DataFrame, names: list[str], least: float = 0.3) -> DataFrame:
+    """(id, scene, names): objects whose detection, on any frame of a region's span, lies in its box or overlaps it enough. regions: (id, scene, t0, t1, box)."""
+    at = regions.select("id", "scene", "box", F.explode(F.sequence(F.col("t0"), F.col("t1"))).alias("frame"))
+    met = at.join(proposals.select("scene", *names, F.col("frame").cast("int").alias("frame"), F.col("box").alias("_d")), ["scene", "frame"])
+    return met.where((G.iou("box", "_d") >= least) | G.contains("box", "_d")).select("id", "scene", *names).distinct()
+
+
+def object_tracks(objects: DataFrame, proposals: DataFrame, names: list[str]) -> DataFrame:
+    """(id, t0, t1, box): a region for each object of an item on each sampled frame where it is detected."""
+    points = proposals.where(F.col("frame").isin(*G.grid()))
+    hit = objects.join(points.select("scene", *names, F.col("frame").cast("int").alias("t0"), "box"), ["scene", *names])
+    return hit.select("id", "t0", F.col("t0").alias("t1"), "box")
+
+
+def skip_rules(items: DataFrame, regions: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(id, status): no_regions, no_objects if no object of its regions is tracked, else run."""
+    has = lambda d, c: d.select("id", F.lit(True).alias(c)).distinct()
+    j = items.join(has(regions, "r"), "id", "left").join(has(tracks, "t"), "id", "left")
+    return j.select("id", F.when(F.col("r").isNull(), "no_regions").when(F.col("t").isNull(), "no_objects").otherwise("run").alias("status"))
+
+
+def build_tracks(detections: DataFrame) -> DataFrame:
+    """(video, phrase, frames): the box of four decimals for each frame of a phrase, as a map."""
+    box = F.array(*[F.round(F.col(f"box.{c}"), 4) for c in ("x0", "y0", "x1", "y1")])
+    return detections.groupBy("video", "phrase").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("frame").cast("string"), box)))).alias("frames"))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from pramana.plans import catalogue, programs, reports  # noqa: F401  they add to the catalogue
+from pramana.plans import catalogue, curation, programs, reports  # noqa: F401  they add to the catalogue
 
 QUERIES, SQL = catalogue.QUERIES, catalogue.SQL
