@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pramana.llm import decontaminate, licenses, lm, packing, pii, quality, simhash, substrings, syncmers, toxicity
+from pramana.llm import decontaminate, licenses, lm, packing, pii, quality, simhash, sql, substrings, syncmers, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_licenses": sql.LICENSES, "op7_decontaminate": sql.DECONTAMINATE, "op8_substrings": sql.SUBSTRINGS}
