@@ -23,7 +23,7 @@ from pramana.llm._text import batch_slices, grams, hash_words, mix, split_words,
 WINDOW, ANCHOR = 13, 5
 #: Rows of a slice's sketch, cells of a row as a power of two, and anchors that a slice is expected to get: a cell holds an eighth of one.
 ROWS, BITS, SLICE = 2, 22, 500_000
-#: Anchors that a task sketches, and windows that it combines, before it sends them; windows of a group of the exact pass at most, on average, and groups at least.
+#: Anchors that a task sketches, and windows that it combines, before it sends them; windows of a group of the exact pass at most, on average, and groups and slices at least.
 COMBINED, GROUPED, LEAST_GROUPS = 1_000_000, 2_000_000, 80
 #: Stands for a missing id.
 NO_ID = -(2**63)
@@ -282,7 +282,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chars = source.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # about one anchor for 28 characters
-    slices = slices or max(own, -(-chars // (28 * SLICE)))
+    slices = slices or max(own, LEAST_GROUPS, -(-chars // (28 * SLICE)))
     found = marks(source.where(F.col("id") != NO_ID), slices, bits).groupBy("id", "th").agg(F.collect_list("marked").alias("marks"))
     # the texts move once: both joins are on the keys they are dealt by
     dealt = source.repartition("id", "th")
