@@ -109,6 +109,16 @@ def process(df: DataFrame, pred: str, ref: str, out: str = "process", beta: floa
     return d.withColumn(out, value).drop("_m", "_v")
 
 
+def process_best(df: DataFrame, pred: str, refs: str, out: str = "process", beta: float = 0.5) -> DataFrame:
+    """Adds the best score of a chain over an array of references; 0 without a chain or any."""
+    def one(ref):
+        m = greedy_match(pred, ref)
+        v = order_violations(pred, ref, m["pairs"])
+        return F.greatest(F.lit(0.0), m["score"] - F.when(v["edges"] > 0, beta * v["violations"] / v["edges"]).otherwise(0.0))
+
+    return df.withColumn(out, F.when(F.col(pred).isNotNull(), F.coalesce(F.array_max(F.transform(refs, one)), F.lit(0.0))).otherwise(0.0))
+
+
 def necessity(deltas, delta: float, eps: float, gamma: float) -> Column:
     """Share of steps whose loss matters, less a multiple of the share that changes nothing; 0 without steps."""
     d, n = _c(deltas), F.size(_c(deltas))

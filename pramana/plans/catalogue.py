@@ -109,10 +109,25 @@ def bootstrap_gap_ci_whole(spark, sf):
     return _boot(spark, sf, _BOOT_WHOLE)
 
 
-@query()
+def _poisson_cuts():
+    p, acc, out = 0.36787944117144233, 0.0, []
+    for k in range(1, 12):
+        acc += p
+        p /= k
+        out.append(repr(acc))
+    return ", ".join(out)
+
+
+@query(
+    f"""SELECT round(v[CAST(floor(0.025 * len(v)) AS INTEGER) + 1], 6) AS lo, round(v[least(len(v), CAST(floor(0.975 * len(v)) AS INTEGER) + 1)], 6) AS hi, CAST(len(v) AS INTEGER) AS n_reps FROM (
+  SELECT list_sort(list(gap)) AS v FROM (SELECT rep, sum(w * fa)::DOUBLE / sum(w * n) - sum(w * fb)::DOUBLE / sum(w * n) AS gap FROM
+    (SELECT rep, n, fa, fb, len(list_filter([{_poisson_cuts()}], lambda c: u >= c)) AS w FROM (SELECT rep, n, fa, fb, CAST('0x' || substr(md5('0:' || rep || ':' || cluster), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM sums, range({_BOOT_WHOLE}) r(rep))) GROUP BY rep HAVING sum(w * n) > 0))""",
+    _BOOT_VIEWS,
+)
 def bootstrap_gap_poisson(spark, sf):
     w = A.wide(D.runs(spark, sf), ["plain", *A.PAIRS["cite"]])
-    return A.interval(A.bootstrap(A.sums_by_cluster(w, *A.PAIRS["cite"]), _BOOT_WHOLE, method="poisson"))
+    i = A.interval(A.bootstrap(A.sums_by_cluster(w, *A.PAIRS["cite"]), _BOOT_WHOLE, method="poisson"))
+    return i.select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n_reps")
 
 
 def _gap_sql(stratum):
@@ -240,7 +255,16 @@ def random_control(spark, sf):
     return c.select("item", "line", r6(F.col("control.x0")).alias("x"), r6(F.col("control.y0")).alias("y"))
 
 
-@query()
+def _draw(axis):
+    return f"CAST('0x' || substr(md5('0:' || item || ':' || line || ':' || l_partkey || ':' || t || ':{axis}'), 1, 12) AS BIGINT) / 281474976710656.0"
+
+
+@query(
+    f"""SELECT item, line, round(s.met, 6) AS met, round(greatest(0.0, least(ax1, s.x + w) - greatest(ax0, s.x)) * greatest(0.0, least(ay1, s.y + h) - greatest(ay0, s.y)) / ((ax1 - ax0) * (ay1 - ay0)), 6) AS coverage FROM (
+  SELECT item, line, l_partkey, l_suppkey, q, ax0, ay0, ax1, ay1, w, h, min({{'met': greatest(0.0, least(x + w, bx1) - greatest(x, bx0)) * greatest(0.0, least(y + h, by1) - greatest(y, by0)) / ((x + w - x) * (y + h - y)), 't': t, 'x': x, 'y': y}}) AS s FROM (
+    SELECT *, {_draw('x')} * greatest(0.0, 1 - w) AS x, {_draw('y')} * greatest(0.0, 1 - h) AS y FROM (SELECT *, ax1 - ax0 AS w, ay1 - ay0 AS h FROM boxes), range(30) r(t)) GROUP BY ALL)""",
+    (D.BOXES_SQL,),
+)
 def avoiding_control(spark, sf):
     b = D.boxes(spark, sf).withColumn("avoid", F.array("b"))
     c = R.avoiding_controls(b, ["item", "line", "l_partkey"], "avoid", "a")
