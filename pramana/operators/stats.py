@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pramana.functions.geometry import hash_draw, hash_unit
-
 PAIRS = {"es": ("mask_evidence", "mask_random"), "track": ("mask_track", "mask_track_random"), "cite": ("mask_cite", "mask_cite_random"), "cite_track": ("mask_cite_track", "mask_cite_track_random")}
 
 
@@ -68,37 +70,88 @@ def sums_by_cluster(df: DataFrame, a: str, b: str, cluster: str = "qset") -> Dat
     return df.where(both).groupBy(F.col(cluster).alias("cluster")).agg(F.count_if(right).alias("n"), F.count_if(right & (F.col(a) == 0)).alias("fa"), F.count_if(right & (F.col(b) == 0)).alias("fb"))
 
 
-def poisson_weight(seed: int, *key) -> Column:
-    """A Poisson number with mean one that depends on its key alone."""
-    u = hash_unit(F.lit(seed), *key)
-    p, acc, weight = 0.36787944117144233, 0.0, F.lit(0)
+def poisson_cuts() -> list[float]:
+    """Up to which draw in [0, 1) a Poisson number with mean one is 0, 1, 2 and so on."""
+    p, acc, out = 0.36787944117144233, 0.0, []
     for k in range(1, 12):
         acc += p
         p /= k
-        weight = weight + F.when(u >= acc, 1).otherwise(0)
-    return weight
+        out.append(acc)
+    return out
 
 
-def bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 0, method: str = "draws") -> DataFrame:
-    """(rep, gap) of resampled clusters; replicates without a right item are dropped.
+_SAMPLE = "rep long, n long, sx long, sy long"
+
+
+def _drawn(digests: list[bytes]) -> np.ndarray:
+    """The first six bytes of md5 digests as numbers: what ``hash_draw`` and ``hash_unit`` take."""
+    six = np.frombuffer(b"".join(d[:6] for d in digests), np.uint8).reshape(-1, 6).astype(np.int64)
+    return six @ (np.int64(1) << np.arange(40, -8, -8, dtype=np.int64))
+
 
-    ``draws``: as many draws with replacement as there are clusters, each by a hash of its place, so that
-    any engine gives the same. ``poisson``: every cluster gets a Poisson weight for each replicate by a hash of its key;
-    that needs no shuffle but of one row a replicate and task, for numbers of clusters beyond millions.
+def _digest(start, tail: bytes) -> bytes:
+    """The md5 of what ``start`` has seen and a tail."""
+    h = start.copy()
+    h.update(tail)
+    return h.digest()
+
+
+def resampled(sums: DataFrame, replicates: int, seed: int = 0, method: str = "draws") -> DataFrame:
+    """(stratum, rep, n, sx, sy): sums over the clusters of a stratum, drawn anew for each replicate. sums: (stratum, cluster, n, sx, sy).
+
+    ``draws``: as many draws with replacement as there are clusters, the place of each by a hash of replicate and
+    position, which all strata share. The sums of up to MOST_SENT clusters are sent to all tasks, each of which makes
+    some replicates: no draw is ever a row. ``poisson``, and beyond that number: every cluster gets a Poisson
+    weight for each replicate by a hash of its key; a task sends one row for each stratum and replicate.
     """
-    if method == "poisson":
-        drawn = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("w", poisson_weight(seed, "rep", "cluster"))
-    else:
-        # places are numbered once; each replicate's draws are looked up in the clusters' sums
-        n = sums.count()
-        places = numbered(sums, "cluster") if dict(sums.dtypes)["cluster"] in ("int", "bigint", "double") else sums.withColumn("place", F.row_number().over(Window.orderBy("cluster")) - 1)
-        reps = sums.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-        draws = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("pos")).where(F.lit(n > 0))
-        drawn = draws.select("rep", hash_draw(max(n, 1), F.lit(seed), "rep", "pos").alias("place"))
-        # a bounded number of clusters goes to the draws; more of them are counted by place first
-        drawn = drawn.withColumn("w", F.lit(1)).join(F.broadcast(places), "place") if n <= MOST_SENT else drawn.groupBy("rep", "place").agg(F.count("*").alias("w")).join(places.hint("merge"), "place")
-    total = drawn.groupBy("rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "fa", "fb")]).where("n > 0")
-    return total.select("rep", (F.col("fa") / F.col("n") - F.col("fb") / F.col("n")).alias("gap"))
+    spark = sums.sparkSession
+    kind = dict(sums.dtypes)["stratum"]
+    names = ["stratum", "rep", "n", "sx", "sy"]
+    if method == "draws" and sums.count() <= MOST_SENT:
+        table = sums.orderBy("stratum", "cluster").select("stratum", "n", "sx", "sy").toPandas()
+        groups = [(k, g[["n", "sx", "sy"]].to_numpy(np.int64)) for k, g in table.groupby("stratum", sort=True)]
+        shared = spark.sparkContext.broadcast(groups)
+
+        def draw(batches):
+            held = shared.value
+            places = [str(p).encode() for p in range(max((len(v) for _, v in held), default=0))]
+            for b in batches:
+                out = []
+                for rep in b.column(0).to_pylist():
+                    start = hashlib.md5(f"{seed}:{rep}:".encode())
+                    drawn = _drawn([_digest(start, p) for p in places]) if places else None
+                    out += [(k, rep, *v[drawn[: len(v)] % len(v)].sum(axis=0).tolist()) for k, v in held]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, _ARROW[kind]) for i, c in enumerate(zip(*out))], names=names)
+
+        parts = max(1, min(replicates, spark.sparkContext.defaultParallelism))
+        return spark.range(0, replicates, 1, parts).mapInArrow(draw, f"stratum {kind}, {_SAMPLE}")
+
+    cuts = np.array(poisson_cuts())
+
+    def weigh(batches):
+        total: dict = {}
+        starts = [hashlib.md5(f"{seed}:{rep}:".encode()) for rep in range(replicates)]
+        for b in batches:
+            for stratum, cluster, *values in zip(*(c.to_pylist() for c in b.columns)):
+                held = total.setdefault(stratum, np.zeros((replicates, 3), np.int64))
+                tail = str(cluster).encode()
+                w = np.searchsorted(cuts, _drawn([_digest(s, tail) for s in starts]) / float(16**12), "right")
+                held += w[:, None] * np.array(values, np.int64)
+        for stratum, held in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([stratum] * replicates, _ARROW[kind]), pa.array(np.arange(replicates)), *(pa.array(held[:, k]) for k in range(3))], names=names)
+
+    parts = sums.select("stratum", "cluster", "n", "sx", "sy").mapInArrow(weigh, f"stratum {kind}, {_SAMPLE}")
+    return parts.groupBy("stratum", "rep").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy")])
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+
+
+def bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 0, method: str = "draws") -> DataFrame:
+    """(rep, gap) of resampled clusters (cluster, n, fa, fb); replicates without a right item are dropped. Methods as in ``resampled``."""
+    one = sums.select(F.lit("all").alias("stratum"), "cluster", "n", F.col("fa").alias("sx"), F.col("fb").alias("sy"))
+    return resampled(one, replicates, seed, method).where("n > 0").select("rep", (F.col("sx") / F.col("n") - F.col("sy") / F.col("n")).alias("gap"))
 
 
 def interval(reps: DataFrame, value: str = "gap", level: float = 0.95) -> DataFrame:

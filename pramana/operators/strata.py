@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pramana.functions import geometry as G
 from pramana.functions import text as T
-from pramana.operators.stats import MOST_SENT, poisson_weight
+from pramana.operators.stats import resampled
 
 REPLICATES = 2000
 
@@ -26,21 +25,13 @@ def right_under_plain(df: DataFrame, a: str, b: str, stratum: str = "stratum", c
 def clustered(items: DataFrame, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     """(stratum, n, flip, flip_lo, flip_hi, flip_control, gap, gap_lo, gap_hi) of items (stratum, cluster, w, x, y).
 
-    Whole clusters are drawn with replacement within each stratum, by a hash of replicate and position; only their sums
-    are drawn, not their items. Replicates without a counted item are left out, strata without one are absent. Beyond
-    MOST_SENT clusters each gets a Poisson weight by its own hash instead, which needs no places.
+    Whole clusters are drawn with replacement within each stratum (``resampled``); only their sums are drawn, not their items.
+    Replicates without a counted item are left out, strata without one are absent.
     """
     counted = lambda c: F.sum(F.col("w") * F.col(c))
     sums = items.groupBy("stratum", "cluster").agg(F.sum("w").alias("n"), counted("x").alias("sx"), counted("y").alias("sy"))
-    sizes = sums.groupBy("stratum").agg(F.count("*").alias("m"), *[F.sum(c).alias(c) for c in ("n", "sx", "sy")])
-    if sums.count() <= MOST_SENT:
-        places = sums.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("cluster")) - 1)
-        reps = sizes.select("stratum", "m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).repartition("stratum", "rep")
-        draws = reps.select("stratum", "m", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("pos"))
-        drawn = draws.select("stratum", "rep", G.hash_draw("m", F.lit(seed), "rep", "pos").alias("place"), F.lit(1).alias("k")).join(F.broadcast(places), ["stratum", "place"])
-    else:
-        drawn = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("k", poisson_weight(seed, "rep", "cluster"))
-    total = drawn.groupBy("stratum", "rep").agg(*[F.sum(F.col("k") * F.col(c)).alias(c) for c in ("n", "sx", "sy")]).where("n > 0")
+    sizes = sums.groupBy("stratum").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy")])
+    total = resampled(sums, replicates, seed).where("n > 0")
     flip, gap = F.col("sx") / F.col("n"), F.col("sx") / F.col("n") - F.col("sy") / F.col("n")
     # a list of as many values as there are replicates for each stratum
     lists = total.groupBy("stratum").agg(F.array_sort(F.collect_list(flip)).alias("flips"), F.array_sort(F.collect_list(gap)).alias("gaps"))

@@ -109,19 +109,10 @@ def bootstrap_gap_ci_whole(spark, sf):
     return _boot(spark, sf, _BOOT_WHOLE)
 
 
-def _poisson_cuts():
-    p, acc, out = 0.36787944117144233, 0.0, []
-    for k in range(1, 12):
-        acc += p
-        p /= k
-        out.append(repr(acc))
-    return ", ".join(out)
-
-
 @query(
     f"""SELECT round(v[CAST(floor(0.025 * len(v)) AS INTEGER) + 1], 6) AS lo, round(v[least(len(v), CAST(floor(0.975 * len(v)) AS INTEGER) + 1)], 6) AS hi, CAST(len(v) AS INTEGER) AS n_reps FROM (
   SELECT list_sort(list(gap)) AS v FROM (SELECT rep, sum(w * fa)::DOUBLE / sum(w * n) - sum(w * fb)::DOUBLE / sum(w * n) AS gap FROM
-    (SELECT rep, n, fa, fb, len(list_filter([{_poisson_cuts()}], lambda c: u >= c)) AS w FROM (SELECT rep, n, fa, fb, CAST('0x' || substr(md5('0:' || rep || ':' || cluster), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM sums, range({_BOOT_WHOLE}) r(rep))) GROUP BY rep HAVING sum(w * n) > 0))""",
+    (SELECT rep, n, fa, fb, len(list_filter([{', '.join(map(repr, A.poisson_cuts()))}], lambda c: u >= c)) AS w FROM (SELECT rep, n, fa, fb, CAST('0x' || substr(md5('0:' || rep || ':' || cluster), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM sums, range({_BOOT_WHOLE}) r(rep))) GROUP BY rep HAVING sum(w * n) > 0))""",
     _BOOT_VIEWS,
 )
 def bootstrap_gap_poisson(spark, sf):
