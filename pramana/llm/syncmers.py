@@ -20,6 +20,8 @@ from pramana.llm._spark import need_integer_ids, table
 from pramana.llm._text import batch_slices, mix
 
 K, S = 16, 6
+#: Bytes of text whose anchors are made together: about 60 bytes of working memory for each.
+SLICE = 1 << 19
 #: Documents of a range of neighbours, and most such ranges.
 RANGE, MOST_RANGES = 4000, 20_000
 _RNG = np.random.default_rng(99).integers(0, 2**64, 256, dtype=np.uint64)
@@ -148,7 +150,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches):
         waiting = None
         for big in batches:
-            for b in batch_slices(big):
+            for b in batch_slices(big, limit=SLICE):
                 rows = list(zip(*(c.to_pylist() for c in b.columns)))
                 if waiting is not None:
                     rows.insert(0, waiting)
