@@ -185,9 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, label: str = "qual
         known = known.where(~kept_apart)
     chosen = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    drawn = found.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(rows)
     names = [f"f_{k}" for k in FEATURES]
-    sample = with_features(drawn, ["y"]).select(F.col("kept.y").alias("y"), *names).orderBy("y", *names).toPandas()
+    # features are drawn, not texts: a row that comes to the driver has a fixed size
+    made = with_features(found.withColumn("h", F.xxhash64("doc_id", "text")), ["y", "h"])
+    sample = made.select(F.col("kept.h").alias("h"), F.col("kept.y").alias("y"), *names).orderBy("h", "y", *names).limit(rows).toPandas()
     return learn(sample[names].to_numpy(float).reshape(-1, len(FEATURES)), sample["y"].to_numpy(float))
 
 
