@@ -141,7 +141,9 @@ def resampled(sums: DataFrame, replicates: int, seed: int = 0, method: str = "dr
         for stratum, held in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([stratum] * replicates, _ARROW[kind]), pa.array(np.arange(replicates)), *(pa.array(held[:, k]) for k in range(3))], names=names)
 
-    parts = sums.select("stratum", "cluster", "n", "sx", "sy").mapInArrow(weigh, f"stratum {kind}, {_SAMPLE}")
+    # a cluster is a small row and a lot of work: a stated number of parts, so that they are not put together by size
+    dealt = sums.select("stratum", "cluster", "n", "sx", "sy").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "stratum", "cluster")
+    parts = dealt.mapInArrow(weigh, f"stratum {kind}, {_SAMPLE}")
     return parts.groupBy("stratum", "rep").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy")])
 
 
