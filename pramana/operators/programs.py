@@ -38,7 +38,7 @@ def _value(kind: str, **parts: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), *[parts.get(n, F.lit(None)).cast(t).alias(n) for n, t in list(_TYPES.items())[1:]])
 
 
-def _plain(event: Column) -> Column:
+def plain_event(event: Column) -> Column:
     return F.struct(*[event[n].alias(n) for n in ("ord", "type", "frame", "objects")])
 
 
@@ -83,7 +83,7 @@ def _module(tok: Column, a: Column, b: Column, o: Column, e: Column, m: Column,
     passing = tok.isin("unique", "count", "exist", "negate", "belong_to", "filter_in", "filter_out", "filter_collision")
     return (
         F.when(tok == "objects", _value("objects", objs=ids))
-        .when(tok == "events", _value("events", evs=F.transform(e, _plain)))
+        .when(tok == "events", _value("events", evs=F.transform(e, plain_event)))
         .when(tok == "all_events", _value("events", evs=pairs))
         .when(tok == "unseen_events", unknown)
         .when(passing & (is_(a, "unknown") | ((tok == "belong_to") & is_(b, "unknown"))), unknown)
@@ -134,6 +134,91 @@ def run(questions: DataFrame, program: str = "program", threshold=0.02, out: str
     return questions.withColumn(out, F.aggregate(F.col(program), start, step, answer))
 
 
+def describe(o: Column, x: Column) -> Column:
+    """An object's full name, as in "the red metal cube". o: the scene's objects."""
+    row = F.get(F.filter(o, lambda r: r["obj"] == x), 0)
+    return F.concat_ws(" ", F.lit("the"), row["color"], row["material"], F.coalesce(row["shape"], F.lit("object")))
+
+
+def describe_event(o: Column, e: Column, clause: bool = False) -> Column:
+    """An event as a noun, or as a clause that can follow "when"."""
+    who = [describe(o, F.get(e["objects"], i)) for i in (0, 1)]
+    at = F.when(e["frame"] >= 0, F.concat(F.lit(" at frame "), e["frame"].cast("string"))).otherwise("")
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    hit = said(who[0], " and ", who[1], " collide", at) if clause else said("the collision between ", who[0], " and ", who[1], at)
+    came, left = (" enters", " exits") if clause else (" entering", " exiting")
+    begun, over = ("the video begins", "the video ends") if clause else ("the start of the video", "the end of the video")
+    t = e["type"]
+    return F.when(t == "collision", hit).when(t == "in", said(who[0], came, " the scene", at)).when(t == "out", said(who[0], left, " the scene", at)).when(t == "start", begun).otherwise(over)
+
+
+def plural(v: Column) -> Column:
+    """A set of objects by the attributes that it was filtered by, as in "red spheres"."""
+    return F.concat_ws(" ", v["color"], v["material"], F.coalesce(F.concat(v["shape"], F.lit("s")), F.lit("objects")))
+
+
+def _told(tok: Column, a: Column, b: Column, made: Column, o: Column) -> list[Column]:
+    """How a value came about, for wording: attributes that a set of objects was filtered by, and its qualifiers."""
+    kept = tok.isin("unique", "count", "exist", "filter_color", "filter_material", "filter_shape", "filter_moving", "filter_stationary")
+    attr = lambda n: F.when(tok == f"filter_{n}", b["v"]["text"]).when(kept, a[n]).alias(n)
+    any_attr = lambda v: F.coalesce(v["color"], v["material"], v["shape"]).isNotNull()
+    none = F.array().cast("array<string>")
+    moved = tok.isin("filter_moving", "filter_stationary")
+    event = F.get(F.when(moved, F.get(made, b["a"])["v"]["evs"]).otherwise(b["v"]["evs"]), 0)
+    clause = describe_event(o, event, True)
+    at = F.when(b["v"]["kind"] != "null", F.when(b["op"] == "get_frame", F.concat(F.lit("when "), clause)).otherwise(F.concat(F.lit("at frame "), b["v"]["text"])))
+    motion = F.concat_ws(" ", F.substring_index(tok, "_", -1), at)
+    partly = F.concat_ws(" ", F.lit("the"), b["color"], b["material"], F.coalesce(b["shape"], F.lit("object")))
+    some = F.concat_ws(" ", F.lit("any"), F.get(b["quals"], 0), plural(b))
+    who = F.when(b["v"]["kind"] == "object", F.when(any_attr(b), partly).otherwise(describe(o, F.get(b["v"]["objs"], 0)))).when(any_attr(b) | (F.size(b["quals"]) > 0), some)
+    noun = F.when(tok == "filter_in", "entries into the scene").when(tok == "filter_out", "exits from the scene").otherwise("collisions")
+    head = F.concat_ws(" ", F.when(F.array_contains(a["quals"], "possible collisions"), "possible"), noun)
+    rest = F.filter(a["quals"], lambda q: ~q.isin("events", "possible collisions"))
+    again = F.coalesce(F.startswith(F.get(rest, 0), F.concat(head, F.lit(" involving "))) & who.isNotNull(), F.lit(False))
+    joined = F.transform(rest, lambda q, i: F.when(i == 0, F.concat(q, F.lit(" and "), who)).otherwise(q))
+    involving = F.when(again, joined).otherwise(F.concat(F.array(F.concat_ws(" involving ", head, who)), rest))
+    around = F.concat(F.substring_index(tok, "_", -1), F.lit(" "), clause)
+    quals = (
+        F.when(tok == "events", F.array(F.lit("events")))
+        .when(tok == "all_events", F.array(F.lit("possible collisions")))
+        .when((tok == "unique") & (a["v"]["kind"] == "objects"), none)
+        .when(tok.isin("unique", "count", "exist", "get_frame", "get_object", "get_col_partner"), a["quals"])
+        .when(moved, F.array(motion))
+        .when(tok.isin("filter_in", "filter_out", "filter_collision"), involving)
+        .when(tok == "filter_order", F.concat(F.array(b["v"]["text"]), a["quals"]))
+        .when(tok.isin("filter_before", "filter_after"), F.concat(a["quals"], F.array(around)))
+        .when(tok == "filter_ancestor", F.array(F.concat(F.lit("events that led to "), describe_event(o, event))))
+    )
+    return [attr(n) for n in ("color", "material", "shape")] + [F.coalesce(quals, none).alias("quals")]
+
+
+def trace(questions: DataFrame, program: str = "program", threshold=0.02, out: str = "made") -> DataFrame:
+    """Adds what each token of a program made: (op, a, b, v, color, material, shape, quals).
+
+    ``a`` and ``b`` are the places of the tokens whose values a module took, null for a literal; ``v`` is its value, the rest how
+    it is worded. The list ends at an error; the last element is the program's answer.
+    """
+    o, e, m = (F.col(c) for c in "oem")
+    th = F.lit(threshold) if isinstance(threshold, float) else threshold
+    value = f"struct<{','.join(f'{n}:{t}' for n, t in _TYPES.items())}>"
+    entry = f"struct<op:string,a:int,b:int,v:{value},color:string,material:string,shape:string,quals:array<string>>"
+    start = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast(f"array<{entry}>").alias("made"))
+
+    def step(acc, tok):
+        stack, made = acc["stack"], acc["made"]
+        n = F.size(stack)
+        two, module = tok.isin(*TWO), tok.isin(*NONE, *ONE, *TWO)
+        arity = F.when(two, 2).when(tok.isin(*ONE), 1).otherwise(0)
+        at = F.when(arity == 2, F.get(stack, n - 2)).when(arity == 1, F.get(stack, n - 1)), F.when(arity == 2, F.get(stack, n - 1))
+        a, b = F.get(made, at[0]), F.get(made, at[1])
+        v = F.when(n < arity, _value("error")).when(module, _module(tok, a["v"], b["v"], o, e, m, th)).otherwise(_literal(tok))
+        new = F.struct(tok.alias("op"), at[0].alias("a"), at[1].alias("b"), v.alias("v"), *_told(tok, a, b, made, o))
+        ahead = F.struct(F.array_append(F.slice(stack, 1, F.greatest(n - arity, F.lit(0))), F.size(made)).alias("stack"), F.array_append(made, new).alias("made"))
+        return F.when(F.coalesce(F.get(made, F.size(made) - 1)["v"]["kind"] == "error", F.lit(False)), acc).otherwise(ahead)
+
+    return questions.withColumn(out, F.aggregate(F.col(program), start, step, lambda acc: acc["made"]))
+
+
 def agreement(questions: DataFrame, thresholds: list[float], kind: str = "subtype", gold: str = "gold") -> DataFrame:
     """(threshold, kind, n, n_motion, agree, agree_motion): share of right answers for each motion threshold, over all and for each kind.
 
