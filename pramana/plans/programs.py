@@ -84,14 +84,18 @@ def _moves(spark, sf):
     return D.visible(spark, sf).withColumn("speed", G.speed(F.when(big, 0.03).otherwise(0.006), F.when(big, 0.04).otherwise(0.008)))
 
 
-def _scenes(spark, sf):
+def scenes(spark, sf):
     return P.scene_rows(D.scene_objects(spark, sf), _moves(spark, sf), _events(spark, sf))
 
 
-def _asked(spark, sf, programs):
-    """The scenes with each of some programs: name -> tokens."""
+def ask(rows, programs, *more):
+    """Scenes with each of some programs: name -> tokens, and more of their columns."""
     named = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, t.split())).cast("array<string>").alias("program")) for n, t in programs.items()])
-    return _scenes(spark, sf).select("*", F.explode(named).alias("q")).select("scene", "o", "e", "m", "q.name", "q.program")
+    return rows.select("*", F.explode(named).alias("q")).select("scene", "o", "e", "m", *more, "q.name", "q.program")
+
+
+def _asked(spark, sf, programs):
+    return ask(scenes(spark, sf), programs)
 
 
 def _register(group, members):
