@@ -198,7 +198,7 @@ def landmarks(traced: DataFrame, keep: list[str], tol: int = 3, frames: int = FR
         .otherwise(_evidence(d, v["objs"], at_, at_ - around, at_ + around, last, tol))
     )
     entity = F.when(one, F.concat(F.lit("object "), obj.cast("string"))).when(event, F.concat_ws(" ", F.lit("event"), ev["type"], frame(ev), F.array_join(ev["objects"].cast("array<string>"), ",")))
-    key = F.coalesce(entity, F.to_json(F.struct(question.alias("q"), answer.alias("a"))))
+    key = F.coalesce(entity, F.to_json(F.struct("_q", "_a")))
     out = rows.withColumn("_q", question).withColumn("_a", answer).withColumn("_e", evidence).withColumn("_k", key)
     return out.select(*keep, F.col("_l.pos").alias("pos"), role.alias("role"), F.col("_k").alias("key"), F.col("_q").alias("question"), F.col("_a").alias("answer"), F.col("_e").alias("evidence"), F.col("_l.sources").alias("sources"))
 
@@ -208,7 +208,8 @@ def build(questions: DataFrame, keys: list[str], program: str = "program", gold:
 
     questions: ``keys`` that tell them apart, o, e, m, d of their scene, the program (of a choice: its own, then the question's), the known
     answer (of a choice: yes or no) and whether it is a choice. Statuses: executor_error, executor_disagrees (a choice
-    may be unknown), no_landmarks, no_evidence, ok. A null or empty program is an executor_error; repeated keys are not allowed.
+    may be unknown), no_landmarks, no_evidence, ok. The work is by row, not by byte: spread scenes over tasks before they meet their
+    questions. A null or empty program is an executor_error; repeated keys are not allowed.
     """
     asked = P.trace(questions.withColumn("_p", F.coalesce(program, F.array().cast("array<string>"))), "_p", threshold)
     end = F.get("made", F.size("made") - 1)

@@ -30,7 +30,9 @@ def _detections(spark, sf):
 
 def _built(spark, sf):
     scenes = C.with_detections(PP.scenes(spark, sf), D.scene_objects(spark, sf), C.best_detections(_detections(spark, sf)))
-    asked = PP.ask(scenes, _ASKED, "d").withColumn("gold", F.lit("yes")).withColumn("is_choice", F.lit(True))
+    # a scene is few bytes and much work: by bytes alone it would stand with too many others
+    spread = scenes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "scene")
+    asked = PP.ask(spread, _ASKED, "d").withColumn("gold", F.lit("yes")).withColumn("is_choice", F.lit(True))
     return C.build(asked, ["scene", "name"])
 
 
