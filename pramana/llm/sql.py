@@ -47,3 +47,23 @@ places AS (SELECT DISTINCT doc_id, xh, n, template, width, total, unnest(range(g
 held AS (SELECT l.doc_id, l.xh, l.template, l.first_word, least(l.width, l.n - l.first_word) AS n_words, count(DISTINCT m.shingle)::DOUBLE / l.total AS containment FROM places l JOIN met m ON m.doc_id = l.doc_id AND m.xh = l.xh AND m.template = l.template AND m.p BETWEEN l.first_word AND l.first_word + l.width - 5 GROUP BY l.doc_id, l.xh, l.template, l.first_word, l.width, l.n, l.total),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, xh, template ORDER BY containment DESC, first_word) AS r FROM held WHERE containment >= {licenses.SIMILARITY})
 SELECT doc_id, template, containment, CAST(first_word AS INTEGER) AS first_word, CAST(n_words AS INTEGER) AS n_words FROM best WHERE r = 1"""
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+def _share(n: str, total: str) -> str:
+    return f"1 + (1000000000::HUGEINT * ({n} + 1)) // ({total} + v)"
+
+
+DIVERGENCE = f"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r, {_TERMS} AS w FROM documents),
+occ AS (SELECT lang, source, r, unnest(w) AS t FROM d),
+kept AS (SELECT lang, t, count(*) AS n FROM occ GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS nl FROM kept GROUP BY 1),
+cells AS (SELECT lang, source, t, count(*) AS n FROM occ SEMI JOIN kept USING (lang, t) GROUP BY 1, 2, 3),
+groups AS (SELECT lang, source, coalesce(ng, 0) AS ng, coalesce(v, 0) AS v, coalesce(nl, 0) AS nl FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS ng FROM cells GROUP BY 1, 2) USING (lang, source) LEFT JOIN langs USING (lang)),
+p AS (SELECT lang, source, t, coalesce(c.n, 0) AS n, {_share('coalesce(c.n, 0)', 'ng')} AS p, {_share('k.n', 'nl')} AS q FROM groups JOIN kept k USING (lang) LEFT JOIN cells c USING (lang, source, t)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY 1, 2, 3),
+parts AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0) AS value FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN pair ON pair.lang = g.lang AND pair.source = g.source AND pair.item = o.source
+UNION ALL SELECT lang, source, 'term', t, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
