@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pramana.llm import decontaminate, divergence, licenses, lm, packing, pii, quality, simhash, sql, substrings, syncmers, toxicity
+from pramana.llm import decontaminate, divergence, licenses, lm, negatives, packing, pii, quality, simhash, sql, substrings, syncmers, toxicity
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_syncmers": syncmers.op9_syncmers,
         "op10_pitman_yor": lm.op10_pitman_yor,
         "op11_divergence": divergence.op11_divergence,
+        "op12_negatives": negatives.op12_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": sql.LICENSES, "op7_decontaminate": sql.DECONTAMINATE, "op8_substrings": sql.SUBSTRINGS, "op11_divergence": sql.DIVERGENCE}
+    return {"op6_licenses": sql.LICENSES, "op7_decontaminate": sql.DECONTAMINATE, "op8_substrings": sql.SUBSTRINGS, "op11_divergence": sql.DIVERGENCE, "op12_negatives": sql.NEGATIVES}
