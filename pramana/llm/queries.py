@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pramana.llm import decontaminate, divergence, licenses, lm, negatives, packing, pii, quality, simhash, sql, substrings, syncmers, toxicity
+from pramana.llm import decontaminate, divergence, licenses, lm, negatives, packing, pii, pivots, quality, simhash, sql, substrings, syncmers, toxicity
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_pitman_yor": lm.op10_pitman_yor,
         "op11_divergence": divergence.op11_divergence,
         "op12_negatives": negatives.op12_negatives,
+        "op13_pivots": pivots.op13_pivots,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": sql.LICENSES, "op7_decontaminate": sql.DECONTAMINATE, "op8_substrings": sql.SUBSTRINGS, "op11_divergence": sql.DIVERGENCE, "op12_negatives": sql.NEGATIVES}
+    return {"op6_licenses": sql.LICENSES, "op7_decontaminate": sql.DECONTAMINATE, "op8_substrings": sql.SUBSTRINGS, "op11_divergence": sql.DIVERGENCE, "op12_negatives": sql.NEGATIVES, "op13_pivots": sql.NEAR_VECTORS}
