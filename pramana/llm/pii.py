@@ -2,7 +2,7 @@
 
 The field scores whole candidate segments of up to ``MOST_TOKENS`` tokens by span features (shape,
 check digits, octets, words around) and a dynamic program picks boundaries and kinds of a region
-together. It is fitted in numpy on sentences made from a rule, and adds spans to those that the
+together. A segment has at most ``MOST_CHARS`` characters; what the patterns find has no limit. It is fitted in numpy on sentences made from a rule, and adds spans to those that the
 patterns find.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,8 @@ from pramana.llm._spark import table, unused
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 MOST_TOKENS = 20
+#: Characters of a candidate segment at most, and of those whose shape is remembered; characters that a task's memo holds.
+MOST_CHARS, SHORT, MEMO = 2048, 64, 16_000_000
 #: Tokens whose segments are held at a time.
 BLOCK = 400
 #: Sentences that the field is fitted on, and sweeps over them.
@@ -97,9 +100,17 @@ _OBFUSCATED = re.compile(r"[(\[]at[)\]]", re.I)
 _FEATURES = 46
 
 
-@lru_cache(maxsize=200_000)
 def _shape(s: str) -> tuple[int, ...]:
-    """Numbers of the features that the text of a segment has by itself."""
+    """Numbers of the features that the text of a segment has by itself; those of short ones are remembered."""
+    return _short_shape(s) if len(s) <= SHORT else _any_shape(s)
+
+
+@lru_cache(maxsize=200_000)
+def _short_shape(s: str) -> tuple[int, ...]:
+    return _any_shape(s)
+
+
+def _any_shape(s: str) -> tuple[int, ...]:
     digits = _NOT_DIGIT.sub("", s)
     n, letters = len(digits), sum(c.isalpha() for c in s)
     parts = [p for p in re.split(r"[^0-9]+", s) if p]
@@ -132,6 +143,8 @@ def _segments(text: str, tokens: list, low: int, high: int):
         equals = given and near[-1:] in ("=", '"', "'")
         for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
             b = tokens[j - 1][1]
+            if b - a > MOST_CHARS:
+                break
             s = text[a:b]
             if s[-1].isspace():
                 continue
@@ -274,29 +287,22 @@ def decode(text: str, w: np.ndarray, start: int = 0, end: int | None = None) ->
     return out[::-1]
 
 
-def _reach(text: str, a: int, b: int) -> tuple[int, int]:
-    """``a`` moved back and ``b`` moved on by the tokens that a segment can have besides one that is in between."""
-    for k in range(MOST_TOKENS):
-        # first to the edge of the token itself
-        a -= k > 0 and a > 0
-        while 0 < a < len(text) and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-    for k in range(MOST_TOKENS):
-        b += k > 0 and b < len(text)
-        while 0 < b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
-            b += 1
-    return a, b
-
-
 def regions(text: str):
     """Parts of a text that can hold a value, in whole tokens: all that a segment can reach that holds a digit, @, (at),
     (dot) or a secret's first letters, or that a secret's cue stands before."""
-    start = end = -1
+    starts: list[int] = []
+    start = end = reached = -1
     for m in _OPENER.finditer(text):
         a, b = m.span()
+        if b <= end and not m.group()[0].isalpha() and bisect_right(starts, b - 1) == reached:
+            continue  # in the token that the last one has looked at
+        starts = starts or [t.start() for t in _TOKEN.finditer(text)]
         if m.group()[0].isalpha():
             b = min(len(text), a + _LOOK + 1)
-        a, b = _reach(text, a, b)
+        first = bisect_right(starts, a)
+        reached = bisect_right(starts, b - 1)
+        a = starts[max(0, first - MOST_TOKENS)]
+        b = starts[reached - 1 + MOST_TOKENS] if reached - 1 + MOST_TOKENS < len(starts) else len(text)
         if a <= end:
             end = max(end, b)
             continue
@@ -307,25 +313,47 @@ def regions(text: str):
         yield start, end
 
 
-def spans(text: str | None, w: np.ndarray, memo: dict | None = None) -> tuple[list, list]:
+class Memo:
+    """What the field found in parts of texts, up to ``MEMO`` characters of them."""
+
+    def __init__(self):
+        self.known: dict = {}
+        self.held = 0
+
+    def decode(self, text: str, w: np.ndarray, a: int, b: int) -> list[tuple[int, int, int]]:
+        part = text[max(0, a - _LOOK - 1) : a], text[a:b], text[b : b + 2]
+        got = self.known.get(part)
+        if got is None:
+            got = [(x - a, kind, y - a) for x, kind, y in decode(text, w, a, b)]
+            if self.held + b - a > MEMO:
+                self.known.clear()
+                self.held = 0
+            if b - a <= MEMO:
+                self.known[part] = got
+                self.held += b - a
+        return got
+
+
+def spans(text: str | None, w: np.ndarray, memo: Memo | None = None) -> tuple[list, list]:
     """Pattern spans, and these with the field's further spans; each (start, kind, end) in order."""
     text = text or ""
     base = base_spans(text)
     found = list(base)
-    taken = [(a, b) for a, _, b in base]
+    # pattern spans of different kinds may overlap: their union, in order; the field's own are disjoint
+    froms: list[int] = []
+    ends: list[int] = []
+    for a, _, b in base:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            froms.append(a)
+            ends.append(b)
+    memo = memo or Memo()
     for a, b in regions(text):
-        part = text[max(0, a - _LOOK - 1) : a], text[a:b], text[b : b + 2]
-        got = memo.get(part) if memo is not None else None
-        if got is None:
-            got = [(x - a, kind, y - a) for x, kind, y in decode(text, w, a, b)]
-            if memo is not None:
-                if len(memo) > 50_000:
-                    memo.clear()
-                memo[part] = got
-        for x, kind, y in got:
-            if all(a + y <= p or a + x >= q for p, q in taken):
+        for x, kind, y in memo.decode(text, w, a, b):
+            k = bisect_right(ends, a + x)
+            if k == len(ends) or froms[k] >= a + y:
                 found.append((a + x, kind, a + y))
-                taken.append((a + x, a + y))
     return base, sorted(found)
 
 
@@ -342,7 +370,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     w = fit()
 
     def run(batches):
-        memo: dict = {}
+        memo = Memo()
         for b in batches:
             count, base, all_ = [], [], []
             for x in b.column(1):
@@ -363,7 +391,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names, own = docs.columns, unused(docs, "redacted")
 
     def run(batches):
-        memo: dict = {}
+        memo = Memo()
         for b in batches:
             out = []
             for x in b.column(own):

@@ -1,5 +1,9 @@
 """What the field of op1 sees of a text."""
 
+import time
+
+import pytest
+
 from pramana.llm import pii
 
 
@@ -25,3 +29,29 @@ def test_regions_lose_nothing(texts):
     made = [" ".join(t for t, _ in pii._examples(12, seed=k)) for k in range(8)]
     for t in made + [t for _, t in texts[:25]]:
         assert [s for a, b in pii.regions(t) for s in pii.decode(t, w, a, b)] == pii.decode(t, w)
+
+
+@pytest.mark.parametrize("blob", ["a1" * 500_000, "deadbeef01" * 100_000, "x" * 1_000_000 + "7", "1 " * 30_000, "é7" * 300_000])
+def test_long_tokens_take_time_in_proportion(blob):
+    """A blob of a megabyte in one token, beside values that are found as ever."""
+    w = pii.fit()
+    began = time.process_time()
+    base, found = pii.spans(f"mail a.b@c.org {blob} or call +1 202 555 0123 now", w)
+    assert [k for _, k, _ in base] == [0, 3] and set(base) <= set(found)
+    assert time.process_time() - began < 20
+
+
+def test_spans_of_the_field_keep_clear_of_overlapping_patterns():
+    w = pii.fit()
+    for text in ("call +1 4111 1111 1111 1111 now", "ip 1.2.3.4@5.6.7.8 x", "card 4111-1111-1111-1111, a@b.c"):
+        base, found = pii.spans(text, w)
+        assert set(base) <= set(found)
+        assert all(b <= p or a >= q for a, _, b in set(found) - set(base) for p, _, q in base)
+
+
+def test_memo_is_bounded_and_changes_nothing(monkeypatch):
+    w, text = pii.fit(), " and ".join(t for t, _ in pii._examples(40, seed=9))
+    want = pii.spans(text, w)
+    monkeypatch.setattr(pii, "MEMO", 200)
+    memo = pii.Memo()
+    assert pii.spans(text, w, memo) == want and memo.held <= 200
