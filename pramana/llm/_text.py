@@ -14,9 +14,10 @@ BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_OTHER_TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_BASE, _OTHER_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
 with np.errstate(over="ignore"):
-    _POWER = np.cumprod(np.full(65536, _BASE, np.uint64))
+    _POWER, _OTHER_POWER = (np.cumprod(np.full(65536, b, np.uint64)) for b in (_BASE, _OTHER_BASE))
 
 
 def batch_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20):
@@ -67,8 +68,9 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; ``other`` ones are made from tables of their own."""
+    table, powers = (_OTHER_TABLE, _OTHER_POWER) if other else (_TABLE, _POWER)
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
@@ -76,10 +78,10 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     pos = np.arange(to[-1]) - np.repeat(to - size, size)
     at = pos + np.repeat(starts, size)
     with np.errstate(over="ignore"):
-        power = _POWER[pos & 0xFFFF]
+        power = powers[pos & 0xFFFF]
         if size.max() > 0xFFFF:
-            power = power + (pos >> 16).astype(np.uint64) * _TABLE[7]
-        return mix(np.add.reduceat(_TABLE[buf[at]] * power, to - size) + size.astype(np.uint64))
+            power = power + (pos >> 16).astype(np.uint64) * table[7]
+        return mix(np.add.reduceat(table[buf[at]] * power, to - size) + size.astype(np.uint64))
 
 
 def grams(h: np.ndarray, n: int, factor: int) -> np.ndarray:

@@ -25,18 +25,16 @@ WINDOW, ANCHOR = 13, 5
 ROWS, BITS, SLICE = 2, 22, 500_000
 #: Anchors that a task sketches, and windows that it combines, before it sends them; windows of a group of the exact pass at most, on average, and groups and slices at least.
 COMBINED, GROUPED, LEAST_GROUPS = 1_000_000, 2_000_000, 80
-#: Stands for a missing id.
-NO_ID = -(2**63)
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 def _windows(buf, off):
-    """Row and place of each window, its anchor, and the word hashes it starts at."""
+    """Row and place of each window, its anchor, the hashes of the words, the word it starts at and all words' bounds."""
     starts, ends, row = split_words(buf, off)
     n = len(starts) - WINDOW + 1
     z = np.zeros(0, np.int64)
     if n <= 0:
-        return z, z, np.zeros(0, np.uint64), None, z
+        return z, z, np.zeros(0, np.uint64), None, z, None
     h = hash_words(buf, starts, ends)
     g = grams(h, ANCHOR, 0x9FB21C651E98DF25)
     low = g[:n].copy()
@@ -44,7 +42,7 @@ def _windows(buf, off):
         np.minimum(low, g[j : j + n], out=low)
     at = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
     first = np.searchsorted(row, np.arange(len(off)))
-    return row[at], at - first[row[at]], low[at], h, at
+    return row[at], at - first[row[at]], low[at], h, at, (starts, ends)
 
 
 def _cells(anchor: np.ndarray, r: int, bits: int) -> np.ndarray:
@@ -68,7 +66,7 @@ def _by_number(number: np.ndarray):
 
 
 def marks(docs: DataFrame, slices: int, bits: int) -> DataFrame:
-    """(id, th, marked): the anchors of each document whose sketched count is two documents or more. docs: (id, th, text).
+    """(id, th, marked): the anchors of each document whose sketched count is two documents or more. docs: (id, th, text, has_id, copies).
 
     A partition's sketch is sparse: the low 40 bits of its anchors, of which the cells of every row follow. Anchors
     of one document here go to their slice with it; those of more are marked here, and the slice only learns that they
@@ -108,8 +106,8 @@ def marks(docs: DataFrame, slices: int, bits: int) -> DataFrame:
 
         base = size = 0
         for big in batches:
-            for b in batch_slices(big):
-                row, _, anchor, _, _ = _windows(*utf8(b.column("text")))
+            for b in batch_slices(big.filter(big.column("has_id"))):
+                row, _, anchor, *_ = _windows(*utf8(b.column("text")))
                 if not len(row):
                     continue
                 # each anchor of a document once
@@ -203,7 +201,7 @@ def _split_later(docno, pos, ids, ths):
 
 
 def removals(marked: DataFrame, groups: int) -> DataFrame:
-    """(id, th, runs) of windows to be removed; several rows for a document. marked: (id, th, text, marks), no null id."""
+    """(id, th, runs) of windows to be removed; several rows for a document. marked: (id, th, text, marks, copies), no null id."""
 
     def combine(batches):
         """Windows estimated repeated, resolved among themselves; the rest goes out by its own hash."""
@@ -231,13 +229,14 @@ def removals(marked: DataFrame, groups: int) -> DataFrame:
         own_ths: list = []
         for big in batches:
             for b in batch_slices(big):
-                row, pos, anchor, h, at = _windows(*utf8(b.column("text")))
+                buf, off = utf8(b.column("text"))
+                row, pos, anchor, h, at, bounds = _windows(buf, off)
                 often = _often(row, anchor, b.column("marks"))
                 if not often.any():
                     continue
                 row, pos, at = row[often], pos[often], at[often]
                 g = grams(h, WINDOW, 0xC2B2AE3D27D4EB4F)[at]
-                g2 = (grams(h, WINDOW, 0x27D4EB2F165667C5)[at] >> np.uint64(32)).astype("<u4")
+                g2 = (grams(hash_words(buf, *bounds, other=True), WINDOW, 0x27D4EB2F165667C5)[at] >> np.uint64(32)).astype("<u4")
                 shard = (mix(g ^ _ODD[1]) % np.uint64(groups)).astype(np.int64)
                 used, local = np.unique(row, return_inverse=True)
                 base = len(own_ids)
@@ -276,18 +275,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts have no words; an empty table gives an empty result. Windows are compared by 96 bits of hash. Ids are integers.
     """
     need_integer_ids(docs, id_col)
-    # never null, so that no filter for one join's sake parts the two uses of the dealt texts
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    source = source.withColumn("th", F.xxhash64("text")).select("id", "th", "text")
+    # keys are never null, so that no filter for one join's sake parts the uses of the dealt texts
+    source = docs.select(F.col(id_col).isNotNull().alias("has_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = source.withColumn("th", F.xxhash64("text"))
     chars = source.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # about one anchor for 28 characters
     slices = slices or max(own, LEAST_GROUPS, -(-chars // (28 * SLICE)))
-    found = marks(source.where(F.col("id") != NO_ID), slices, bits).groupBy("id", "th").agg(F.collect_list("marked").alias("marks"))
-    # the texts move once: both joins are on the keys they are dealt by
-    dealt = source.repartition("id", "th")
-    marked = dealt.join(found, ["id", "th"]).select("id", "th", "text", "marks")
-    gone = removals(marked, max(LEAST_GROUPS, -(-chars // (6 * GROUPED)))).groupBy("id", "th").agg(F.collect_list("runs").alias("runs"))
+    # rows with one id and text are one from here to the end; the texts move once, as all joins are on the keys they are dealt by
+    key = ["id", "th", "has_id"]
+    one = source.groupBy(*key).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    given = F.lit(True).alias("has_id")
+    found = marks(one, slices, bits).groupBy("id", "th").agg(F.collect_list("marked").alias("marks")).select("*", given)
+    marked = one.join(found, key).select("id", "th", "text", "marks", "copies")
+    gone = removals(marked, max(LEAST_GROUPS, -(-chars // (6 * GROUPED)))).groupBy("id", "th").agg(F.collect_list("runs").alias("runs")).select("*", given)
     kind = docs.schema[id_col].dataType
 
     def cut(batches):
@@ -309,10 +310,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 digest.append(hashlib.sha256(whole).hexdigest())
                 if with_text:
                     kept.append(whole.decode())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.string())] if with_text else [])], names=["id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("has_id"), b.column("copies"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.string())] if with_text else [])], names=["id", "has_id", "copies", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
 
-    joined = dealt.join(gone, ["id", "th"], "left").select("id", "text", "runs")
-    return joined.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text).withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")).cast(kind))
+    joined = one.join(gone, key, "left").select("id", "has_id", "copies", "text", "runs")
+    cleaned = joined.mapInArrow(cut, "id long, has_id boolean, copies long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    every = cleaned.withColumn("id", F.when(F.col("has_id"), F.col("id")).cast(kind)).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return every.drop("has_id", "copies", "copy")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,12 +65,42 @@ def test_unique_windows_are_left_out_at_any_size(spark):
     rng = random.Random(1)
     for n in (100, 800):
         rows = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(60))) for i in range(n)] + [(10**6 + k, "one two three four five six seven " * 4) for k in range(2)]
-        docs = spark.createDataFrame(rows, "id long, text string").withColumn("th", substrings.F.xxhash64("text"))
+        docs = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "xxhash64(text) as th", "text", "true as has_id", "1L as copies")
         slices = -(-n * 12 // 256)
-        marked = {r.id for r in substrings.marks(docs.select("id", "th", "text"), slices, 11).collect()}
+        marked = {r.id for r in substrings.marks(docs, slices, 11).collect()}
         assert {10**6, 10**6 + 1} <= marked and len(marked) < 0.4 * n
 
 
 def test_text_ids_are_told(spark, odd):
     with pytest.raises(ValueError, match="integer"):
         substrings.deduplicate(odd.selectExpr("cast(doc_id as string) as doc_id", "text"))
+
+
+def test_repeated_rows_cost_no_more_than_their_texts(spark):
+    """Ten thousand equal rows beside others of their passages: what is joined and shuffled does not follow their square."""
+    rng = random.Random(4)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(300))
+    rows = [(2, text)] * 10_000 + [(1, text[:900]), (3, "tail " + text), (2, "other " + text), (None, text), (-(2**63), text[:400]), (None, text[:400])]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain(rows)
+    one = next(c for c in _nodes(got._jdf.queryExecution().executedPlan()) if "MapInArrow" in c[0] and "kept_sha256" in c[1])
+    assert one[2] < 20  # rows that the last step reads: one of each id and text
+
+
+def _nodes(plan):
+    """(name, text, rows of the child) of the nodes of an executed plan, through its stages."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        yield from _nodes(plan.executedPlan())
+        return
+    if "QueryStage" in name:
+        yield from _nodes(plan.plan())
+        return
+    kids = plan.children()
+    rows = -1
+    if "MapInArrow" in name:
+        metric = plan.metrics().get("pythonNumRowsSent")
+        rows = metric.get().value() if metric.isDefined() else 0
+    yield name, plan.toString(), rows
+    for k in range(kids.size()):
+        yield from _nodes(kids.apply(k))
