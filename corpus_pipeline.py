@@ -29,14 +29,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, once if its row is repeated.
+    """One document of each near-duplicate group: the smallest id, of its texts the one with the smallest hash.
 
-    Rows without an id join no group: exact copies among them go, the rest stays.
+    Unlike texts under one id are documents of their own; of rows equal in id and text one stays,
+    whatever their other columns. Rows without an id join no group: exact copies among them go, the rest stays.
     """
-    known = docs.where("doc_id is not null")
-    kept = simhash.near_duplicates(known).where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    one = known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(_all(docs))
+    th = unused(docs, "th")
+    known = docs.where("doc_id is not null").withColumn(th, simhash.text_hash(F.col("text").cast("string")))
+    one = simhash.classes(known).groupBy("root").agg(F.min(F.struct("id", "th")).alias("r"))
+    kept = one.select(F.col("r.id").alias("doc_id"), F.col("r.th").alias(th)).distinct()
+    left = known.join(kept, ["doc_id", th], "left_semi").dropDuplicates(["doc_id", th])
+    return left.select(_all(docs)).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]).select(_all(docs)))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

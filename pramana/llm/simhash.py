@@ -47,15 +47,21 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) of every whole text, one row for each row; null text counts as empty."""
+    """(id, th long, fp long) of every whole text, one row for each row; th is a hash of the text, null text counts as empty."""
 
     def run(batches):
         for b in batches:
-            fp = [fingerprint(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["id", "fp"])
+            fp = [fingerprint(x.as_py()) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["id", "th", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), text_hash(text).alias("th"), text.alias("text")).mapInArrow(run, f"id {kind}, th long, fp long")
+
+
+def text_hash(text: Column) -> Column:
+    """A hash that tells rows of one id apart; null text and empty text differ."""
+    return F.xxhash64(text, text.isNull())
 
 
 def _shift(fp: Column, by: int, width: int) -> Column:
@@ -92,13 +98,10 @@ def link_fingerprints(reps: DataFrame, distance: int = DISTANCE, blocks: int = B
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long, component) for every row of ``docs``.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, fp long, root long, component) for every row of ``docs``; th is ``text_hash``, root names the class.
 
-    Fingerprints within two bits are linked; the component is the smallest id reachable.
-    Rows with equal ids each get a row. Null and empty texts have fingerprint zero and are
-    linked like any other. A null id gets the component of its fingerprint, null if no row there
-    has an id. An empty table gives an empty result.
+    Two classes may hold rows of one id and so have one component; their roots differ.
     """
     fps = checkpoint(fingerprints(docs, id_col, text_col))
     groups = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
@@ -106,13 +109,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(link_fingerprints(groups.select("fp", F.col("fp").alias("node"))))
     rooted = groups.join(found, groups.fp == found.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = checkpoint(rooted.join(lowest, "root").select("fp", "component", "n"))
+    by_fp = checkpoint(rooted.join(lowest, "root").select("fp", "root", "component", "n"))
     # fingerprints of more than a HOTTEST-th of all rows are at most HOTTEST: they go to the rows, the others meet theirs
     most = by_fp.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOTTEST
-    hot = by_fp.where(F.col("n") > most).select("fp", "component", F.lit(True).alias("hot")) if most else by_fp.limit(0).select("fp", "component", F.lit(True).alias("hot"))
-    met = fps.join(F.broadcast(hot), "fp", "left")
-    rest = met.where("hot is null").select("id", "fp").join(by_fp.where(F.col("n") <= most) if most else by_fp, "fp")
-    return met.where("hot").select("id", "fp", "component").unionByName(rest.select("id", "fp", "component"))
+    hot = by_fp.where(F.col("n") > most) if most else by_fp.limit(0)
+    met = fps.join(F.broadcast(hot.select("fp", "root", "component", F.lit(True).alias("hot"))), "fp", "left")
+    rest = met.where("hot is null").select("id", "th", "fp").join(by_fp.where(F.col("n") <= most) if most else by_fp, "fp")
+    named = ["id", "th", "fp", "root", "component"]
+    return met.where("hot").select(*named).unionByName(rest.select(*named))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp long, component) for every row of ``docs``.
+
+    Fingerprints within two bits are linked; the component is the smallest id reachable.
+    Rows with equal ids each get a row. Null and empty texts have fingerprint zero and are
+    linked like any other. A null id gets the component of its fingerprint, null if no row there
+    has an id. An empty table gives an empty result.
+    """
+    return classes(docs, id_col, text_col).select("id", "fp", "component")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

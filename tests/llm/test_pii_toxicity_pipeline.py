@@ -240,3 +240,15 @@ def test_long_regions_decode_as_short_ones(monkeypatch):
     whole = pii.decode(text, w)
     monkeypatch.setattr(pii, "BLOCK", 7)
     assert pii.decode(text, w) == whole and whole
+
+
+def test_near_duplicates_stage_keeps_unlike_texts_of_one_id(spark, sf_dir):
+    """Ids that clash: of rows equal in id and text one stays, unlike texts are groups of their own, near copies go whatever their ids."""
+    a, b, c = ("one two three four five six seven eight nine ten", "some other words stand here and nothing is the same", "a third text about weather and bread and a river")
+    rows = [(5, a), (5, b), (5, b), (7, a), (6, c), (5, None), (5, ""), (None, a), (None, a), (None, b), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", corpus_pipeline.F.lit("en"))
+    got = sorted((tuple(r)[:2] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()), key=str)
+    # null and empty texts have one fingerprint: one group, of which one row of the smallest id stays
+    empty = [r for r in got if r in ((5, None), (5, ""))]
+    assert len(empty) == 1
+    assert got == sorted([(5, a), (5, b), (6, c), (None, a), (None, b), *empty], key=str)
