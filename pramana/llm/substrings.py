@@ -277,18 +277,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     need_integer_ids(docs, id_col)
     # keys are never null, so that no filter for one join's sake parts the uses of the dealt texts
     source = docs.select(F.col(id_col).isNotNull().alias("has_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    source = source.withColumn("th", F.xxhash64("text"))
+    # without an id the hash is of another kind, so that the text meets none of the document whose id stands there
+    source = source.withColumn("th", F.when(F.col("has_id"), F.xxhash64("text")).otherwise(F.xxhash64("text", "has_id")))
     chars = source.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # about one anchor for 28 characters
     slices = slices or max(own, LEAST_GROUPS, -(-chars // (28 * SLICE)))
     # rows with one id and text are one from here to the end; the texts move once, as all joins are on the keys they are dealt by
-    key = ["id", "th", "has_id"]
-    one = source.groupBy(*key).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    given = F.lit(True).alias("has_id")
-    found = marks(one, slices, bits).groupBy("id", "th").agg(F.collect_list("marked").alias("marks")).select("*", given)
-    marked = one.join(found, key).select("id", "th", "text", "marks", "copies")
-    gone = removals(marked, max(LEAST_GROUPS, -(-chars // (6 * GROUPED)))).groupBy("id", "th").agg(F.collect_list("runs").alias("runs")).select("*", given)
+    key = ["id", "th"]
+    one = source.groupBy(*key).agg(F.first("has_id").alias("has_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    found = marks(one, slices, bits).groupBy(*key).agg(F.collect_list("marked").alias("marks"))
+    # all columns go along, so that each use of the dealt texts is the same
+    marked = one.join(found, key).select("id", "th", "text", "marks", "copies", "has_id")
+    gone = removals(marked, max(LEAST_GROUPS, -(-chars // (6 * GROUPED)))).groupBy(*key).agg(F.collect_list("runs").alias("runs"))
     kind = docs.schema[id_col].dataType
 
     def cut(batches):
