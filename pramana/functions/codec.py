@@ -1,81 +1,24 @@
 """Reading and writing reasoning chains as text, and operators on their dependency graph.
 
-A chain is ARRAY<STRUCT<question, answer, t0, t1, box, deps: ARRAY<INT>>>; deps count from 0 and point back.
+A chain is ARRAY<STRUCT<question, answer, t0, t1, box, deps: ARRAY<INT>, role>>; deps count from 0 and point back.
+Text holds no roles: they are null there.
 """
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pramana.functions import lines
 from pramana.functions.geometry import box
 from pramana.functions.text import strip
 
-# The grammar of a chain's text.
-_NUMBER = r"([0-9.]+)"
-#: Groups: number, question, answer, first and last position, box, dependencies.
-STEP = rf"^\[(\d+)\]\s*Q:\s*(.*?)\s*\|\s*A:\s*(.*?)\s*\|\s*E:\s*t=(\d+)\s*-\s*(\d+)\s*box=\(\s*{_NUMBER}\s*,\s*{_NUMBER}\s*,\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\)\s*\|\s*deps=([0-9,\s]*)\s*$"
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-_LINE = re.compile(STEP)
-_THINK, _ANSWER = re.compile(r"<think>(.*?)</think>", re.S), re.compile(r"<answer>(.*?)</answer>", re.S)
-_BOX = ("x0", "y0", "x1", "y1")
-STEP_TYPE = "struct<question:string,answer:string,t0:int,t1:int,box:struct<x0:double,y0:double,x1:double,y1:double>,deps:array<int>>"
+STEP_TYPE = "struct<question:string,answer:string,t0:int,t1:int,box:struct<x0:double,y0:double,x1:double,y1:double>,deps:array<int>,role:string>"
 PARSED_TYPE = f"struct<chain:array<{STEP_TYPE}>,answer:string,n_lines:int,n_steps:int,has_tags:boolean>"
-_ARROW_STEP = pa.struct([("question", pa.string()), ("answer", pa.string()), ("t0", pa.int32()), ("t1", pa.int32()), ("box", pa.struct([(n, pa.float64()) for n in _BOX])), ("deps", pa.list_(pa.int32()))])
-_ARROW_PARSED = pa.struct([("chain", pa.list_(_ARROW_STEP)), ("answer", pa.string()), ("n_lines", pa.int32()), ("n_steps", pa.int32()), ("has_tags", pa.bool_())])
-_LARGEST = 2**31 - 1
-
-
-def _read_step(groups: tuple, places: dict[int, int]) -> dict | None:
-    """A step from the groups of its line, None if a number cannot be read. ``places`` is where each number was seen last."""
-    try:
-        box = dict(zip(_BOX, map(float, groups[5:9])))
-        t0, t1 = int(groups[3]), int(groups[4])
-        named = [int(d) for d in groups[9].split(",") if d.strip()]
-    except ValueError:
-        return None
-    if max(t0, t1) > _LARGEST:
-        return None
-    return {"question": groups[1].strip(), "answer": groups[2].strip(), "t0": t0, "t1": t1, "box": box, "deps": sorted(places[d] for d in named if d in places)}
-
-
-def _is_valid(step: dict) -> bool:
-    b = step["box"]
-    return bool(step["question"] and step["answer"]) and step["t1"] >= step["t0"] >= 0 and all(0 <= v <= 1 for v in b.values()) and b["x1"] > b["x0"] and b["y1"] > b["y0"]
-
-
-def _parse_one(text: str | None) -> dict | None:
-    if text is None:
-        return None
-    think, said = _THINK.search(text), _ANSWER.search(text)
-    out = {"chain": None, "answer": said and said[1].strip(), "n_lines": 0, "n_steps": 0, "has_tags": bool(think)}
-    if not think:
-        return out
-    lines = [t for line in think[1].splitlines() if (t := line.strip())]
-    out["n_lines"] = len(lines)
-    steps, places = [], {}
-    for m in filter(None, map(_LINE.match, lines)):
-        out["n_steps"] += 1
-        step = _read_step(m.groups(), places)
-        if step is None:
-            return out
-        places[int(m[1])] = len(steps)
-        steps.append(step)
-    if steps and out["answer"] is not None and all(map(_is_valid, steps)):
-        out["chain"] = steps
-    return out
-
-
-def _parse_batch(texts: pa.Array) -> pa.Array:
-    return pa.array([_parse_one(t) for t in texts.to_pylist()], _ARROW_PARSED)
 
 
 def valid_step(s) -> Column:
@@ -94,38 +37,42 @@ def valid_chain(chain) -> Column:
 def parse(df, text: str = "raw", out: str = "parsed"):
     """Adds STRUCT<chain, answer, n_lines, n_steps, has_tags>; chain is null if the text is no valid one, all is null for a null text.
 
-    One Arrow function for each batch reads a line once; as nested column lambdas the same takes many times as long. Of a
-    repeated number the last step counts, numbers not seen before go.
+    A batch of texts is split into lines, matched and linked as whole columns. Of a repeated number the last step counts,
+    numbers not seen before go.
     """
-    return df.withColumn(out, F.arrow_udf(_parse_batch, PARSED_TYPE)(F.col(text).cast("string")))
+    return df.withColumn(out, F.arrow_udf(lines.parse, PARSED_TYPE)(F.col(text).cast("string")))
+
+
+def thousandths(v) -> Column:
+    """A number from 0 on with three places, as its exact binary value rounds: to the nearest, ties to the even digit.
+
+    Times 2^30 the number is a whole part and a rest that is exact in a double. The whole part times 1000 is split into
+    thousandths and what is left, so that a half is met by comparing two exact numbers; no decimal text of the number is rounded.
+    """
+    scaled = v * F.lit(float(1 << 30))
+    whole = F.floor(scaled)
+    rest, units = (scaled - whole) * 1000, whole * 1000
+    low, half = F.shiftright(units, 30), F.lit(1 << 29) - units.bitwiseAND(F.lit((1 << 30) - 1))
+    n = low + F.when(rest > half, 1).when(rest == half, low % 2).otherwise(0)
+    text = F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    return F.when((v >= 0) & (v < 1_000_000), text).otherwise(F.format_string("%.3f", v))
 
 
 def render_step(s, i) -> Column:
     b = s["box"]
-    numbers = F.concat_ws(",", *[F.format_string("%.3f", b[k]) for k in ("x0", "y0", "x1", "y1")])
+    numbers = F.concat_ws(",", *[thousandths(b[k]) for k in ("x0", "y0", "x1", "y1")])
     deps = F.array_join(F.transform(s["deps"], lambda d: (d + 1).cast("string")), ",")
     return F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] Q: "), s["question"], F.lit(" | A: "), s["answer"], F.lit(" | E: t="), s["t0"].cast("string"), F.lit("-"), s["t1"].cast("string"), F.lit(" box=("), numbers, F.lit(") | deps="), deps)
 
 
 def render(chain, answer) -> Column:
-    """A chain as text. Box ties round half up, where others may round half to even."""
+    """A chain as text."""
     return F.concat(F.lit("<think>\n"), F.array_join(F.transform(_c(chain), render_step), "\n"), F.lit("\n</think>\n<answer>"), _c(answer), F.lit("</answer>"))
 
 
 def step_spans(text) -> Column:
-    """Start and end character of every step line inside the first think tag."""
-    t = _c(text)
-    body, start = F.regexp_extract(t, r"(?s)<think>(.*?)</think>", 1), F.locate("<think>", t) + 6
-    none = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def take(acc, line):
-        s = strip(line)
-        lead = F.length(line) - F.length(F.ltrim(line))
-        here = F.struct((acc["pos"] + start + lead).cast("int").alias("start"), (acc["pos"] + start + lead + F.length(s)).cast("int").alias("end"))
-        return F.struct((acc["pos"] + F.length(line) + 1).cast("int").alias("pos"), F.when(s.rlike(STEP), F.array_append(acc["out"], here)).otherwise(acc["out"]).alias("out"))
-
-    spans = F.aggregate(F.split(body, "\n"), none, take, lambda a: a["out"])
-    return F.when(t.rlike(r"(?s)<think>.*?</think>"), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    """Start and end character of every step line inside the first think tag, whatever ends its lines; empty for a null text."""
+    return F.arrow_udf(lines.step_spans, "array<struct<start:int,end:int>>")(_c(text).cast("string"))
 
 
 def closure(deps, i) -> Column:
@@ -152,15 +99,18 @@ def without_step(chain, deps, i) -> Column:
     def one(k):
         s = F.get(_c(chain), k)
         new = F.transform(F.filter(s["deps"], lambda d: F.array_contains(keep, d)), lambda d: (F.array_position(keep, d) - 1).cast("int"))
-        return F.struct(s["question"].alias("question"), s["answer"].alias("answer"), s["t0"].alias("t0"), s["t1"].alias("t1"), s["box"].alias("box"), new.alias("deps"))
+        return F.struct(s["question"].alias("question"), s["answer"].alias("answer"), s["t0"].alias("t0"), s["t1"].alias("t1"), s["box"].alias("box"), new.alias("deps"), s["role"].alias("role"))
 
     return F.transform(keep, one)
 
 
 def decisive(chain, question_type) -> Column:
-    """Steps that decide the answer: observations of predictive and counterfactual chains, else the last."""
+    """Steps that decide the answer: observations of predictive and counterfactual chains, else the last.
+
+    A step with a role is an observation by its role alone; one without, as text gives them, by its first word.
+    """
     chain = _c(chain)
-    observed = F.filter(chain, lambda s: s["question"].startswith("Do "))
+    observed = F.filter(chain, lambda s: F.when(s["role"].isNotNull(), s["role"] == "observe").otherwise(s["question"].startswith("Do ")))
     return F.when(_c(question_type).isin("predictive", "counterfactual") & (F.size(observed) > 0), observed).otherwise(F.slice(chain, -1, 1))
 
 

@@ -66,9 +66,9 @@ def scene_file(scene, head: str = "video", ending: str = "mp4") -> Column:
 
 
 def chain_to_json(chain, answer, video: Column | None = None, question: Column | None = None, kind: Column | None = None) -> Column:
-    """A chain in the form that files hold."""
+    """A chain in the form that files hold, roles where its steps have them."""
     blank = F.lit("")
-    step = lambda s: F.struct(s["question"].alias("question"), s["answer"].alias("answer"), F.struct(s["t0"].alias("t_start"), s["t1"].alias("t_end"), F.array(*[s["box"][c] for c in ("x0", "y0", "x1", "y1")]).alias("box")).alias("evidence"), s["deps"].alias("depends_on"))
+    step = lambda s: F.struct(s["question"].alias("question"), s["answer"].alias("answer"), s["role"].alias("role"), F.struct(s["t0"].alias("t_start"), s["t1"].alias("t_end"), F.array(*[s["box"][c] for c in ("x0", "y0", "x1", "y1")]).alias("box")).alias("evidence"), s["deps"].alias("depends_on"))
     return F.to_json(F.struct((video if video is not None else blank).alias("video_id"), (question if question is not None else blank).alias("question"), (kind if kind is not None else F.lit(None).cast("string")).alias("question_type"), answer.alias("final_answer"), F.transform(chain, step).alias("triplets")))
 
 
