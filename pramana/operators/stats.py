@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pramana.operators.resample import cluster_key, mixed, replicate_keys, weighted_sums
+from pramana.sources.shared import shared_folder
+
 PAIRS = {"es": ("mask_evidence", "mask_random"), "track": ("mask_track", "mask_track_random"), "cite": ("mask_cite", "mask_cite_random"), "cite_track": ("mask_cite_track", "mask_cite_track_random")}
 
 
-#: Clusters whose sums are sent to all tasks, 40 bytes each at most.
+#: Clusters whose sums may be sent to all tasks, 40 bytes each at most.
 MOST_SENT = 1_000_000
 
 
@@ -70,79 +72,58 @@ def sums_by_cluster(df: DataFrame, a: str, b: str, cluster: str = "qset") -> Dat
     return df.where(both).groupBy(F.col(cluster).alias("cluster")).agg(F.count_if(right).alias("n"), F.count_if(right & (F.col(a) == 0)).alias("fa"), F.count_if(right & (F.col(b) == 0)).alias("fb"))
 
 
-def poisson_cuts() -> list[float]:
-    """Up to which draw in [0, 1) a Poisson number with mean one is 0, 1, 2 and so on."""
-    p, acc, out = 0.36787944117144233, 0.0, []
-    for k in range(1, 12):
-        acc += p
-        p /= k
-        out.append(acc)
-    return out
-
-
 _SAMPLE = "rep long, n long, sx long, sy long"
 
 
-def _drawn(digests: list[bytes]) -> np.ndarray:
-    """The first six bytes of md5 digests as numbers: what ``hash_draw`` and ``hash_unit`` take."""
-    six = np.frombuffer(b"".join(d[:6] for d in digests), np.uint8).reshape(-1, 6).astype(np.int64)
-    return six @ (np.int64(1) << np.arange(40, -8, -8, dtype=np.int64))
-
-
-def _digest(start, tail: bytes) -> bytes:
-    """The md5 of what ``start`` has seen and a tail."""
-    h = start.copy()
-    h.update(tail)
-    return h.digest()
-
-
-def resampled(sums: DataFrame, replicates: int, seed: int = 0, method: str = "draws") -> DataFrame:
+def resampled(sums: DataFrame, replicates: int, seed: int = 0, method: str = "poisson") -> DataFrame:
     """(stratum, rep, n, sx, sy): sums over the clusters of a stratum, drawn anew for each replicate. sums: (stratum, cluster, n, sx, sy).
 
-    ``draws``: as many draws with replacement as there are clusters, the place of each by a hash of replicate and
-    position, which all strata share. The sums of up to MOST_SENT clusters are sent to all tasks, each of which makes
-    some replicates: no draw is ever a row. ``poisson``, and beyond that number: every cluster gets a Poisson
-    weight for each replicate by a hash of its key; a task sends one row for each stratum and replicate.
+    ``poisson``, at any size: every cluster gets a Poisson weight for each replicate by a hash of its key; a task sends one
+    row for each stratum and replicate. ``draws``, for up to MOST_SENT clusters and an error beyond: as many draws with
+    replacement as there are clusters, the place of each by a hash of replicate and position, which all strata share; the
+    clusters' sums are sent to all tasks, each of which makes some replicates.
     """
     spark = sums.sparkSession
     kind = dict(sums.dtypes)["stratum"]
     names = ["stratum", "rep", "n", "sx", "sy"]
-    if method == "draws" and sums.count() <= MOST_SENT:
-        table = sums.orderBy("stratum", "cluster").select("stratum", "n", "sx", "sy").toPandas()
-        groups = [(k, g[["n", "sx", "sy"]].to_numpy(np.int64)) for k, g in table.groupby("stratum", sort=True)]
-        shared = spark.sparkContext.broadcast(groups)
+    reps = replicate_keys(replicates, seed)
+    cores = spark.sparkContext.defaultParallelism
+    if method == "draws":
+        if (size := sums.count()) > MOST_SENT:
+            raise ValueError(f"draws with replacement are for {MOST_SENT} clusters at most, not {size}: take method='poisson'")
+        table = sums.select("stratum", "cluster", "n", "sx", "sy").orderBy("stratum", "cluster").toArrow()
+        values = np.column_stack([table[c].to_numpy() for c in names[2:]]).astype(np.int64).reshape(-1, 3)
+        code = table["stratum"].combine_chunks().dictionary_encode()
+        first = np.flatnonzero(np.diff(code.indices.to_numpy(), prepend=-1)) if size else np.zeros(0, np.int64)
+        shared = spark.sparkContext.broadcast((code.dictionary.to_pylist(), np.split(values, first[1:])))
 
         def draw(batches):
-            held = shared.value
-            places = [str(p).encode() for p in range(max((len(v) for _, v in held), default=0))]
+            strata, held = shared.value
+            most = max(map(len, held), default=0)
             for b in batches:
-                out = []
-                for rep in b.column(0).to_pylist():
-                    start = hashlib.md5(f"{seed}:{rep}:".encode())
-                    drawn = _drawn([_digest(start, p) for p in places]) if places else None
-                    out += [(k, rep, *v[drawn[: len(v)] % len(v)].sum(axis=0).tolist()) for k, v in held]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, _ARROW[kind]) for i, c in enumerate(zip(*out))], names=names)
-
-        parts = max(1, min(replicates, spark.sparkContext.defaultParallelism))
-        return spark.range(0, replicates, 1, parts).mapInArrow(draw, f"stratum {kind}, {_SAMPLE}")
+                for rep in b.column(0).to_pylist() if strata else ():
+                    drawn = mixed(np.arange(most, dtype=np.uint64), reps[rep : rep + 1])[:, 0]
+                    found = np.array([v[drawn[: len(v)] % np.uint64(len(v))].sum(axis=0) for v in held])
+                    yield pa.RecordBatch.from_arrays([pa.array(strata, _ARROW[kind]), pa.array([rep] * len(strata)), *(pa.array(found[:, k]) for k in range(3))], names=names)
 
-    cuts = np.array(poisson_cuts())
+        parts = max(1, min(replicates, cores))
+        return spark.range(0, replicates, 1, parts).mapInArrow(draw, f"stratum {kind}, {_SAMPLE}")
 
     def weigh(batches):
         total: dict = {}
-        starts = [hashlib.md5(f"{seed}:{rep}:".encode()) for rep in range(replicates)]
         for b in batches:
-            for stratum, cluster, *values in zip(*(c.to_pylist() for c in b.columns)):
-                held = total.setdefault(stratum, np.zeros((replicates, 3), np.int64))
-                tail = str(cluster).encode()
-                w = np.searchsorted(cuts, _drawn([_digest(s, tail) for s in starts]) / float(16**12), "right")
-                held += w[:, None] * np.array(values, np.int64)
+            code = b.column("stratum").dictionary_encode()
+            at, key = code.indices.to_numpy(zero_copy_only=False), b.column("key").to_numpy()
+            values = np.column_stack([b.column(c).to_numpy() for c in names[2:]]).reshape(-1, 3)
+            for k, stratum in enumerate(code.dictionary.to_pylist()):
+                part = weighted_sums(key[at == k], values[at == k], reps)
+                total[stratum] = total[stratum] + part if stratum in total else part
         for stratum, held in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([stratum] * replicates, _ARROW[kind]), pa.array(np.arange(replicates)), *(pa.array(held[:, k]) for k in range(3))], names=names)
 
     # a cluster is a small row and a lot of work: a stated number of parts, so that they are not put together by size
-    dealt = sums.select("stratum", "cluster", "n", "sx", "sy").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "stratum", "cluster")
+    known = sums.where("stratum is not null").select("stratum", cluster_key("cluster", seed).alias("key"), "n", "sx", "sy")
+    dealt = known.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "stratum", "key")
     parts = dealt.mapInArrow(weigh, f"stratum {kind}, {_SAMPLE}")
     return parts.groupBy("stratum", "rep").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy")])
 
@@ -150,7 +131,7 @@ def resampled(sums: DataFrame, replicates: int, seed: int = 0, method: str = "dr
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
 
 
-def bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 0, method: str = "draws") -> DataFrame:
+def bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 0, method: str = "poisson") -> DataFrame:
     """(rep, gap) of resampled clusters (cluster, n, fa, fb); replicates without a right item are dropped. Methods as in ``resampled``."""
     one = sums.select(F.lit("all").alias("stratum"), "cluster", "n", F.col("fa").alias("sx"), F.col("fb").alias("sy"))
     return resampled(one, replicates, seed, method).where("n > 0").select("rep", (F.col("sx") / F.col("n") - F.col("sy") / F.col("n")).alias("gap"))
@@ -168,26 +149,22 @@ def interval(reps: DataFrame, value: str = "gap", level: float = 0.95) -> DataFr
 
 
 def numbered(df: DataFrame, order: str, name: str = "place", within: int = 200_000) -> DataFrame:
-    """Adds the place of each row by a number column, from 0, without a sort of all rows in one task.
+    """Adds the place of each row by ``order``, from 0, without a sort of all rows in one task.
 
-    Ranges of about ``within`` rows are cut at approximate quantiles and sorted each by itself; what comes before a range is
-    a count. Nulls come first. Rows of equal value are numbered in any order.
+    Rows are dealt by ranges of ``order`` into parts of about ``within`` rows and written with their part and their place in it;
+    what comes before a part is a sum over the parts' counts, one small row each. Nulls come first. Rows of equal
+    value are numbered in any order, once for all.
     """
-    rows = df.count()
-    n = max(1, -(-rows // within))
-    value = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
-    cuts = sorted(set(df.agg(F.percentile_approx(value, [k / n for k in range(1, n)], 10 * n)).first()[0] or [])) if n > 1 else []
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (value > c).cast("int")
-    dealt = df.withColumn("_part", part)
-    counts = sorted((r["_part"], r["n"]) for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    before, total = F.lit(0).cast("long"), 0
-    for k, size in counts:
-        before = F.when(F.col("_part") == k, F.lit(total).cast("long")).otherwise(before)
-        total += size
-    w = Window.partitionBy("_part").orderBy(order)
-    return dealt.withColumn(name, before + F.row_number().over(w) - 1).drop("_part")
+    spark = df.sparkSession
+    parts = max(1, -(-df.count() // within))
+    path = shared_folder(spark, "numbered")
+    ranged = df.repartitionByRange(parts, F.col(order).asc_nulls_first()).sortWithinPartitions(F.col(order).asc_nulls_first())
+    # the low 33 bits of the id of a sorted part's row are its place there
+    ranged.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_id", T.LongType())])).parquet(path).withColumn("_part", F.shiftright("_id", 33))
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
+    past = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_past"))
+    return kept.join(past, "_part").withColumn(name, F.col("_past") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_id", "_past")
 
 
 def upper_median_by(df: DataFrame, by: list[str], value: str) -> DataFrame:

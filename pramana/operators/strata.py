@@ -25,7 +25,7 @@ def right_under_plain(df: DataFrame, a: str, b: str, stratum: str = "stratum", c
 def clustered(items: DataFrame, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     """(stratum, n, flip, flip_lo, flip_hi, flip_control, gap, gap_lo, gap_hi) of items (stratum, cluster, w, x, y).
 
-    Whole clusters are drawn with replacement within each stratum (``resampled``); only their sums are drawn, not their items.
+    Whole clusters are weighted anew within each stratum (``resampled``); only their sums are, not their items.
     Replicates without a counted item are left out, strata without one are absent.
     """
     counted = lambda c: F.sum(F.col("w") * F.col(c))
@@ -58,11 +58,12 @@ def by_text(steps: DataFrame, prompts: DataFrame) -> DataFrame:
 
 def control_coverage(steps: DataFrame, control: str = "control") -> DataFrame:
     """(id, covered): mean over an item's boxes of the largest share that a control box covers on a frame of both."""
-    r = steps.select("id", F.monotonically_increasing_id().alias("n"), G.frames_hit("t0", "t1").alias("f"), "box", F.col(control).alias("c"))
-    pairs = r.alias("x").join(r.alias("y"), "id").where(F.arrays_overlap("x.f", "y.f"))
-    best = pairs.groupBy("id", F.col("x.n").alias("n")).agg(F.max(G.overlap_share(F.col("x.box"), F.col("y.c"))).alias("best"))
-    every = r.select("id", "n").join(best, ["id", "n"], "left")
-    return every.groupBy("id").agg(F.avg(F.coalesce("best", F.lit(0.0))).alias("covered"))
+    # equal boxes of an item have one best cover: they are one row with their number, known by what is in it
+    r = steps.groupBy("id", "t0", "t1", "box", F.col(control).alias("c")).agg(F.count("*").alias("times")).withColumn("f", G.frames_hit("t0", "t1"))
+    other = r.select("id", F.col("f").alias("of"), F.col("c").alias("oc")).distinct()
+    pairs = r.join(other, "id", "left").withColumn("share", F.when(F.arrays_overlap("f", "of"), G.overlap_share(F.col("box"), F.col("oc"))))
+    best = pairs.groupBy("id", "t0", "t1", "box", "c").agg(F.first("times").alias("times"), F.coalesce(F.max("share"), F.lit(0.0)).alias("best"))
+    return best.groupBy("id").agg((F.sum(F.col("best") * F.col("times")) / F.sum("times")).alias("covered"))
 
 
 def coverage_summary(covered: DataFrame) -> DataFrame:
@@ -80,10 +81,11 @@ def recite(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
     items = ids(old, "was").join(ids(new, "now"), "id", "left")
     met = items.where("now is not null")
     boxes = old.select("id", F.explode(G.frames_hit("t0", "t1")).alias("frame"), F.col("box").alias("was_box"))
-    cites = new.join(met.select("id"), "id", "left_semi").select("id", F.monotonically_increasing_id().alias("n"), G.frame_of("t0", "t1").alias("frame"), "box")
-    best = cites.join(boxes, ["id", "frame"], "left").groupBy("id", "n").agg(F.max(F.when(F.col("was_box").isNotNull(), G.iou("box", "was_box"))).alias("best"))
-    share = lambda c: F.coalesce(F.avg(c.cast("int")), F.lit(0.0))
-    steps = best.agg(F.count("*").alias("steps"), share(F.coalesce(F.col("best") >= least, F.lit(False))).alias("same_box"), share(F.coalesce(F.col("best") < least, F.lit(False))).alias("same_frame_other_place"), share(F.col("best").isNull()).alias("other_frame"))
+    # equal citations of an item are one row with their number, known by what is in it
+    cites = new.join(met.select("id"), "id", "left_semi").groupBy("id", G.frame_of("t0", "t1").alias("frame"), "box").agg(F.count("*").alias("times"))
+    best = cites.join(boxes, ["id", "frame"], "left").groupBy("id", "frame", "box").agg(F.first("times").alias("times"), F.max(F.when(F.col("was_box").isNotNull(), G.iou("box", "was_box"))).alias("best"))
+    share = lambda c: F.coalesce(F.sum(F.when(c, F.col("times")).otherwise(0)) / F.sum("times"), F.lit(0.0))
+    steps = best.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("steps"), share(F.coalesce(F.col("best") >= least, F.lit(False))).alias("same_box"), share(F.coalesce(F.col("best") < least, F.lit(False))).alias("same_frame_other_place"), share(F.col("best").isNull()).alias("other_frame"))
     named = (F.size("was") > 0) | (F.size("now") > 0)
     per = items.agg(F.count("now").alias("items"), F.avg(F.when(F.col("now").isNotNull() & named, (F.col("was") == F.col("now")).cast("int"))).alias("same_entities"), F.count_if(F.col("now").isNull()).alias("items_without_citation"))
     return per.withColumn("_k", F.lit(0)).join(steps.withColumn("_k", F.lit(0)), "_k").drop("_k")

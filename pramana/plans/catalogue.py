@@ -13,6 +13,7 @@ from pramana.operators import regions as R
 from pramana.operators import rewards as W
 from pramana.operators import scenes as S
 from pramana.operators import stats as A
+from pramana.operators import resample as B
 from pramana.plans import derive as D
 from pramana.streaming.running import running_accuracy
 
@@ -78,47 +79,57 @@ def condition_intersection_counts(spark, sf):
     return r.join(ids, "id", "left_semi").groupBy("condition").agg(F.count("*").alias("n"), F.countDistinct("video").alias("videos"))
 
 
-_BOOT = 200
+_BOOT = 2000
+_BOOT_VIEWS = (D.RUNS_SQL, _WIDE, "sums AS (SELECT qset AS cluster, count(*) FILTER (plain = 1) AS n, count(*) FILTER (plain = 1 AND mask_cite = 0) AS fa, count(*) FILTER (plain = 1 AND mask_cite_random = 0) AS fb FROM wide WHERE mask_cite IS NOT NULL AND mask_cite_random IS NOT NULL GROUP BY 1)")
+_ENDS = "SELECT round(v[CAST(floor(0.025 * len(v)) AS INTEGER) + 1], 6) AS lo, round(v[least(len(v), CAST(floor(0.975 * len(v)) AS INTEGER) + 1)], 6) AS hi, CAST(len(v) AS INTEGER) AS n_reps FROM (SELECT list_sort(list(gap)) AS v FROM ({gaps}))"
 
 
-#: What ``bootstrap`` takes by default, for the queries of the whole job.
-_BOOT_WHOLE = 2000
-_BOOT_VIEWS = (D.RUNS_SQL, _WIDE, "sums AS (SELECT qset AS cluster, count(*) FILTER (plain = 1) AS n, count(*) FILTER (plain = 1 AND mask_cite = 0) AS fa, count(*) FILTER (plain = 1 AND mask_cite_random = 0) AS fb FROM wide WHERE mask_cite IS NOT NULL AND mask_cite_random IS NOT NULL GROUP BY 1)")
+def hash_sql(text: str) -> str:
+    """The 60 bits that a key is hashed to."""
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS UBIGINT)"
+
+
+def mixed_sql(name: str, source: str, keys: str) -> tuple[str, ...]:
+    """Views that end in ``name``: the rows of ``source`` with 53 random bits ``t`` from the two columns ``keys``."""
+    times = lambda x, c: f"CAST((CAST({x} AS UHUGEINT) * CAST({c} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+    return (
+        f"{name}_1 AS (SELECT *, {times(f'xor({keys})', B.MIX_1)} AS t FROM {source})",
+        f"{name}_2 AS (SELECT * REPLACE ({times('xor(t, t >> 32)', B.MIX_2)} AS t) FROM {name}_1)",
+        f"{name} AS (SELECT * REPLACE (xor(t, t >> 32) >> 11 AS t) FROM {name}_2)",
+    )
 
 
-def _boot_sql(replicates):
-    return f"""SELECT round(v[CAST(floor(0.025 * len(v)) AS INTEGER) + 1], 6) AS lo, round(v[least(len(v), CAST(floor(0.975 * len(v)) AS INTEGER) + 1)], 6) AS hi, CAST(len(v) AS INTEGER) AS n_reps FROM (
-  SELECT list_sort(list(gap)) AS v FROM (SELECT d.rep, sum(fa)::DOUBLE / sum(n) - sum(fb)::DOUBLE / sum(n) AS gap FROM
-    (SELECT rep, CAST('0x' || substr(md5('0:' || rep || ':' || pos), 1, 12) AS BIGINT) % (SELECT count(*) FROM sums) AS place FROM range({replicates}) a(rep), range((SELECT count(*) FROM sums)) b(pos)) d
-    JOIN (SELECT row_number() OVER (ORDER BY cluster) - 1 AS place, * FROM sums) s USING (place) GROUP BY d.rep HAVING sum(n) > 0))"""
+def weights_sql(clusters: str, replicates: int = _BOOT) -> tuple[str, ...]:
+    """Views that end in wt (cluster, rep, w): the Poisson weight of each of ``clusters`` (cluster) in each replicate."""
+    keyed = f"keyed AS (SELECT cluster, rep, {hash_sql("'0:' || cluster")} AS ck, rk FROM {clusters}, (SELECT rep, {hash_sql("'0:rep:' || rep")} AS rk FROM range({replicates}) r(rep)))"
+    cuts = ", ".join(map(repr, B.poisson_cuts()))
+    return keyed, *mixed_sql("bits", "keyed", "ck, rk"), f"wt AS (SELECT cluster, rep, len(list_filter([{cuts}], lambda c: t / 9007199254740992.0 >= c)) AS w FROM bits)"
 
 
-def _boot(spark, sf, replicates):
+def _boot(spark, sf, method):
     w = A.wide(D.runs(spark, sf), ["plain", *A.PAIRS["cite"]])
-    i = A.interval(A.bootstrap(A.sums_by_cluster(w, *A.PAIRS["cite"]), replicates))
+    i = A.interval(A.bootstrap(A.sums_by_cluster(w, *A.PAIRS["cite"]), _BOOT, method=method))
     return i.select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n_reps")
 
 
-@query(_boot_sql(_BOOT), _BOOT_VIEWS)
+_PLACES = f"places AS (SELECT rep, CAST(pos AS UBIGINT) AS pos, {hash_sql("'0:rep:' || rep")} AS rk FROM range({_BOOT}) a(rep), range((SELECT count(*) FROM sums)) b(pos))"
+_DREW = "SELECT rep, sum(fa)::DOUBLE / sum(n) - sum(fb)::DOUBLE / sum(n) AS gap FROM (SELECT rep, t % (SELECT count(*) FROM sums) AS place FROM drew) d JOIN (SELECT row_number() OVER (ORDER BY cluster) - 1 AS place, * FROM sums) s USING (place) GROUP BY rep HAVING sum(n) > 0"
+
+
+@query(_ENDS.format(gaps=_DREW), (*_BOOT_VIEWS, _PLACES, *mixed_sql("drew", "places", "pos, rk")))
 def bootstrap_gap_ci(spark, sf):
-    return _boot(spark, sf, _BOOT)
+    """Draws with replacement, as many as there are clusters."""
+    return _boot(spark, sf, "draws")
 
 
-@query(_boot_sql(_BOOT_WHOLE), _BOOT_VIEWS)
+@query(_ENDS.format(gaps=_DREW), (*_BOOT_VIEWS, _PLACES, *mixed_sql("drew", "places", "pos, rk")))
 def bootstrap_gap_ci_whole(spark, sf):
-    return _boot(spark, sf, _BOOT_WHOLE)
+    return _boot(spark, sf, "draws")
 
 
-@query(
-    f"""SELECT round(v[CAST(floor(0.025 * len(v)) AS INTEGER) + 1], 6) AS lo, round(v[least(len(v), CAST(floor(0.975 * len(v)) AS INTEGER) + 1)], 6) AS hi, CAST(len(v) AS INTEGER) AS n_reps FROM (
-  SELECT list_sort(list(gap)) AS v FROM (SELECT rep, sum(w * fa)::DOUBLE / sum(w * n) - sum(w * fb)::DOUBLE / sum(w * n) AS gap FROM
-    (SELECT rep, n, fa, fb, len(list_filter([{', '.join(map(repr, A.poisson_cuts()))}], lambda c: u >= c)) AS w FROM (SELECT rep, n, fa, fb, CAST('0x' || substr(md5('0:' || rep || ':' || cluster), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM sums, range({_BOOT_WHOLE}) r(rep))) GROUP BY rep HAVING sum(w * n) > 0))""",
-    _BOOT_VIEWS,
-)
+@query(_ENDS.format(gaps="SELECT rep, sum(w * fa)::DOUBLE / sum(w * n) - sum(w * fb)::DOUBLE / sum(w * n) AS gap FROM sums JOIN wt USING (cluster) GROUP BY rep HAVING sum(w * n) > 0"), (*_BOOT_VIEWS, *weights_sql("sums")))
 def bootstrap_gap_poisson(spark, sf):
-    w = A.wide(D.runs(spark, sf), ["plain", *A.PAIRS["cite"]])
-    i = A.interval(A.bootstrap(A.sums_by_cluster(w, *A.PAIRS["cite"]), _BOOT_WHOLE, method="poisson"))
-    return i.select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n_reps")
+    return _boot(spark, sf, "poisson")
 
 
 def _gap_sql(stratum):
@@ -155,18 +166,12 @@ def question_selection(spark, sf):
     return A.question_selection(D.runs(spark, sf), "plain").groupBy(r6(F.col("credit")).alias("credit")).agg(F.count("*").alias("questions"))
 
 
-@query(_gap_sql("tag").replace("FROM wide", "FROM (SELECT 'a' AS tag, * FROM wide WHERE id % 2 = 0 UNION ALL SELECT 'b', * FROM wide WHERE id % 3 = 0 UNION ALL SELECT 'pool', * FROM wide WHERE id % 2 = 0 UNION ALL SELECT 'pool', * FROM wide WHERE id % 3 = 0)"), (D.RUNS_SQL, _WIDE))
-def pooled_gap(spark, sf):
-    w = A.wide(D.runs(spark, sf), ["plain", *A.PAIRS["es"]])
-    tagged = w.where("id % 2 = 0").withColumn("tag", F.lit("a")).unionByName(w.where("id % 3 = 0").withColumn("tag", F.lit("b")))
-    both = tagged.withColumn("stratum", F.explode(F.array("tag", F.lit("pool"))))
-    g = A.gap(both, *A.PAIRS["es"], ["stratum"])
-    return g.select("stratum", "n_correct", *[r6(F.col(c)).alias(c) for c in ("flip", "flip_control", "gap")])
+_POOL_SQL = _gap_sql("tag").replace("FROM wide", "FROM (SELECT unnest([CASE WHEN id % 2 = 0 THEN 'a' END, CASE WHEN id % 3 = 0 THEN 'b' END, CASE WHEN id % 2 <> 0 AND id % 3 <> 0 THEN 'c' END]) AS own, * FROM wide), (VALUES (0), (1)) p(pool), LATERAL (SELECT CASE WHEN pool = 1 THEN 'pool' ELSE own END AS tag)").replace(" GROUP BY 1", " AND own IS NOT NULL GROUP BY 1")
 
 
-@query(_gap_sql("tag").replace("FROM wide", "FROM (SELECT unnest([CASE WHEN id % 2 = 0 THEN 'a' END, CASE WHEN id % 3 = 0 THEN 'b' END, CASE WHEN id % 2 <> 0 AND id % 3 <> 0 THEN 'c' END]) AS own, * FROM wide), (VALUES (0), (1)) p(pool), LATERAL (SELECT CASE WHEN pool = 1 THEN 'pool' ELSE own END AS tag)").replace(" GROUP BY 1", " AND own IS NOT NULL GROUP BY 1"), (D.RUNS_SQL, _WIDE))
-def pooled_gap_whole(spark, sf):
-    """The tags of ``pooled_gap`` and a third of the ids that are in neither, so that the pool has every id."""
+@query(_POOL_SQL, (D.RUNS_SQL, _WIDE))
+def pooled_gap(spark, sf):
+    """Ids in tags by two and by three, those in neither in a third, and the pool of all."""
     w = A.wide(D.runs(spark, sf), ["plain", *A.PAIRS["es"]])
     in_a, in_b = F.col("id") % 2 == 0, F.col("id") % 3 == 0
     tags = F.array_compact(F.array(F.when(in_a, "a"), F.when(in_b, "b"), F.when(~in_a & ~in_b, "c")))
@@ -175,6 +180,11 @@ def pooled_gap_whole(spark, sf):
     return g.select("stratum", "n_correct", *[r6(F.col(c)).alias(c) for c in ("flip", "flip_control", "gap")])
 
 
+@query(_POOL_SQL, (D.RUNS_SQL, _WIDE))
+def pooled_gap_whole(spark, sf):
+    return pooled_gap(spark, sf)
+
+
 @query("SELECT condition, round(avg(fraction), 6) AS area, list_sort(list(fraction))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS upper_median FROM runs WHERE condition LIKE 'mask%' GROUP BY 1", (D.RUNS_SQL,))
 def mean_masked_area(spark, sf):
     r = D.runs(spark, sf).where("condition like 'mask%'").select("condition", "fraction")
@@ -402,19 +412,27 @@ def normalize_answer(spark, sf):
     return D.table(spark, sf, "conversations").select(T.normalize_short("text").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query(
-    "SELECT letters, count(*) AS n FROM (SELECT coalesce(string_agg(DISTINCT w, '' ORDER BY w) FILTER (w IN ('A', 'B', 'C', 'D', 'E')), '') AS letters FROM (SELECT doc_id, unnest(list_append(string_split(regexp_replace(upper(p), '[^A-Z]+', ' ', 'g'), ' '), '')) AS w FROM (SELECT doc_id, substr(text, 1, 60) || ' x' AS p FROM documents) WHERE NOT regexp_matches(lower(p), 'none')) GROUP BY doc_id) GROUP BY 1"
-)
+#: Letters that stand alone, where nothing follows a letter of them; else those of a text of letters, commas and blanks; none if it says so and no capital stands alone as a word.
+_LETTERS = """SELECT letters, count(*) AS n FROM (SELECT CASE WHEN none THEN '' WHEN alone <> '' THEN alone WHEN regexp_full_match(packed, '[A-H]+') THEN coalesce(array_to_string(list_sort(list_filter(list_distinct(string_split(packed, '')), lambda c: c BETWEEN 'A' AND 'E')), ''), '') ELSE '' END AS letters FROM (
+  SELECT regexp_matches(t, '(?i)(^|[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}])none($|[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}])') AND NOT regexp_matches(t, '(^|[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}])[A-H]($|[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}])') AS none,
+         array_to_string(list_sort(list_filter(list_distinct(string_split(regexp_replace(upper(t), '[^A-Z]+', ' ', 'g'), ' ')), lambda w: w IN ('A', 'B', 'C', 'D', 'E'))), '') AS alone, replace(replace(upper(t), ',', ''), ' ', '') AS packed
+  FROM (SELECT trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents WHERE text IS NOT NULL))) GROUP BY 1"""
+
+
+def _letters(spark, sf):
+    d = D.table(spark, sf, "documents").where("text is not null")
+    return d.select(T.parse_letters("text", 5).alias("letters")).groupBy("letters").agg(F.count("*").alias("n"))
+
+
+@query(_LETTERS)
 def parse_option_letters(spark, sf):
-    d = D.table(spark, sf, "documents").select(F.concat(F.substring("text", 1, 60), F.lit(" x")).alias("p")).where("not lower(p) rlike 'none'")
-    return d.select(T.parse_letters("p", 5).alias("letters")).groupBy("letters").agg(F.count("*").alias("n"))
+    """Letters of every whole text, those of the none and compact branches too."""
+    return _letters(spark, sf)
 
 
-@query()
+@query(_LETTERS)
 def parse_option_letters_whole(spark, sf):
-    """Letters of every whole text, those of the none and compact branches too."""
-    d = D.table(spark, sf, "documents")
-    return d.select(T.parse_letters("text", 5).alias("letters")).groupBy("letters").agg(F.count("*").alias("n"))
+    return _letters(spark, sf)
 
 
 @query(

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from pramana.functions import codec as C
 from pramana.functions import rle
+from pramana.operators import resample as S
 from pramana.operators import rewards as W
 from pramana.plans import derive as D
-from pramana.plans.catalogue import _parsed, query, r6
+from pramana.plans.catalogue import _parsed, query, r6, weights_sql
 
 _OK = "k % 10 NOT IN (8, 9)"
 _ASKED = "['the red ball', '2: white dog: the white dog', 'Man in blue', 'a tall tree'][(k + j) % 4 + 1]"
@@ -86,3 +87,44 @@ def process_best(spark, sf):
     """The best score over several references, one of which is the chain itself."""
     p = _parsed(spark, sf).where("parsed.chain is not null").select("k", F.col("parsed.chain").alias("chain"))
     return W.process_best(p.withColumn("refs", F.array(F.slice("chain", 1, 1), F.col("chain"))), "chain", "refs").select("k", r6(F.col("process")).alias("process"))
+
+
+# ---- order statistics over weighted clusters
+
+_CUSTOMERS = "items AS (SELECT c_mktsegment AS stratum, c_nationkey AS cluster, CAST(c_acctbal AS DOUBLE) AS v, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS label FROM customer)"
+_CUMULATED = "run AS (SELECT i.stratum, rep, v, label, w, sum(w) OVER (PARTITION BY i.stratum, rep ORDER BY v, cluster, label ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY i.stratum, rep) AS whole FROM items i JOIN wt USING (cluster))"
+_BY_STRATUM = "SELECT stratum, round(v[CAST(floor(0.025 * len(v)) AS INTEGER) + 1], 6) AS lo, round(v[least(len(v), CAST(floor(0.975 * len(v)) AS INTEGER) + 1)], 6) AS hi, CAST(len(v) AS INTEGER) AS n_reps FROM (SELECT stratum, list_sort(list(value)) AS v FROM ({reps}) GROUP BY 1)"
+_OF_NATIONS = weights_sql("(SELECT DISTINCT cluster FROM items)")
+
+
+def _balances(spark, sf):
+    c = D.table(spark, sf, "customer")
+    return c.select(F.col("c_mktsegment").alias("stratum"), F.col("c_nationkey").alias("cluster"), F.col("c_acctbal").cast("double").alias("v"), (F.col("c_custkey") % 3 == 0).cast("int").alias("label"))
+
+
+def _ended(reps):
+    return S.intervals(reps).select("stratum", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n_reps")
+
+
+@query(_BY_STRATUM.format(reps="SELECT stratum, rep, min(v) AS value FROM run WHERE 2 * upto >= whole AND w > 0 AND whole > 0 GROUP BY 1, 2"), (_CUSTOMERS, *_OF_NATIONS, _CUMULATED))
+def clustered_median(spark, sf):
+    """Interval of the median balance of each segment, nations resampled."""
+    return _ended(S.quantiles(_balances(spark, sf).drop("label"), "v"))
+
+
+@query(
+    _BY_STRATUM.format(reps="SELECT stratum, rep, sum(v * held) / sum(held) AS value FROM (SELECT *, greatest(0, least(upto, 0.9::DOUBLE * whole) - greatest(upto - w, 0.1::DOUBLE * whole)) AS held FROM run) GROUP BY 1, 2 HAVING sum(held) > 0"),
+    (_CUSTOMERS, *_OF_NATIONS, _CUMULATED),
+)
+def clustered_trimmed_mean(spark, sf):
+    """Interval of the mean balance of each segment without a tenth at either end, nations resampled."""
+    return _ended(S.trimmed_means(_balances(spark, sf).drop("label"), "v", 0.1))
+
+
+@query(
+    _BY_STRATUM.format(reps="SELECT stratum, rep, sum(ones * (below + 0.5 * zeros)) / (sum(ones)::DOUBLE * sum(zeros)) AS value FROM (SELECT stratum, rep, ones, zeros, sum(zeros) OVER (PARTITION BY stratum, rep ORDER BY v ROWS UNBOUNDED PRECEDING) - zeros AS below FROM (SELECT stratum, rep, v, sum(w) FILTER (label = 1) AS o, coalesce(sum(w) FILTER (label = 1), 0) AS ones, coalesce(sum(w) FILTER (label = 0), 0) AS zeros FROM items JOIN wt USING (cluster) GROUP BY 1, 2, 3)) GROUP BY 1, 2 HAVING sum(ones) > 0 AND sum(zeros) > 0"),
+    (_CUSTOMERS, *_OF_NATIONS),
+)
+def clustered_auc(spark, sf):
+    """Interval of how well the balance tells every third customer from the others in each segment, nations resampled."""
+    return _ended(S.aucs(_balances(spark, sf), "v"))

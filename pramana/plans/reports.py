@@ -12,7 +12,7 @@ from pramana.operators import rewards as W
 from pramana.operators import stats as A
 from pramana.operators import strata as X
 from pramana.plans import derive as D
-from pramana.plans.catalogue import _WIDE, query, r6
+from pramana.plans.catalogue import _WIDE, query, r6, weights_sql
 
 _MAIN = "plain IS NOT NULL AND blind IS NOT NULL AND mask_evidence IS NOT NULL AND mask_random IS NOT NULL"
 _STEPS = (D.STEPS_SQL, "cited AS (SELECT k AS id, k % 100 AS video, j, entity, t0, t1, x0, y0, x1, y1, CAST(least(15, greatest(0, round_even((t0 + t1) / 2.0 * 15 / 127, 0))) AS INTEGER) AS frame FROM steps WHERE k % 10 NOT IN (8, 9))")
@@ -31,11 +31,15 @@ def _share(a: str, b: str) -> str:
 
 
 _ENDS = ", ".join(f"round({v}[least(len({v}), CAST(floor({s} * len({v})) AS INTEGER) + 1)], 6) AS {n}" for v, s, n in (("f", 0.025, "flip_lo"), ("f", 0.975, "flip_hi"), ("g", 0.025, "gap_lo"), ("g", 0.975, "gap_hi")))
-_DRAWN = f"""csum AS (SELECT stratum, cluster, sum(w) AS n, sum(w * x) AS sx, sum(w * y) AS sy, row_number() OVER (PARTITION BY stratum ORDER BY cluster) - 1 AS place, count(*) OVER (PARTITION BY stratum) AS m FROM picked WHERE stratum IS NOT NULL GROUP BY stratum, cluster),
-msum AS (SELECT stratum, max(m) AS m, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy FROM csum GROUP BY 1),
-drawn AS (SELECT stratum, rep, CAST('0x' || substr(md5('0:' || rep || ':' || pos), 1, 12) AS BIGINT) % m AS place FROM (SELECT stratum, m, rep, unnest(range(m)) AS pos FROM msum, range({X.REPLICATES}) r(rep))),
-reps AS (SELECT d.stratum, d.rep, sum(sx)::DOUBLE / sum(n) AS f, sum(sx)::DOUBLE / sum(n) - sum(sy)::DOUBLE / sum(n) AS g FROM drawn d JOIN csum c ON d.stratum = c.stratum AND d.place = c.place GROUP BY 1, 2 HAVING sum(n) > 0),
-ends AS (SELECT stratum, list_sort(list(f)) AS f, list_sort(list(g)) AS g FROM reps GROUP BY 1)"""
+_DRAWN = ",\n".join(
+    (
+        "csum AS (SELECT stratum, cluster, sum(w) AS n, sum(w * x) AS sx, sum(w * y) AS sy FROM picked WHERE stratum IS NOT NULL GROUP BY stratum, cluster)",
+        "msum AS (SELECT stratum, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy FROM csum GROUP BY 1)",
+        *weights_sql("(SELECT DISTINCT cluster FROM csum)", X.REPLICATES),
+        "reps AS (SELECT stratum, rep, sum(w * sx)::DOUBLE / sum(w * n) AS f, sum(w * sx)::DOUBLE / sum(w * n) - sum(w * sy)::DOUBLE / sum(w * n) AS g FROM csum JOIN wt USING (cluster) GROUP BY 1, 2 HAVING sum(w * n) > 0)",
+        "ends AS (SELECT stratum, list_sort(list(f)) AS f, list_sort(list(g)) AS g FROM reps GROUP BY 1)",
+    )
+)
 _INTERVALS = f"""SELECT s.stratum, CAST(s.n AS BIGINT) AS n, round(sx::DOUBLE / n, 6) AS flip, round(sy::DOUBLE / n, 6) AS flip_control, round(sx::DOUBLE / n - sy::DOUBLE / n, 6) AS gap, {_ENDS} FROM msum s JOIN ends e ON s.stratum = e.stratum WHERE n > 0"""
 
 
