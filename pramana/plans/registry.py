@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from pramana.plans import boundary, catalogue, chains, curation, exact, programs, reports  # noqa: F401  they add to the catalogue
+from pramana.plans import boundary, catalogue, chains, curation, exact, programs, quality, reports  # noqa: F401  they add to the catalogue
 
 QUERIES, SQL = catalogue.QUERIES, catalogue.SQL
