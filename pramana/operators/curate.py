@@ -117,3 +117,9 @@ def paired_sets(items: DataFrame, question: str, which: str, kind: str) -> DataF
     right = lambda s: F.max(F.when(F.col(which) == s, F.col("correct")).otherwise(0))
     q = items.groupBy(question).agg(F.min(kind).alias(kind), right(1).alias("one"), right(2).alias("two"))
     return q.groupBy(kind).agg(F.count("*").alias("n"), F.avg(F.col("one") * F.col("two")).alias("paired"))
+
+
+def inferential_mean(summary: DataFrame, kinds: list[str], kind: str = "question_type", value: str = "per_question", n: str = "questions") -> DataFrame:
+    """(n, value): the mean of some types' accuracies weighted by their numbers of questions; null without any."""
+    some = summary.where(F.col(kind).isin(kinds) & F.col(value).isNotNull())
+    return some.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), (F.sum(F.col(value) * F.col(n)) / F.nullif(F.sum(n), F.lit(0))).alias("value"))

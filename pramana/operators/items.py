@@ -83,6 +83,33 @@ def nextqa_items(rows: DataFrame, mode: str = "multi", ids: DataFrame | None = N
     return r.select(F.col("qset").alias("id"), *head, listed_prompt(asked, F.col("options"), ONE_CORRECT).alias("prompt"), letter(F.col("right").cast("int")).alias("gold"), "options")
 
 
+def causalvqa_items(rows: DataFrame, mode: str = "multi") -> DataFrame:
+    """(id, qset, question_type, video, difficulty, prompt, gold, options, option, yes_no): an item for each option set of a question, or for each option.
+
+    rows: qid, type, question, difficulty, video, set (1 or 2), options, gold (the number of the right option, from 1); a
+    set without a number has no answer and is left out.
+    """
+    right = F.col("gold").try_cast("int")
+    r = rows.withColumn("_right", right).where("_right is not null").withColumn("qset", F.concat_ws("_", F.col("qid").cast("string"), F.col("set").cast("string")))
+    asked = F.regexp_replace(F.trim("question"), r'^"+|"+$', "")
+    head = [F.col("qset"), F.lower("type").alias("question_type"), "video", "difficulty"]
+    if mode == "option":
+        e = r.select("*", F.posexplode("options").alias("option", "o"))
+        return e.select(F.concat_ws("_", "qset", F.col("option").cast("string")).alias("id"), *head, option_prompt(asked, F.col("option"), F.col("o")).alias("prompt"), F.when(F.col("option") + 1 == F.col("_right"), "yes").otherwise("no").alias("gold"), F.lit(None).cast("array<string>").alias("options"), "option", F.lit(True).alias("yes_no"))
+    return r.select(F.col("qset").alias("id"), *head, listed_prompt(asked, F.col("options"), ONE_CORRECT).alias("prompt"), letter(F.col("_right") - 1).alias("gold"), "options", F.lit(None).cast("int").alias("option"), F.lit(False).alias("yes_no"))
+
+
+#: Builders of items by the name of their benchmark; each takes the rows of its reader and a mode.
+BENCHMARKS = {"clevrer": clevrer_items, "causalvqa": causalvqa_items, "nextqa": nextqa_items}
+
+
+def benchmark_items(name: str, rows: DataFrame, mode: str = "multi", **more) -> DataFrame:
+    """The items of a benchmark by its name; an error names those that are known."""
+    if name not in BENCHMARKS:
+        raise ValueError(f"{name} is no benchmark here: {', '.join(sorted(BENCHMARKS))}")
+    return BENCHMARKS[name](rows, mode, **more)
+
+
 def score_items(items: DataFrame, prediction: str = "prediction") -> DataFrame:
     """Adds pred, correct, option_correct and option_total: letters where there are options, else a word whose digits mean yes or no where that is asked.
 

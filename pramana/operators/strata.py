@@ -91,6 +91,18 @@ def recite(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
     return per.withColumn("_k", F.lit(0)).join(steps.withColumn("_k", F.lit(0)), "_k").drop("_k")
 
 
+def recite_same_answer(old: DataFrame, new: DataFrame, answers: DataFrame, least: float = 0.5) -> DataFrame:
+    """``recite`` over the items whose answer under the mask is the plain one, and their share of the items asked.
+
+    answers: (id, plain, masked). Elsewhere a moved citation may follow a changed answer.
+    """
+    asked = answers.join(old.select("id").distinct(), "id", "left_semi")
+    same = asked.where(F.col("plain").eqNullSafe(F.col("masked"))).select("id")
+    found = recite(old.join(same, "id", "left_semi"), new.join(same, "id", "left_semi"), least)
+    share = asked.agg((F.count_if(F.col("plain").eqNullSafe(F.col("masked"))) / F.nullif(F.count("*"), F.lit(0))).alias("share_items"))
+    return found.withColumn("_k", F.lit(0)).join(share.withColumn("_k", F.lit(0)), "_k").drop("_k")
+
+
 def dose(steps: DataFrame, tracks: DataFrame) -> DataFrame:
     """(id, frames, cover): mean detected frames of the entities an item names, and the share of all their frames that it cites."""
     named = steps.where("entity is not null")

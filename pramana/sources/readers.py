@@ -35,10 +35,12 @@ def split_choices(column) -> F.Column:
 
 
 def two_set_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each of a question's two option sets; sets without an answer are left out."""
+    """One row for each of a question's two option sets, with its video where the file names one; sets without an answer are left out."""
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
     sets = F.array(*[F.struct(F.lit(k).alias("set"), F.col(f"choices{k}").alias("choices"), F.col(f"correct{k}").alias("gold")) for k in (1, 2)])
-    return raw.select("qid", "type", "question", "difficulty", F.explode(sets).alias("s")).select("qid", "type", "question", "difficulty", "s.set", split_choices(F.col("s.choices")).alias("options"), F.trim("s.gold").alias("gold")).where("gold <> ''")
+    video = F.col("renamed_video") if "renamed_video" in raw.columns else F.lit(None).cast("string")
+    head = ["qid", "type", "question", "difficulty", "video"]
+    return raw.withColumn("video", video).select(*head, F.explode(sets).alias("s")).select(*head, "s.set", split_choices(F.col("s.choices")).alias("options"), F.trim("s.gold").alias("gold")).where("gold <> ''")
 
 
 def entity_tracks(spark: SparkSession, path: str) -> DataFrame:
@@ -51,9 +53,11 @@ def entity_tracks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def judgements(spark: SparkSession, path: str) -> DataFrame:
-    """(name, value) of audit files; quoted JSON strings are read as their content."""
+    """(name, value) of audit files; quoted JSON strings are read as their content, quoted texts that are no JSON stay as they are."""
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    return raw.select("name", F.when(F.col("value").rlike('^".*"$'), F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v")).otherwise(F.col("value")).alias("value"))
+    quoted = F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v")
+    is_json = F.col("value").rlike(r'^"([^"\\\x00-\x1f]|\\.)*"$')
+    return raw.select("name", F.when(is_json, F.coalesce(quoted, F.col("value"))).otherwise(F.col("value")).alias("value"))
 
 
 def append_rows(df: DataFrame, path: str) -> None:
