@@ -20,9 +20,6 @@ WINDOW, STRIDE = 32, 16
 BUCKETS, DIM, HIDDEN = 8192, 8, 8
 #: Bound of the training sample: rows of each label, whole texts of any length.
 ROWS = 1200
-#: Windows of a training text that a step looks back through: those with the largest logits. The others of a longer
-#: text are read forward only; they have next to no share in its softly largest logit.
-LOOKED_AT = 256
 #: Passes over the sample, more if it is small: at least so many steps are taken.
 EPOCHS, BATCH, RATE, STEPS = 4, 16, 0.01, 500
 THRESHOLD = 0.7
@@ -155,16 +152,30 @@ def prepare(texts: list) -> tuple:
     return inputs(LOWER[buf], starts, ends), row
 
 
-def _looked_at(w, gates, start, owner):
-    """The windows without those of long texts whose logits are not among its largest."""
-    if np.bincount(owner).max() <= LOOKED_AT:
-        return start, owner
-    logit = np.concatenate([_forward(w, gates, start[at : at + TOGETHER]) for at in range(0, len(start), TOGETHER)])
-    order = np.lexsort((-logit, owner))
-    n = np.bincount(owner)
-    place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
-    kept = np.sort(order[place < LOOKED_AT])
-    return start[kept], owner[kept]
+def _gradient(w, ids, place, places, start, owner, y):
+    """Gradients of the mean loss of some texts, through all their windows.
+
+    The share of each window in its text's softly largest logit is known after a pass forward; more than TOGETHER
+    windows then go forward and back in parts, whose gradients add up, so that a long text takes no more memory than its words.
+    """
+    x, gates = _gates(w, ids, places, place)
+    parts = range(0, len(start), TOGETHER)
+    kept = [_forward(w, gates, start[k : k + TOGETHER], keep=True) for k in parts[:1]]
+    logit = np.concatenate([kept[0][0], *[_forward(w, gates, start[k : k + TOGETHER]) for k in parts[1:]]]).astype(np.float64)
+    top = np.full(len(y), -np.inf)
+    np.maximum.at(top, owner, logit)
+    share = np.exp(logit - top[owner])
+    total = np.bincount(owner, share)
+    doc = top + np.log(total)
+    share /= total[owner]
+    dlogit = (share * (_sigmoid(doc) - y)[owner] / len(y)).astype(np.float32)
+    grad = None
+    for k in parts:
+        some = start[k : k + TOGETHER]
+        held = kept[0] if k == 0 else _forward(w, gates, some, keep=True)
+        part = _backward(w, ids, place, x, gates, some, held, dlogit[k : k + TOGETHER])
+        grad = part if grad is None else {name: g + part[name] for name, g in grad.items()}
+    return grad
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 3) -> dict:
@@ -187,18 +198,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             ids = tuple(np.concatenate(c) for c in zip(*[ready[i] for i in chosen]))
             row = np.repeat(np.arange(len(chosen)), [len(ready[i][0]) for i in chosen])
             place, places, start, owner = windows(row, len(chosen))
-            x, gates = _gates(w, ids, places, place)
-            start, owner = _looked_at(w, gates, start, owner)
-            kept = _forward(w, gates, start, keep=True)
-            logit = kept[0].astype(np.float64)
-            top = np.full(len(chosen), -np.inf)
-            np.maximum.at(top, owner, logit)
-            share = np.exp(logit - top[owner])
-            total = np.bincount(owner, share)
-            doc = top + np.log(total)
-            share /= total[owner]
-            dlogit = (share * (_sigmoid(doc) - y_all[chosen])[owner] / len(chosen)).astype(np.float32)
-            grad = _backward(w, ids, place, x, gates, start, kept, dlogit)
+            grad = _gradient(w, ids, place, places, start, owner, y_all[chosen])
             step += 1
             rate = RATE * (1 - 0.9 * step / steps)
             for k, g in grad.items():

@@ -137,18 +137,34 @@ def test_long_texts_score_and_train_in_parts_as_whole(texts):
     many = [" ".join(t for _, t in texts[k : k + 9]) for k in range(3)] + ["", "a b"]
     buf, off = toxicity.utf8(toxicity.pa.array(many))
     assert np.allclose(toxicity.score_texts(w, buf, off), toxicity.score_texts(w, buf, off, segment=64), atol=1e-5)
+
+
+def test_gradients_go_through_all_windows_of_long_texts(texts, monkeypatch):
+    """In parts as in one, and as small steps of a weight change the loss: no window of a long text is left out."""
+    w = toxicity.train([t for _, t in texts[:30]], [k % 2 for k in range(30)])
+    many = [" ".join(t for _, t in texts[k : k + 9]) for k in range(3)] + ["", "a b"]
     ids, row = toxicity.prepare(many)
     place, places, start, owner = toxicity.windows(row, len(many))
-    gates = toxicity._gates(w, ids, places, place)[1]
-    keep = toxicity.LOOKED_AT
-    try:
-        toxicity.LOOKED_AT = 5
-        some, of = toxicity._looked_at(w, gates, start, owner)
-    finally:
-        toxicity.LOOKED_AT = keep
-    assert np.bincount(of).max() == 5
-    for d in range(3):
-        assert toxicity._forward(w, gates, some[of == d]).max() == pytest.approx(toxicity._forward(w, gates, start[owner == d]).max(), abs=1e-5)
+    y = np.array([1, 0, 1, 0, 1], np.float32)
+    assert len(start) > 300
+    whole = toxicity._gradient(w, ids, place, places, start, owner, y)
+    monkeypatch.setattr(toxicity, "TOGETHER", 37)
+    parts = toxicity._gradient(w, ids, place, places, start, owner, y)
+    assert set(parts) == set(whole)
+    for k in whole:
+        assert np.allclose(parts[k], whole[k], atol=1e-5), k
+
+    def loss(v):
+        _, gates = toxicity._gates(v, ids, places, place)
+        logit = toxicity._forward(v, gates, start).astype(np.float64)
+        doc = np.array([np.log(np.exp(logit[owner == d]).sum()) for d in range(len(y))])
+        return float(np.mean(np.log1p(np.exp(doc)) - y * doc))
+
+    for at in range(0, 16, 5):
+        up, down = ({**w, "out": w["out"].copy()} for _ in range(2))
+        up["out"][at] += 1e-2
+        down["out"][at] -= 1e-2
+        assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(float(whole["out"][at]), abs=2e-3)
 
 
 def test_the_middle_of_a_word_is_read():
