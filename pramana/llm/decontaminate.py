@@ -19,7 +19,7 @@ from pramana.llm._text import LOWER, batch_slices, hash_words, split_words, utf8
 
 WINDOW = 10
 #: Characters of benchmark text that are broadcast at a time; more come in further blocks.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 SAMPLE = 8
 #: Words of a shard: a longer run of texts is indexed in parts that overlap by a window.
 SHARD_WORDS = 1_000_000
