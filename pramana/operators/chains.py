@@ -161,6 +161,7 @@ def landmarks(traced: DataFrame, keep: list[str], tol: int = 3, frames: int = FR
     rows = rows.withColumn("_names", F.transform(F.when(watch, ev["objects"]).when(op == "get_col_partner", F.concat(second["v"]["objs"], v["objs"])).otherwise(v["objs"]), lambda i: P.describe(o, i)))
     rows = rows.withColumn("_told", F.transform(F.when(event, v["evs"]).otherwise(listed), lambda c: P.describe_event(o, c)))
     name = lambda i: F.get("_names", i)
+    # How the format words questions and answers, from here to the answers' end.
     question = case([
         (one & (op == "unique"), txt("Which object is ", partly, "?")),
         (one & (op == "get_col_partner"), txt("Which object does ", name(0), " collide with at frame ", frame(took), "?")),

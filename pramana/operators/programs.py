@@ -134,6 +134,9 @@ def run(questions: DataFrame, program: str = "program", threshold=0.02, out: str
     return questions.withColumn(out, F.aggregate(F.col(program), start, step, answer))
 
 
+# The words by which the format names objects, events and sets, in the four functions that follow.
+
+
 def describe(o: Column, x: Column) -> Column:
     """An object's full name, as in "the red metal cube". o: the scene's objects."""
     row = F.get(F.filter(o, lambda r: r["obj"] == x), 0)
