@@ -205,7 +205,7 @@ def landmarks(traced: DataFrame, keep: list[str], tol: int = 3, frames: int = FR
 
 
 def build(questions: DataFrame, keys: list[str], program: str = "program", gold: str = "gold", choice: str = "is_choice", threshold: float = 0.02, tol: int = 3, frames: int = FRAMES) -> DataFrame:
-    """(keys, status, final_answer, triplets) of each question; triplets are null unless the status is ok.
+    """(keys, status, final_answer, executor_answer, triplets) of each question; triplets are null unless the status is ok.
 
     questions: ``keys`` that tell them apart, o, e, m, d of their scene, the program (of a choice: its own, then the question's), the known
     answer (of a choice: yes or no) and whether it is a choice. Statuses: executor_error, executor_disagrees (a choice
@@ -217,11 +217,11 @@ def build(questions: DataFrame, keys: list[str], program: str = "program", gold:
     said, final = F.when(end["v"]["kind"] == "unknown", "unknown").otherwise(end["v"]["text"]), F.col(gold).cast("string")
     wrong = F.when(F.col(choice), said.isin("yes", "no") & (said != final)).otherwise(~said.eqNullSafe(final))
     failed = F.when(end.isNull() | (end["v"]["kind"] == "error"), "executor_error").when(F.coalesce(wrong, F.lit(False)), "executor_disagrees")
-    asked = asked.withColumn("_failed", failed).withColumn("_final", final)
+    asked = asked.withColumn("_failed", failed).withColumn("_final", final).withColumn("_said", said)
     asked = asked.withColumn("made", F.when(F.col("_failed").isNull(), F.col("made")))  # nothing to tell of the others
-    marks = landmarks(asked, [*keys, "_failed", "_final"], tol, frames)
+    marks = landmarks(asked, [*keys, "_failed", "_final", "_said"], tol, frames)
     step = F.struct("pos", "role", "key", "question", "answer", "evidence", "sources")
-    got = marks.groupBy(*keys).agg(F.first("_failed").alias("_failed"), F.first("_final").alias("final_answer"), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), step))).alias("_t"))
+    got = marks.groupBy(*keys).agg(F.first("_failed").alias("_failed"), F.first("_final").alias("final_answer"), F.first("_said").alias("executor_answer"), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), step))).alias("_t"))
     got = got.withColumn("_keys", F.array_distinct(F.transform("_t", lambda t: t["key"])))
     place = lambda k: (F.array_position(F.col("_keys"), k) - 1).cast("int")
     where = F.map_from_entries(F.transform("_t", lambda t: F.struct(t["pos"], place(t["key"]))))
@@ -233,7 +233,7 @@ def build(questions: DataFrame, keys: list[str], program: str = "program", gold:
         return F.struct(t["question"].alias("question"), t["answer"].alias("answer"), t["evidence"].alias("evidence"), deps.alias("depends_on"), t["role"].alias("role"))
 
     status = F.coalesce("_failed", F.when(F.size("_t") == 0, "no_landmarks").when(F.exists("_t", lambda t: t["evidence"].isNull()), "no_evidence"), F.lit("ok"))
-    return got.select(*keys, status.alias("status"), "final_answer", F.when(status == "ok", F.transform("_keys", triplet)).alias("triplets"))
+    return got.select(*keys, status.alias("status"), "final_answer", "executor_answer", F.when(status == "ok", F.transform("_keys", triplet)).alias("triplets"))
 
 
 def status_counts(chains: DataFrame, kind: str = "question_type") -> DataFrame:

@@ -14,7 +14,8 @@ PROPOSALS = "video_name string, frames array<struct<frame_index:int,objects:arra
 
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines with a stated schema; broken lines are dropped."""
-    return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null").drop("_corrupt")
+    read = F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    return spark.read.text(path).select(read.alias("r")).where("r is not null and r._corrupt is null").select("r.*").drop("_corrupt")
 
 
 def choices(questions: DataFrame) -> DataFrame:
@@ -22,27 +23,35 @@ def choices(questions: DataFrame) -> DataFrame:
     return questions.select("*", F.posexplode_outer("choices").alias("choice_at", "c")).select(*[c for c in questions.columns if c != "choices"], "choice_at", F.col("c.choice").alias("choice"), F.col("c.answer").alias("choice_answer"), F.col("c.program").alias("choice_program"))
 
 
-def scenes(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """objects (scene, obj, color, material, shape), frames (scene, obj, frame, speed) while visible, and collisions (scene, a, b, frame) of annotation files."""
-    raw = spark.read.schema(SCENE).option("multiLine", True).json(path)
+def scene_tables(raw: DataFrame) -> dict[str, DataFrame]:
+    """objects (scene, obj, color, material, shape), frames (scene, obj, frame, speed) while visible, and collisions (scene, a, b, frame) of rows of annotations.
+
+    The two objects of a collision stand as the annotation has them; an object of which it is not said is visible.
+    """
     o = raw.select(F.col("scene_index").alias("scene"), F.explode("object_property").alias("o")).select("scene", F.col("o.object_id").alias("obj"), "o.color", "o.material", "o.shape")
     m = raw.select(F.col("scene_index").alias("scene"), F.explode("motion_trajectory").alias("m")).select("scene", F.col("m.frame_id").alias("frame"), F.explode("m.objects").alias("o"))
     v = F.col("o.velocity")
-    frames = m.where("o.inside_camera_view").select("scene", F.col("o.object_id").alias("obj"), "frame", F.hypot(F.coalesce(F.get(v, 0), F.lit(0.0)), F.coalesce(F.get(v, 1), F.lit(0.0))).alias("speed"))
-    c = raw.select(F.col("scene_index").alias("scene"), F.explode("collision").alias("c")).select("scene", F.array_min("c.object_ids").alias("a"), F.array_max("c.object_ids").alias("b"), F.col("c.frame_id").alias("frame"))
+    frames = m.where(F.coalesce("o.inside_camera_view", F.lit(True))).select("scene", F.col("o.object_id").alias("obj"), "frame", F.hypot(F.coalesce(F.get(v, 0), F.lit(0.0)), F.coalesce(F.get(v, 1), F.lit(0.0))).alias("speed"))
+    c = raw.select(F.col("scene_index").alias("scene"), F.explode("collision").alias("c")).select("scene", F.get("c.object_ids", 0).alias("a"), F.get("c.object_ids", 1).alias("b"), F.col("c.frame_id").alias("frame"))
     return {"objects": o, "frames": frames, "collisions": c}
 
 
+def scenes(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """``scene_tables`` of annotation files, the smaller object of a collision first."""
+    t = scene_tables(spark.read.schema(SCENE).option("multiLine", True).json(path))
+    return t | {"collisions": t["collisions"].select("scene", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "frame")}
+
+
 def proposals(spark: SparkSession, path: str) -> DataFrame:
-    """(scene, frame, color, material, shape, score, box) of detection files; a box is the mask's, as shares of its size, null if the mask is empty."""
+    """(scene, frame, color, material, shape, score, ord, box) of detection files; ``ord`` is the place in the frame, a box is the mask's, as shares of its size, null if the mask is empty."""
     raw = spark.read.schema(PROPOSALS).option("multiLine", True).json(path)
     f = raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.json$", 1).cast("int").alias("scene"), F.explode("frames").alias("f"))
-    o = f.select("scene", F.col("f.frame_index").alias("frame"), F.explode("f.objects").alias("o")).select("scene", "frame", "o.color", "o.material", "o.shape", "o.score", F.col("o.mask.counts").alias("counts"), F.get("o.mask.size", 0).alias("h"), F.get("o.mask.size", 1).alias("w"))
+    o = f.select("scene", F.col("f.frame_index").alias("frame"), F.posexplode("f.objects").alias("ord", "o")).select("scene", "frame", "o.color", "o.material", "o.shape", "o.score", "ord", F.col("o.mask.counts").alias("counts"), F.get("o.mask.size", 0).alias("h"), F.get("o.mask.size", 1).alias("w"))
     # runs are a list of numbers, or their compressed string
     runs = F.when(F.col("counts").startswith("["), F.from_json("counts", "array<bigint>")).otherwise(rle.decode_counts("counts"))
     b = rle.runs_to_box(runs, F.col("h"))
     share = F.struct((b["x0"] / F.col("w")).alias("x0"), (b["y0"] / F.col("h")).alias("y0"), (b["x1"] / F.col("w")).alias("x1"), (b["y1"] / F.col("h")).alias("y1"))
-    return o.select("scene", "frame", "color", "material", "shape", "score", F.when(b.isNotNull(), share).alias("box"))
+    return o.select("scene", "frame", "color", "material", "shape", "score", "ord", F.when(b.isNotNull(), share).alias("box"))
 
 
 def json_map(spark: SparkSession, path: str) -> DataFrame:

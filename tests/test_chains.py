@@ -1,10 +1,13 @@
 """Chains from question programs on a scene small enough to work out by hand."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from pramana.functions import geometry as G
 from pramana.operators import chains, programs
+from pramana.sources import chain_files, files
 
 N = 24
 LOOKS = [(0, "red", "metal", "cube"), (1, "blue", "rubber", "sphere"), (2, "gray", "metal", "cylinder")]
@@ -134,3 +137,75 @@ def test_choices_and_statuses(chain):
 def test_counts(spark, scene):
     c = spark.createDataFrame([("a", "ok", [1, 2]), ("a", "ok", [3, 4]), ("a", "no_evidence", None), ("b", "ok", [1])], "question_type string, status string, triplets array<int>")
     assert {tuple(r) for r in chains.status_counts(c).collect()} == {("a", "ok", 2, 2), ("a", "no_evidence", None, 1), ("b", "ok", 1, 1)}
+
+
+def runs_of(b, size=1024):
+    """Column-major runs, zeros first, of a box on a square of ``size``."""
+    x0, y0, x1, y1 = (round(v * size) for v in b)
+    out, at = [], 0
+    for x in range(x0, x1):
+        out += [x * size + y0 - at, y1 - y0]
+        at = x * size + y1
+    return out + [size * size - at]
+
+
+@pytest.fixture(scope="module")
+def split(tmp_path_factory):
+    """The scene, its detections and all questions as files; scenes that nothing asks about cannot be opened."""
+    top = tmp_path_factory.mktemp("split")
+    trips = {i: dict(zip(("color", "material", "shape"), look)) for i, *look in LOOKS}
+    at = lambda i, f: {"object_id": i, "velocity": [1.0 if i != 2 or f >= 12 else 0.0, 0.0, 0.0], **({} if (i, f) in SEEN else {"inside_camera_view": False})}
+    body = {"scene_index": 7, "video_filename": "video_00007.mp4", "object_property": [{"object_id": i, **t} for i, t in trips.items()], "motion_trajectory": [{"frame_id": f, "objects": [at(i, f) for i in range(3)]} for f in range(N)], "collision": [{"object_ids": o, "frame_id": f} for t, f, o in EVENTS if t == "collision"]}
+    folder = top / "annotations" / "train" / "annotation_train" / "annotation_00000-01000"
+    folder.mkdir(parents=True)
+    (folder / "annotation_00007.json").write_text(json.dumps(body))
+    (folder / "annotation_00900.json").symlink_to("/nowhere/at/all")
+    mask = lambda b, score, i: {"mask": {"size": [1024, 1024], "counts": json.dumps(runs_of(b))}, "score": score, **trips[i]}
+    found = [{"frame_index": f, "objects": [mask(box(i, f), 0.9, i) for i in range(3) if (i, f) in FOUND]} for f in range(N)]
+    found[6]["objects"] += [mask((0, 0, 1, 1), s, 1) for s in (0.5, 0.9)] + [{"mask": {"size": [1024, 1024], "counts": "[1048576]"}, "score": 1.0, **trips[1]}]
+    (top / "derender_proposals").mkdir()
+    (top / "derender_proposals" / "proposal_00007.json").write_text(json.dumps({"video_name": "v", "frames": found}))
+    asked = []
+    for n, (p, g, c) in enumerate([*OBJECTS, *EVENT_SETS, *CHOICES]):
+        words = p.split() if p is not None else None
+        q = {"question_id": n, "question": f"question {n}?", "question_type": "counterfactual" if c else "descriptive", "question_subtype": None if c else "query"}
+        if c:
+            cut = len(words) // 2 if words is not None else 0
+            q |= {"program": words and words[cut:], "choices": [{"choice_id": 4, "choice": "this", "program": words and words[:cut], "answer": "correct" if g == "yes" else "wrong"}]}
+        else:
+            q |= {"program": words, "answer": g}
+        asked.append(q)
+    (top / "questions").mkdir()
+    other = {"scene_index": 8, "video_filename": "video_00008.mp4", "questions": [{"question_id": 0, "question": "?", "question_type": "descriptive", "program": ["objects", "count"], "answer": "0"}]}
+    (top / "questions" / "train.json").write_text(json.dumps([{"scene_index": 7, "video_filename": "video_00007.mp4", "questions": asked}, other]))
+    return str(top)
+
+
+def test_files_to_files(spark, split, chain, tmp_path):
+    counts = chain_files.generate(spark, split, "train", f"{tmp_path}/out", n_videos=1, frames=N).collect()
+    want = [*chain["objects"], *chain["events"], *chain["choices"]]
+    done = {r.question_id: r for r in spark.read.parquet(f"{tmp_path}/out/outcomes").collect()}
+    assert sorted(done) == list(range(len(want))) and {r.scene for r in done.values()} == {7}
+    for n, (status, _, steps) in enumerate(want):
+        # an unknown or failed choice's known answer is no, if it is not correct
+        assert done[n].status == status, n
+        assert (done[n].triplets is None) == (steps is None)
+    lines = {x["meta"]["question_id"]: x for x in (json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out/chains").collect())}
+    assert sorted(lines) == [n for n, w in enumerate(want) if w[0] == "ok"]
+    for n, x in lines.items():
+        told = [(t["question"], t["answer"], (t["evidence"]["t_start"], t["evidence"]["t_end"], tuple(t["evidence"]["box"])), t["depends_on"], t["role"]) for t in x["triplets"]]
+        assert told == want[n][2] and x["final_answer"] == want[n][1] and x["video_id"] == "video_00007.mp4"
+        assert ("choice" in x["meta"]) == (x["question_type"] == "counterfactual")
+    first = len(OBJECTS) + len(EVENT_SETS)
+    assert lines[first]["meta"]["choice_id"] == 4 and lines[first]["meta"]["executor_answer"] == "unknown" and lines[0]["meta"]["question_subtype"] == "query"
+    assert sum(r.n for r in counts) == len(want) and sum(r.n for r in counts if r.status == "ok") == len(lines)
+    assert files.records(spark, f"{tmp_path}/out/chains", files.CHAIN).count() == len(lines)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        chain_files.generate(spark, split, "train", f"{tmp_path}/out", n_videos=1, frames=N)
+
+
+def test_types_and_missing_scenes(spark, split, tmp_path):
+    # no annotation of scene 8, and none of the questions of this type
+    got = chain_files.generate(spark, split, "train", f"{tmp_path}/few", types=["descriptive"], frames=N)
+    assert {r.kind for r in got.collect()} == {"descriptive"}
+    assert chain_files.generate(spark, split, "train", f"{tmp_path}/none", types=["explanatory"], frames=N).collect() == []

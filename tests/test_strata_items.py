@@ -116,7 +116,7 @@ def test_scene_and_proposal_files(spark, tmp_path):
     one = lambda counts, score: {"mask": {"size": [10, 20], "counts": counts}, "color": "red", "material": "metal", "shape": "cube", "score": score}
     (tmp_path / "proposal_00012.json").write_text(json.dumps({"video_name": "v", "frames": [{"frame_index": 3, "objects": [one("[12, 3, 185]", 0.5), one("[200]", 0.9)]}]}))
     p = files.proposals(spark, str(tmp_path / "proposal_00012.json"))
-    assert sorted((r.scene, r.frame, r.score, r.box and tuple(r.box)) for r in p.collect()) == [(12, 3, 0.5, (0.05, 0.2, 0.1, 0.5)), (12, 3, 0.9, None)]
+    assert sorted((r.scene, r.frame, r.score, r.box and tuple(r.box)) for r in p.collect()) == [(12, 3, 0.5, (0.05, 0.2, 0.1, 0.5)), (12, 3, 0.9, None)] and sorted(r.ord for r in p.collect()) == [0, 1]
     best = regions.best_detections(p.withColumn("n", F.lit(0)), ["scene", "frame", "color", "material", "shape"], "score", ["n"])
     assert [r.score for r in best.collect()] == [0.5]
 
