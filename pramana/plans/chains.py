@@ -80,25 +80,25 @@ def chain_status_counts(spark, sf):
 
 #: Programs whose chains link: a partner, an object of an entry and of an exit, one object named twice, and a choice with an unknown outcome.
 _LINKED = {
-    "partner": "events objects filter_collision first filter_order objects red filter_color unique get_col_partner query_shape",
+    "partner": "events objects filter_collision first filter_order objects red filter_color metal filter_material unique get_col_partner query_shape",
     "entry": "events objects filter_in last filter_order get_object query_color",
     "exit": "events objects filter_out first filter_order get_object query_color",
-    "twice": "objects blue filter_color unique events objects blue filter_color unique filter_out unique get_frame",
-    "choice": "all_events objects red filter_color unique filter_collision objects blue filter_color unique filter_collision unique unseen_events belong_to",
+    "twice": "objects blue filter_color metal filter_material unique events objects blue filter_color metal filter_material unique filter_out first filter_order get_frame",
+    "choice": "all_events objects red filter_color metal filter_material unique filter_collision objects blue filter_color metal filter_material unique filter_collision unique unseen_events belong_to",
 }
 
 
 def _everywhere(spark, sf):
-    """Scenes whose objects are all detected on every frame."""
+    """Scenes whose objects are all detected on every eighth frame."""
     objs = D.scene_objects(spark, sf)
-    at = objs.select("*", F.explode(F.sequence(F.lit(0), F.lit(C.FRAMES - 1))).alias("frame"))
+    at = objs.select("*", F.explode(F.sequence(F.lit(0), F.lit(C.FRAMES - 1), F.lit(8))).alias("frame"))
     x = (F.col("obj") * 5 + F.col("frame")) % 32 / 64
     found = at.select("scene", "color", "material", "shape", "frame", F.lit(0).alias("ord"), F.lit(1.0).alias("score"), G.box(x, x, x + 0.25, x + 0.5).alias("box"))
     return C.with_detections(PP.scenes(spark, sf), objs, C.best_detections(found))
 
 
 def _single(color):
-    return f"(SELECT scene, min(obj) AS obj FROM objects WHERE color = '{color}' GROUP BY 1 HAVING count(*) = 1)"
+    return f"(SELECT scene, min(obj) AS obj FROM objects WHERE color = '{color}' AND material = 'metal' GROUP BY 1 HAVING count(*) = 1)"
 
 
 def _nth(kind, where):
@@ -114,13 +114,13 @@ _TOLD = (
     f"moved AS (SELECT 'entry' AS name, e.scene, frame, called, 'What is the last entry into the scene?' AS asked, ' entering' AS did, 'enters' AS does FROM {_nth('in', 'r = n')} e JOIN named n ON n.scene = e.scene AND n.obj = e.objects[1] UNION ALL SELECT 'exit', e.scene, frame, called, 'What is the first exit from the scene?', ' exiting', 'exits' FROM {_nth('out', 'r = 1')} e JOIN named n ON n.scene = e.scene AND n.obj = e.objects[1])",
     f"blue AS (SELECT s.scene, s.obj, called FROM {_single('blue')} s JOIN named USING (scene, obj))",
     f"red AS (SELECT s.scene, s.obj, called FROM {_single('red')} s JOIN named USING (scene, obj))",
-    "left_once AS (SELECT b.scene, b.called, min(e.frame) AS frame FROM blue b JOIN evs e ON e.scene = b.scene AND e.type = 'out' AND e.objects[1] = b.obj GROUP BY ALL HAVING count(*) = 1)",
+    "gone AS (SELECT b.scene, b.called, min({'ord': e.ord, 'frame': e.frame}).frame AS frame FROM blue b JOIN evs e ON e.scene = b.scene AND e.type = 'out' AND e.objects[1] = b.obj GROUP BY ALL)",
     "met AS (SELECT r.scene, r.obj AS a, b.obj AS b, r.called AS red, b.called AS blue, min({'ord': e.ord, 'frame': e.frame}).frame AS frame FROM red r JOIN blue b ON b.scene = r.scene LEFT JOIN evs e ON e.scene = r.scene AND e.type = 'collision' AND list_contains(e.objects, r.obj) AND list_contains(e.objects, b.obj) GROUP BY ALL)",
     """told AS (
-  SELECT 'partner' AS name, scene, unnest([{'step': 0, 'role': 'resolve', 'question': 'What is the first collision?', 'answer': hit, 'links': ''}, {'step': 1, 'role': 'resolve', 'question': 'Which object is the red object?', 'answer': red, 'links': ''}, {'step': 2, 'role': 'resolve', 'question': 'Which object does ' || red || ' collide with at frame ' || frame || '?', 'answer': other, 'links': '0,1'}]) AS t FROM partner
+  SELECT 'partner' AS name, scene, unnest([{'step': 0, 'role': 'resolve', 'question': 'What is the first collision?', 'answer': hit, 'links': ''}, {'step': 1, 'role': 'resolve', 'question': 'Which object is the red metal object?', 'answer': red, 'links': ''}, {'step': 2, 'role': 'resolve', 'question': 'Which object does ' || red || ' collide with at frame ' || frame || '?', 'answer': other, 'links': '0,1'}]) AS t FROM partner
   UNION ALL SELECT name, scene, unnest([{'step': 0, 'role': 'resolve', 'question': asked, 'answer': called || did || ' the scene at frame ' || frame, 'links': ''}, {'step': 1, 'role': 'resolve', 'question': 'Which object ' || does || ' the scene at frame ' || frame || '?', 'answer': called, 'links': '0'}]) FROM moved
-  UNION ALL SELECT 'twice', scene, unnest([{'step': 0, 'role': 'resolve', 'question': 'Which object is the blue object?', 'answer': called, 'links': ''}, {'step': 1, 'role': 'resolve', 'question': 'Which exit from the scene involving the blue object happens in the video?', 'answer': called || ' exiting the scene at frame ' || frame, 'links': '0'}]) FROM left_once
-  UNION ALL SELECT 'choice', scene, unnest([{'step': 0, 'role': 'resolve', 'question': 'Which object is the red object?', 'answer': red, 'links': ''}, {'step': 1, 'role': 'resolve', 'question': 'Which object is the blue object?', 'answer': blue, 'links': ''}, {'step': 2, 'role': 'observe', 'question': 'Do ' || (SELECT n.called FROM named n WHERE n.scene = met.scene AND n.obj = least(a, b)) || ' and ' || (SELECT n.called FROM named n WHERE n.scene = met.scene AND n.obj = greatest(a, b)) || ' collide during the video?', 'answer': coalesce('yes, at frame ' || frame, 'no'), 'links': '0,1'}]) FROM met)""",
+  UNION ALL SELECT 'twice', scene, unnest([{'step': 0, 'role': 'resolve', 'question': 'Which object is the blue metal object?', 'answer': called, 'links': ''}, {'step': 1, 'role': 'resolve', 'question': 'What is the first exit from the scene involving the blue metal object?', 'answer': called || ' exiting the scene at frame ' || frame, 'links': '0'}]) FROM gone
+  UNION ALL SELECT 'choice', scene, unnest([{'step': 0, 'role': 'resolve', 'question': 'Which object is the red metal object?', 'answer': red, 'links': ''}, {'step': 1, 'role': 'resolve', 'question': 'Which object is the blue metal object?', 'answer': blue, 'links': ''}, {'step': 2, 'role': 'observe', 'question': 'Do ' || (SELECT n.called FROM named n WHERE n.scene = met.scene AND n.obj = least(a, b)) || ' and ' || (SELECT n.called FROM named n WHERE n.scene = met.scene AND n.obj = greatest(a, b)) || ' collide during the video?', 'answer': coalesce('yes, at frame ' || frame, 'no'), 'links': '0,1'}]) FROM met)""",
 )
 
 
