@@ -78,9 +78,8 @@ def _stratified(spark, sf, strata, pair, column="stratum"):
 def _report_sql():
     out = []
     for name, (a, b) in A.PAIRS.items():
-        kinds = "[question_type, 'ALL']" if name == "cite" else "['ALL']"
-        out.append(f"SELECT '{name}:' || unnest({kinds}) AS stratum, qset AS cluster, plain AS w, 1 - {a} AS x, 1 - {b} AS y FROM wide WHERE {_MAIN} AND {a} IS NOT NULL AND {b} IS NOT NULL")
-    out.append(f"SELECT 'blind:ALL', qset, 1, plain, blind FROM wide WHERE {_MAIN}")
+        out.append(f"SELECT '{name}:' || unnest([question_type, 'ALL']) AS stratum, qset AS cluster, plain AS w, 1 - {a} AS x, 1 - {b} AS y FROM wide WHERE {_MAIN} AND {a} IS NOT NULL AND {b} IS NOT NULL")
+    out.append(f"SELECT 'blind:' || unnest([question_type, 'ALL']), qset, 1, plain, blind FROM wide WHERE {_MAIN}")
     return "picked AS (" + " UNION ALL ".join(out) + ")"
 
 
@@ -88,11 +87,10 @@ def _report_sql():
 def report_intervals(spark, sf):
     """Every gap of the report with its interval, over all items and by type; the blind gap is a difference of accuracies."""
     w = _wide(spark, sf).where("plain is not null and blind is not null and mask_evidence is not null and mask_random is not null")
-    items = w.select(F.lit("blind:ALL").alias("stratum"), F.col("qset").alias("cluster"), F.lit(1).alias("w"), F.col("plain").alias("x"), F.col("blind").alias("y"))
+    kinds = lambda name: F.explode(F.array(*[F.concat(F.lit(f"{name}:"), k) for k in (F.col("question_type"), F.lit("ALL"))]))
+    items = w.select(kinds("blind").alias("stratum"), F.col("qset").alias("cluster"), F.lit(1).alias("w"), F.col("plain").alias("x"), F.col("blind").alias("y"))
     for name, pair in A.PAIRS.items():
-        kinds = F.array(*([F.col("question_type")] if name == "cite" else []), F.lit("ALL"))
-        head = F.lit(f"{name}:")
-        items = items.unionByName(X.right_under_plain(w.withColumn("stratum", F.explode(F.transform(kinds, lambda k: F.concat(head, k)))), *pair))  # noqa: B023
+        items = items.unionByName(X.right_under_plain(w.withColumn("stratum", kinds(name)), *pair))
     return _intervals(items)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,10 +71,30 @@ def write_runs(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("tag", "condition").parquet(path)
 
 
-def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small report as a table; an error if it has more than ``most`` rows, as none is left out."""
+def _small(df: DataFrame, most: int) -> list:
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a report of more than {most} rows: write it as a table")
+    return rows
+
+
+def json_report(df: DataFrame, key: str, most: int = 1000) -> str:
+    """A small report as one indented JSON object: an object of the other columns for each key, null ones left out, keys and columns in the report's order.
+
+    An error if it has more than ``most`` rows, as none is left out, or if a key is null or comes twice.
+    """
+    # Spark writes the values, so that nested ones, times and decimals read as in any other file
+    line = F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("line")
+    out = {}
+    for k, text in _small(df.select(F.col(key).cast("string"), line), most):
+        if k is None or k in out:
+            raise ValueError(f"a report has one row for each {key}: {k}")
+        out[k] = json.loads(text)
+    return json.dumps(out, indent=2, ensure_ascii=False)
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A small report as a table; an error if it has more than ``most`` rows, as none is left out."""
+    rows = _small(df, most)
     show = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *["| " + " | ".join(map(show, r)) + " |" for r in rows]])

@@ -25,3 +25,13 @@ def score_with(df: DataFrame, backend, schema: str, prompt: str = "prompt") -> D
             yield pdf.assign(raw=model.generate_batch(pdf[prompt].tolist()))[[*columns, "raw"]]
 
     return df.mapInPandas(run, schema)
+
+
+def append_runs(rows: DataFrame, path: str, checkpoint: str, **trigger):
+    """Starts to append a stream of result rows as JSON lines, a folder for each tag and condition; gives the running query.
+
+    A batch stands whole or not at all, also after a restart from ``checkpoint``: what is read while it runs has no half rows. ``readers.run_rows``
+    takes the last of repeated ids. ``trigger`` is of ``DataStreamWriter.trigger``, as in ``availableNow=True``.
+    """
+    w = rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).partitionBy("tag", "condition").outputMode("append")
+    return (w.trigger(**trigger) if trigger else w).start()

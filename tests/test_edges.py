@@ -182,3 +182,14 @@ def test_options_of_a_csv(spark, tmp_path):
     (tmp_path / "o.csv").write_text('video,qid,type,question,answer,a0,a1,a2,a3,a4\n1,2,CW,"who, he",3,a,b,c,"d, e",f\n')
     r = readers.option_csv(spark, str(tmp_path / "o.csv")).first()
     assert (r.question, r.right, r.options) == ("who, he", 3, ["a", "b", "c", "d, e", "f"])
+
+
+def test_json_report(spark):
+    df = spark.sql("select * from values ('what', 3, 0.5D, array(0.25D, 0.75D)), ('ALL', 9, cast(null as double), null) t(kind, n, gap, ci)").coalesce(1)
+    assert json.loads(readers.json_report(df, "kind")) == {"what": {"n": 3, "gap": 0.5, "ci": [0.25, 0.75]}, "ALL": {"n": 9}}
+    assert readers.json_report(df.where("false"), "kind") == "{}"
+    for bad, message in ((df.unionAll(df), "one row for each kind"), (df.select(F.lit(None).cast("string").alias("kind"), "n"), "one row")):
+        with pytest.raises(ValueError, match=message):
+            readers.json_report(bad, "kind")
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        readers.json_report(df, "kind", most=1)

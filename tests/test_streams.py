@@ -6,7 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from pramana.streaming import stateful
+from pramana.sources import readers
+from pramana.streaming import running, stateful
 
 START = datetime(2024, 5, 1)
 ROWS = "id long, condition string, kind string, correct int, ts timestamp"
@@ -134,3 +135,15 @@ def test_log_tail_equals_windows_of_the_table(rocks, tmp_path, cuts):
 def test_tail_of_a_table_leaves_out_rows_without_a_step(spark):
     df = spark.createDataFrame([("x", None, 0.0, 1.0, False), ("x", 1, 0.0, 2.0, False)], "run string, step int, sec double, reward double, skipped boolean")
     assert [(r.n, r.reward) for r in stateful.tail_windows(df, 2).select("n", F.col("reward")).collect()] == [(1, 2.0)]
+
+
+def test_rows_are_appended_once_over_restarts(spark, tmp_path):
+    row = "tag string, condition string, id string, correct int"
+    for n, rows in enumerate(([("a", "plain", "1", 1), ("a", "blind", "1", 0)], [("a", "plain", "2", 1)], [("b", "plain", "1", 0), ("a", "plain", "1", 0)])):
+        spark.createDataFrame(rows, row).coalesce(1).write.json(f"{tmp_path}/in/{n}")
+        q = running.append_runs(spark.readStream.schema(row).json(f"{tmp_path}/in/*"), f"{tmp_path}/out", f"{tmp_path}/cp", availableNow=True)
+        q.awaitTermination()
+    back = spark.read.schema(row).json(f"{tmp_path}/out")
+    assert sorted(map(tuple, back.select("tag", "condition", "id", "correct").collect())) == [("a", "blind", "1", 0), ("a", "plain", "1", 0), ("a", "plain", "1", 1), ("a", "plain", "2", 1), ("b", "plain", "1", 0)]
+    one = readers.run_rows(spark, f"{tmp_path}/out/tag=a/condition=plain", "id string, correct int")
+    assert {(r.id, r.correct) for r in one.collect()} >= {("2", 1)} and one.count() == 2
