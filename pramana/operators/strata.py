@@ -176,6 +176,12 @@ def entity_control_share(items: DataFrame, steps: DataFrame, tracks: DataFrame,
     return controls.select("id", "n", "frame").join(hit, ["id", "n", "frame"], "left").groupBy("id").agg((F.count("hit") / F.count("*")).alias("share"))
 
 
+def control_stratum(share) -> Column:
+    """Where an item's controls fall, by ``entity_control_share``: from a half on, between, and up to a tenth."""
+    s = F.col(share) if isinstance(share, str) else share
+    return F.when(s >= 0.5, "on_other_entity").when(s > 0.1, "mixed").when(s <= 0.1, "on_background")
+
+
 def full_credit_flips(runs: DataFrame, a: str, b: str) -> DataFrame:
     """(n_questions, flip, flip_control): of the questions with full credit under plain and all items in both runs, the share that loses it."""
     said = F.when(F.col("correct") == 1, F.col("gold")).otherwise(F.when(F.col("gold") == "yes", "no").otherwise("yes"))

@@ -193,3 +193,8 @@ def test_json_report(spark):
             readers.json_report(bad, "kind")
     with pytest.raises(ValueError, match="more than 1 rows"):
         readers.json_report(df, "kind", most=1)
+
+
+def test_control_strata(spark):
+    df = spark.createDataFrame([(0, 0.0), (1, 0.1), (2, 0.2), (3, 0.5), (4, 1.0), (5, None)], "id int, share double").select("id", strata.control_stratum("share").alias("s"))
+    assert [r.s for r in df.orderBy("id").collect()] == ["on_background", "on_background", "mixed", "on_other_entity", "on_other_entity", None]
