@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pramana.functions import codec as C
+from pramana.functions.joins import dealt
 from pramana.operators.calls import memoized
 from pramana.operators.rewards import necessity_by
 
@@ -37,7 +38,7 @@ def deltas(chains: DataFrame, key: str, prompt: str, gold: str, backend, path: s
     asked = {"prompt": F.col(prompt), "gold": F.col(gold), "text": F.col("text")}
     said = memoized(v, asked, "prompt", backend, "double", path).select(key, "step", F.exp("result").alias("p"))
     whole = said.where("step = -1").select(key, F.col("p").alias("full"))
-    return said.where("step >= 0").join(whole, key).select(key, "step", (F.col("full") - F.col("p")).alias("delta"))
+    return said.where("step >= 0").join(dealt(whole), key).select(key, "step", (F.col("full") - F.col("p")).alias("delta"))
 
 
 def necessity_scores(found: DataFrame, key: str, delta: float, eps: float, gamma: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from pramana.functions import codec as C
 from pramana.functions import geometry as G
 from pramana.functions import text as T
+from pramana.functions.joins import dealt
 from pramana.operators.curate import draw_key
 
 # Prompts, and the families of question codes.
@@ -171,7 +172,7 @@ def question_records(questions: DataFrame) -> DataFrame:
 def sft_records(chains: DataFrame, questions: DataFrame) -> DataFrame:
     """(problem_id, question_type, problem, response, gold) of chains (scene_index, question_id, choice_id, question_type, chain, final_answer): those of an option ask about it alone."""
     q = questions.select("scene_index", "question_id", "question", "question_subtype", "choices")
-    j = chains.join(q, ["scene_index", "question_id"])
+    j = chains.join(dealt(q), ["scene_index", "question_id"])
     choice = F.get("choices", F.col("choice_id"))["choice"]
     is_open = F.col("question_type") == "descriptive"
     problem = F.when(is_open, F.concat("question", described(F.coalesce("question_subtype", F.lit("query_color"))))).otherwise(option_prompt(F.col("question"), F.col("choice_id"), choice))

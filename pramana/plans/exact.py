@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pramana.functions import codec as C
 from pramana.functions import rle
+from pramana.functions.joins import dealt
 from pramana.operators import resample as S
 from pramana.operators import rewards as W
 from pramana.plans import derive as D
@@ -78,7 +79,7 @@ _TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'),
 def process_scores(spark, sf):
     """Chains against the one of the key twelve on: greedy one to one matches less a penalty for broken order."""
     p = _parsed(spark, sf).where("parsed.chain is not null").select("k", F.col("parsed.chain").alias("chain"))
-    pairs = p.join(p.select((F.col("k") - 12).alias("k"), F.col("chain").alias("ref")), "k")
+    pairs = p.join(dealt(p.select((F.col("k") - 12).alias("k"), F.col("chain").alias("ref"))), "k")
     return W.process(pairs, "chain", "ref").select("k", r6(F.col("process")).alias("process"))
 
 
