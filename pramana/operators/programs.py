@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pramana.functions import geometry as G
 from pramana.functions.text import COLORS, MATERIALS, SHAPES
 from pramana.operators import scenes as S
 
@@ -22,13 +23,11 @@ _TYPES = {"kind": "string", "objs": "array<int>", "evs": f"array<{_EVENT}>", "te
 
 
 def scene_rows(objs: DataFrame, frames: DataFrame, log: DataFrame) -> DataFrame:
-    """(scene, o, e, m) of each scene: objects (obj, color, material, shape), events with their causes, and the visible frames (obj, frame, speed).
+    """(scene, o, e, m) of each scene: objects (obj, color, material, shape), events (ord, type, frame, objects), and the visible frames (obj, frame, speed).
 
     Each list has what one clip holds: a handful of objects and events, frames up to its length.
     """
-    led = S.ancestors(log, log.select("scene", "ord", "objects")).groupBy("scene", "ord").agg(F.collect_set("cause").alias("causes"))
-    event = F.struct("ord", "type", "frame", "objects", F.coalesce("causes", F.array().cast("array<int>")).alias("causes"))
-    e = log.join(led, ["scene", "ord"], "left").groupBy("scene").agg(F.array_sort(F.collect_list(event)).alias("e"))
+    e = log.groupBy("scene").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "frame", "objects"))).alias("e"))
     o = objs.groupBy("scene").agg(F.array_sort(F.collect_list(F.struct("obj", "color", "material", "shape"))).alias("o"))
     m = frames.groupBy("scene").agg(F.collect_list(F.struct("obj", "frame", "speed")).alias("m"))
     return o.join(e, "scene", "left").join(m, "scene", "left")
@@ -73,7 +72,9 @@ def _module(tok: Column, a: Column, b: Column, o: Column, e: Column, m: Column,
     place = F.when(b["text"] == "first", 0).when(b["text"] == "second", 1).otherwise(F.size(a["evs"]) - 1)
     nth = F.when(place >= 0, F.get(a["evs"], place))
     other = F.get(b["evs"], 0)
-    causes = F.get(F.filter(e, lambda x: x["ord"] == other["ord"]), 0)["causes"]
+    # made where a program asks for it: the causes of every event of a log are as many as the square of its length
+    before = F.reverse(F.filter(e, lambda x: x["ord"] < other["ord"]))
+    led = F.aggregate(before, *S.led_to(other["objects"]), lambda acc: acc["out"])
     partner = F.get(F.filter(event["objects"], lambda x: x != F.get(b["objs"], 0)), 0)
     kind_of = F.substring_index(tok, "_", -1)
     involved = F.filter(a["evs"], lambda x: (x["type"] == kind_of) & F.arrays_overlap(x["objects"], b["objs"]))
@@ -97,7 +98,7 @@ def _module(tok: Column, a: Column, b: Column, o: Column, e: Column, m: Column,
         .when(tok.isin("filter_in", "filter_out", "filter_collision"), F.when(is_(a, "events") & is_(b, "object", "objects"), _value("events", evs=involved)).otherwise(error))
         .when(tok == "filter_order", F.when(is_(a, "events") & is_(b, "order") & nth.isNotNull(), _value("event", evs=F.array(nth))).otherwise(error))
         .when(tok.isin("filter_before", "filter_after"), F.when(is_(a, "events") & is_(b, "event"), _value("events", evs=around)).otherwise(error))
-        .when(tok == "filter_ancestor", F.when(is_(a, "events") & is_(b, "event"), _value("events", evs=F.filter(a["evs"], lambda x: F.coalesce(F.array_contains(causes, x["ord"]), F.lit(False))))).otherwise(error))
+        .when(tok == "filter_ancestor", F.when(is_(a, "events") & is_(b, "event"), _value("events", evs=G.let(led, lambda causes: F.filter(a["evs"], lambda x: F.coalesce(F.array_contains(causes, x["ord"]), F.lit(False)))))).otherwise(error))
         .when(tok.isin("query_color", "query_material", "query_shape"), F.when(is_(a, "object"), _value("str", text=said)).otherwise(error))
         .when(tok == "get_frame", F.when(is_(a, "event"), _value("int", text=event["frame"])).otherwise(error))
         .when(tok == "get_object", F.when(is_(a, "event") & event["type"].isin("in", "out"), _value("object", objs=F.slice(event["objects"], 1, 1))).otherwise(error))

@@ -8,7 +8,7 @@ scenes are told by ``missing``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,6 +45,17 @@ def events(visible: DataFrame, collisions: DataFrame, last: int = LAST) -> DataF
     return every.withColumn("ord", F.row_number().over(w))
 
 
+def led_to(objects: Column):
+    """Start and step of a fold over the events before one of these objects, the last first: ``out`` has the places of those that led to it."""
+    start = F.struct(objects.alias("open"), F.array().cast("array<int>").alias("out"))
+
+    def back(a, e):
+        is_cause = F.arrays_overlap(e["objects"], a["open"])
+        return F.struct(F.when(is_cause, F.array_union(a["open"], e["objects"])).otherwise(a["open"]).alias("open"), F.when(is_cause, F.array_append(a["out"], e["ord"])).otherwise(a["out"]).alias("out"))
+
+    return start, back
+
+
 def ancestors(evs: DataFrame, targets: DataFrame) -> DataFrame:
     """(scene, ord, cause): events that led to each target, over any number of steps.
 
@@ -53,13 +64,8 @@ def ancestors(evs: DataFrame, targets: DataFrame) -> DataFrame:
     has, so one pass over a scene's log (a bounded list of events) finds all, without a join for each step.
     """
     log = evs.where("size(objects) > 0").groupBy("scene").agg(F.reverse(F.array_sort(F.collect_list(F.struct("ord", "objects")))).alias("log"))
-    start = F.struct(F.col("objects").alias("open"), F.array().cast("array<int>").alias("out"))
-
-    def back(a, e):
-        is_cause = (e["ord"] < F.col("ord")) & F.arrays_overlap(e["objects"], a["open"])
-        return F.struct(F.when(is_cause, F.array_union(a["open"], e["objects"])).otherwise(a["open"]).alias("open"), F.when(is_cause, F.array_append(a["out"], e["ord"])).otherwise(a["out"]).alias("out"))
-
-    return targets.join(log, "scene").select("scene", "ord", F.explode(F.aggregate("log", start, back, lambda a: a["out"])).alias("cause"))
+    before = F.filter("log", lambda e: e["ord"] < F.col("ord"))
+    return targets.join(log, "scene").select("scene", "ord", F.explode(F.aggregate(before, *led_to(F.col("objects")), lambda a: a["out"])).alias("cause"))
 
 
 # ---- modules: sets of objects are (scene, obj), sets of events (scene, type, frame, objects, ord)

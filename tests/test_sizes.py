@@ -24,3 +24,17 @@ def test_keys_of_chains_are_dealt(spark, sf_dir):
     from pramana.plans import derive as D
 
     assert D.chain_texts(spark, sf_dir).rdd.getNumPartitions() >= 4
+
+
+def test_a_scene_row_has_no_list_of_causes_for_each_event(spark):
+    from pyspark.sql import functions as F
+
+    from pramana.operators import programs as P
+
+    log = spark.range(300).select(F.lit(1).alias("scene"), F.col("id").cast("int").alias("ord"), F.lit("collision").alias("type"), F.col("id").cast("int").alias("frame"), F.array((F.col("id") % 2).cast("int"), F.lit(7)).alias("objects"))
+    objs = spark.sql("select 1 scene, 7 obj, 'red' color, 'metal' material, 'cube' shape")
+    rows = P.scene_rows(objs, spark.sql("select 1 scene, 7 obj, 0 frame, 0.0D speed"), log)
+    # an exploded row for each event and cause of a log: the square of its length
+    assert "Generate" not in plan(rows)
+    asked = rows.select("*", F.split(F.lit("events events objects filter_collision last filter_order filter_ancestor count"), " ").alias("program"))
+    assert P.run(asked).first().answer == "299"
