@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pramana.sources.shared import shared_folder
+from pramana.sources.shared import kept, shared_folder
 
 #: Deeper than this no JSON is followed: an error tells so.
 DEEPEST = 100
@@ -19,15 +19,16 @@ def nested_profile(df: DataFrame, column: str) -> DataFrame:
     string, boolean, null, and invalid for a text that is no JSON; a path has a row for each kind it takes. low and high are of
     numbers, shortest and longest of the characters of strings and the elements of arrays. Null texts are left out.
 
-    Each level is one pass: nodes are exploded in the JVM and counted by path in each task before the shuffle, so that what
+    Texts are parsed once, into the shared folder; each level is one pass over them: nodes are exploded in the JVM and counted by path in each task before the shuffle, so that what
     moves follows the number of paths. Levels go on as long as there are objects or arrays that hold something.
     """
     spark = df.sparkSession
     kind = df.schema[column].dataType.typeName()
     c = F.col(f"`{column}`")
     value = c if kind == "variant" else F.try_parse_json(c if kind == "string" else F.to_json(c, {"ignoreNullFields": "false"}))
-    level = df.where(c.isNotNull()).select(F.lit("$").alias("path"), value.alias("v"))
     root, out = shared_folder(spark, "profile"), None
+    # read and parsed once, whatever the depth
+    level = kept(df.where(c.isNotNull()).select(value.alias("v")), "parsed").select(F.lit("$").alias("path"), "v")
     for depth in range(DEEPEST + 1):
         named = level.withColumn("type", F.schema_of_variant("v"))
         head = F.regexp_extract("type", "^[A-Z]+", 0)

@@ -38,3 +38,20 @@ def test_a_scene_row_has_no_list_of_causes_for_each_event(spark):
     assert "Generate" not in plan(rows)
     asked = rows.select("*", F.split(F.lit("events events objects filter_collision last filter_order filter_ancestor count"), " ").alias("program"))
     assert P.run(asked).first().answer == "299"
+
+
+def test_nested_texts_are_made_once_whatever_the_depth(spark):
+    from pyspark.sql import functions as F
+
+    from pramana.operators.profiles import nested_profile
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    texts = spark.range(6).select(F.lit('{"a": [{"b": [1, 2]}]}').alias("j")).mapInArrow(told, "j string")
+    assert nested_profile(texts, "j").count() == 5
+    assert seen.value == 6
