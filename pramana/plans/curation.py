@@ -262,15 +262,15 @@ def entity_regions(spark, sf):
 _MATCHED = "matched AS (SELECT DISTINCT c.id, c.video, p.o FROM cited c JOIN proposals p ON p.scene = c.video AND p.frame BETWEEN c.t0 AND c.t1 WHERE " + _iou("c.", "p.") + " >= 0.3 OR (p.x0 >= c.x0 - 0.01 AND p.y0 >= c.y0 - 0.01 AND p.x1 <= c.x1 + 0.01 AND p.y1 <= c.y1 + 0.01))"
 
 
-def _matched(spark, sf):
-    c = _cites(spark, sf).select("id", F.col("video").alias("scene"), "t0", "t1", "box")
+def _matched(spark, sf, cites):
+    c = cites.select("id", F.col("video").alias("scene"), "t0", "t1", "box")
     return R.evidence_objects(c, proposals(spark, sf), ["color", "material", "shape"])
 
 
 @query("SELECT id, count(*) AS n, round(sum(x0), 6) AS x0 FROM (SELECT m.id, p.x0 FROM matched m JOIN proposals p ON p.scene = m.video AND p.o = m.o JOIN grid ON grid.p = p.frame) GROUP BY 1", (*_STEPS, D.BOXES_SQL, _PROPOSALS, _GRID, _MATCHED))
 def object_tracks(spark, sf):
     """Regions of the track mask: the objects that an item's boxes meet, wherever they are on the sampled frames."""
-    t = R.object_tracks(_matched(spark, sf), proposals(spark, sf), ["color", "material", "shape"])
+    t = R.object_tracks(_matched(spark, sf, _cites(spark, sf)), proposals(spark, sf), ["color", "material", "shape"])
     return t.groupBy("id").agg(F.count("*").alias("n"), r6(F.sum("box.x0")).alias("x0"))
 
 
@@ -278,8 +278,9 @@ def object_tracks(spark, sf):
 def mask_skips(spark, sf):
     """Items that a track mask skips: those without regions, and those whose regions meet no object that is seen on a sampled frame."""
     items = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    tracks = R.object_tracks(_matched(spark, sf), proposals(spark, sf), ["color", "material", "shape"])
-    return R.skip_rules(items, _cites(spark, sf), tracks).groupBy("status").agg(F.count("*").alias("n"))
+    cites = _cites(spark, sf)
+    tracks = R.object_tracks(_matched(spark, sf, cites), proposals(spark, sf), ["color", "material", "shape"])
+    return R.skip_rules(items, cites, tracks).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("SELECT scene, count(DISTINCT o) AS n FROM proposals WHERE frame % 8 = 0 GROUP BY 1", (D.BOXES_SQL, _PROPOSALS))
