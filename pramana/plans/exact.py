@@ -10,7 +10,7 @@ from pramana.functions.joins import dealt
 from pramana.operators import resample as S
 from pramana.operators import rewards as W
 from pramana.plans import derive as D
-from pramana.plans.catalogue import _parsed, query, r6, weights_sql
+from pramana.plans.catalogue import _kept_chains, _parsed, query, r6, weights_sql
 
 _OK = "k % 10 NOT IN (8, 9)"
 _ASKED = "['the red ball', '2: white dog: the white dog', 'Man in blue', 'a tall tree'][(k + j) % 4 + 1]"
@@ -78,7 +78,7 @@ _TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'),
 )
 def process_scores(spark, sf):
     """Chains against the one of the key twelve on: greedy one to one matches less a penalty for broken order."""
-    p = _parsed(spark, sf).where("parsed.chain is not null").select("k", F.col("parsed.chain").alias("chain"))
+    p = _kept_chains(spark, sf)
     pairs = p.join(dealt(p.select((F.col("k") - 12).alias("k"), F.col("chain").alias("ref"))), "k")
     return W.process(pairs, "chain", "ref").select("k", r6(F.col("process")).alias("process"))
 

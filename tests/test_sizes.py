@@ -105,3 +105,8 @@ def test_an_item_takes_a_list_for_each_of_its_phrases(spark):
     e = X.entity_regions(steps, tracks)
     assert sorted((r.id, [(x.t0, x.t1) for x in r.regions]) for r in e.collect()) == [(k, [(0, 0), (3, 9), (8, 8)]) for k in range(2)]
     assert "HashAggregate(keys=[video" in plan(e).replace("ObjectHashAggregate", "HashAggregate") and "collect_set" not in plan(e)
+
+
+@pytest.mark.parametrize("name", ["process_scores", "process_reward"])
+def test_texts_of_both_sides_are_parsed_once_before_they_meet(spark, sf_dir, name):
+    assert "ArrowEvalPython" not in plan(registry.QUERIES[name](spark, sf_dir))
