@@ -110,3 +110,8 @@ def test_an_item_takes_a_list_for_each_of_its_phrases(spark):
 @pytest.mark.parametrize("name", ["process_scores", "process_reward"])
 def test_texts_of_both_sides_are_parsed_once_before_they_meet(spark, sf_dir, name):
     assert "ArrowEvalPython" not in plan(registry.QUERIES[name](spark, sf_dir))
+
+
+def test_texts_without_a_question_are_not_parsed(spark, sf_dir):
+    text = plan(registry.QUERIES["sft_records"](spark, sf_dir))
+    assert text.count("ArrowEvalPython") == 1 and "LeftSemi" in below(text, "ArrowEvalPython")
