@@ -103,12 +103,12 @@ def option_records(spark, sf):
     return I.option_records(r).select("problem_id", "gold", F.size("chains").alias("n_chains"), F.when(F.col("question_type") != "descriptive", F.col("problem")).alias("problem"))
 
 
-@query(f"SELECT {_QID.replace('p_partkey', 'k')} || CASE WHEN k % 3 = 0 THEN '' ELSE '_' || k % 3 END AS problem_id, CASE WHEN k % 3 = 0 THEN {_OPEN.replace('p_partkey', 'k')} ELSE {_TEXT.replace('p_partkey', 'k')} || chr(10) || 'Option ' || ['A', 'B', 'C'][k % 3 + 1] || ': choice ' || k % 3 || {_quoted(I.IS_CORRECT)} END AS problem, 'Yes' AS gold, lines FROM (SELECT k, CAST(count(*) + 3 AS BIGINT) AS lines FROM steps WHERE k % 10 NOT IN (8, 9) AND k % 2 = 0 AND k IN (SELECT p_partkey FROM part) GROUP BY 1)", (D.STEPS_SQL,))
+@query(f"SELECT {_QID.replace('p_partkey', 'k')} || CASE WHEN k % 3 = 0 THEN '' ELSE '_' || k % 3 END AS problem_id, CASE WHEN k % 3 = 0 THEN {_OPEN.replace('p_partkey', 'k')} ELSE {_TEXT.replace('p_partkey', 'k')} || chr(10) || 'Option ' || ['A', 'B', 'C'][k % 3 + 1] || ': choice ' || k % 3 || {_quoted(I.IS_CORRECT)} END AS problem, CASE WHEN k % 2 = 0 THEN 'Yes' ELSE 'no' END AS gold, lines FROM (SELECT k, CAST(count(*) + 3 AS BIGINT) AS lines FROM steps WHERE k % 10 NOT IN (8, 9) AND k IN (SELECT p_partkey FROM part) GROUP BY 1)", (D.STEPS_SQL,))
 def sft_records(spark, sf):
     """Chains joined with their questions; those of an option ask about it alone."""
     asked = questions(spark, sf)
     # keys meet the questions before a text is read: those without one are most of a large file
-    texts = D.chain_texts(spark, sf).where("k % 2 = 0").join(dealt(asked.select(F.col("question_id").alias("k"))), "k", "left_semi")
+    texts = D.chain_texts(spark, sf).join(dealt(asked.select(F.col("question_id").alias("k"))), "k", "left_semi")
     c = C.parse(texts).where("parsed.chain is not null")
     chains = c.select((F.col("k") % 50).alias("scene_index"), F.col("k").alias("question_id"), (F.col("k") % 3).cast("int").alias("choice_id"), _pick(["descriptive", "explanatory", "predictive"], F.col("k") % 3).alias("question_type"), F.col("parsed.chain").alias("chain"), F.col("parsed.answer").alias("final_answer"))
     s = I.sft_records(chains, asked)
